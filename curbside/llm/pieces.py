@@ -42,6 +42,7 @@ class Vocabulary:
         if any(s != int(s) for s in scores.values()):
             raise ValueError("scores must be whole numbers, so that sums are exact")
         self.longest = max(map(len, self.ids))
+        self.singles = {p for p in self.ids if len(p) == 1}
         self.unknown = int(min(scores.values())) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, score in scores.items():
@@ -99,8 +100,22 @@ class Vocabulary:
 
     def segment(self, text: str) -> tuple[int, list[int]]:
         """Best score and ids of one segment."""
-        best, begin, last = self.forward(text, 0, len(text))
-        return best[len(text)], self.trace(text, len(text), 0, begin, last)
+        size = len(text)
+        if not self.singles.issuperset(text):
+            best, begin, last = self.forward(text, 0, size)
+            return best[size], self.trace(text, size, 0, begin, last)
+        # Every character is a piece, so every position is reached and no unknown is needed.
+        best, begin, last = [0] + [NEVER] * size, [0] * (size + 1), [0] * (size + 1)
+        for end, (length, score, piece) in self.automaton.iter(text):
+            end += 1
+            score += best[end - length]
+            if score > best[end]:
+                best[end], begin[end], last[end] = score, end - length, piece
+        out, end = [], size
+        while end:
+            out.append(last[end])
+            end = begin[end]
+        return best[size], out[::-1]
 
 
 @lru_cache(maxsize=4)
@@ -110,16 +125,23 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Results by segment, at most ``size`` of them: then it starts anew. Words repeat, so few are worked out twice."""
+    """Results by segment. Words repeat, so few are worked out twice.
+
+    At most twice ``size`` results are held: when the table is full it becomes the old one, and what is asked again
+    comes back from there, so that frequent words stay.
+    """
 
-    def __init__(self, compute, size: int = 150_000):
+    def __init__(self, compute, size: int = 250_000):
         super().__init__()
-        self._compute, self._size = compute, size
+        self._compute, self._size, self._old = compute, size, {}
 
     def __missing__(self, key: str):
-        value = self._compute(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
         if len(key) <= 64:
             if len(self) >= self._size:
+                self._old = dict(self)
                 self.clear()
             self[key] = value
         return value

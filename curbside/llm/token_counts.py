@@ -24,6 +24,13 @@ def score_and_count(words: Vocabulary, text: str) -> tuple[int, int]:
     """
     size = len(text)
     best, count = [0] + [NEVER] * size, [0] * (size + 1)
+    if words.singles.issuperset(text):  # every character is a piece, so every position is reached
+        for end, (length, score, _) in words.automaton.iter(text):
+            end += 1
+            score += best[end - length]
+            if score > best[end]:
+                best[end], count[end] = score, count[end - length] + 1
+        return best[size], count[size]
     done = 0
 
     def settle(until: int) -> None:
