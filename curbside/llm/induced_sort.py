@@ -22,6 +22,10 @@ import numpy as np
 _READ = 1 << 20
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+
+
 class SpillingQueues:
     """256 first-in-first-out queues of (position, common prefix), on disk beyond ``memory`` bytes."""
 
@@ -65,11 +69,13 @@ class SpillingQueues:
             os.remove(f"{self._path}-{queue}p")
             os.remove(f"{self._path}-{queue}c")
         yield from read
-        yield from parts
+        if parts:
+            yield _joined(parts)
 
     def latest_first(self, queue: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Reads the queue backwards and leaves it as it is."""
-        for positions, common in reversed(self._parts[queue]):
+        if self._parts[queue]:
+            positions, common = _joined(self._parts[queue])
             yield positions[::-1], common[::-1]
         for block in reversed(self._blocks(queue)):
             positions, common = self._read(queue, *block)
@@ -79,7 +85,7 @@ class SpillingQueues:
         parts = [self._read(queue, *b) for b in self._blocks(queue)] + self._parts[queue]
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+        return _joined(parts)
 
 
 def common_prefix(text: np.ndarray, a: int, b: int, depth: int) -> int:

@@ -37,20 +37,27 @@ _GRAMS = WINDOW - GRAM + 1
 #: Bytes of text whose anchors are found at once, and bytes of texts that a shard sorts at once unless one anchor has more.
 BATCH_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
+_KEY = np.uint64((1 << 48) - 1)  # bits of a hash that travel besides its bucket; what they confuse, the sort tells apart
 _PLACE_BITS = 23
 _FIRST, _FIRST_KNOWN, _KNOWN = 0, 1, 2
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte by byte, all first bytes of an array's numbers first, and compressed."""
     sizes = np.array([a.nbytes for a in arrays], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(planes))
 
 
 def _unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    sizes = np.frombuffer(raw, "<i8", len(kinds))
-    ends = 8 * len(kinds) + np.cumsum(sizes)
-    return [np.frombuffer(raw, kind, int(n) // np.dtype(kind).itemsize, int(e - n)) for kind, n, e in zip(kinds, sizes, ends, strict=True)]
+    sizes = np.frombuffer(raw, "<i8", len(kinds)).tolist()
+    out, at = [], 8 * len(kinds)
+    for kind, size in zip(kinds, sizes, strict=True):
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -136,13 +143,14 @@ def _anchor_blocks(buckets: int):
                 keys, owner, starts, counts = anchors(parts)
                 if not len(keys):
                     continue
+                home, keys = (keys >> np.uint64(40)) % np.uint64(buckets), keys & _KEY
                 doc, starts = ids[owner], starts + offsets[owner]
                 order = np.lexsort((doc, keys))
                 first, sizes = _groups(keys[order])
                 least, most = doc[order][first], doc[order][first + sizes - 1]
                 flag = np.empty(len(keys), np.int64)
                 flag[order] = np.where(doc[order] > np.repeat(least, sizes), _KNOWN, np.where(np.repeat(most > least, sizes), _FIRST_KNOWN, _FIRST))
-                bucket = np.where(flag == _KNOWN, np.arange(len(keys)) % buckets, (keys % np.uint64(buckets)).astype(np.int64))
+                bucket = np.where(flag == _KNOWN, np.arange(len(keys)) % buckets, home.astype(np.int64))
                 where = starts << 8 | counts << 2 | flag
                 yield _dealt(bucket, lambda rows: _pack(keys[rows], doc[rows], where[rows]))
 
@@ -247,26 +255,29 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, size, start = where & 1 == 1, where >> 1 & 127, where >> 8
         found = [(docs[known], start[known], start[known] + size[known])]
         keys, docs, start, size = (c[~known] for c in (keys, docs, start, size))
-        text, ends = sent.tobytes(), np.cumsum(size)
+        raw, ends = sent.tobytes(), np.cumsum(size)
         order = np.argsort(keys, kind="stable")
-        at = (ends - size)[order].tolist()
-        lengths = size[order].tolist()
-        groups, _ = _groups(keys[order])
-        block, first, parts, used, places, lo = {}, [], [], 0, set(groups.tolist()), 0
-        for k, (a, n) in enumerate(zip(at, lengths, strict=True)):
-            if k in places and used > BLOCK_BYTES:  # windows of one anchor stay together
-                rows = order[lo:k]
-                found.append(_removed_windows(b"".join(parts), docs[rows], start[rows], size[rows], np.array(first)))
-                block, first, parts, used, lo = {}, [], [], 0, k
-            own = text[a : a + n]
-            if (known_at := block.get(own)) is None:
-                block[own] = known_at = used
-                parts.append(own)
-                used += n
-            first.append(known_at)
-        if first:
-            rows = order[lo:]
-            found.append(_removed_windows(b"".join(parts), docs[rows], start[rows], size[rows], np.array(first)))
+        keys, docs, start, size, begin = keys[order], docs[order], start[order], size[order], (ends - size)[order]
+        texts = [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        groups, members = _groups(keys)
+        if len(groups):  # an anchor whose texts are all the same needs no sorting
+            uniform = np.array([texts[g : g + n].count(texts[g]) == n for g, n in zip(groups.tolist(), members.tolist(), strict=True)])
+            gone = np.repeat(uniform, members) & (docs > np.repeat(np.minimum.reduceat(docs, groups), members))
+            found.append((docs[gone], start[gone], start[gone] + size[gone]))
+            groups, members = groups[~uniform], members[~uniform]
+        block, first, parts, used, rows = {}, [], [], 0, []
+        for k, (g, n) in enumerate(zip(groups.tolist(), members.tolist(), strict=True), 1):
+            rows.extend(range(g, g + n))  # windows of one anchor stay together
+            for own in texts[g : g + n]:
+                if (known_at := block.get(own)) is None:
+                    block[own] = known_at = used
+                    parts.append(own)
+                    used += len(own)
+                first.append(known_at)
+            if used > BLOCK_BYTES or k == len(groups):
+                at = np.array(rows)
+                found.append(_removed_windows(b"".join(parts), docs[at], start[at], size[at], np.array(first)))
+                block, first, parts, used, rows = {}, [], [], 0, []
         doc, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
         for k in range(0, len(doc), 100_000):
             spans = low[k : k + 100_000] << 32 | high[k : k + 100_000]
@@ -308,20 +319,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    placed = texts.repartition(partitions, "doc_id")  # the one shuffle of texts; all three uses below read it
-    digests = texts.filter("doc_id IS NOT NULL").select("doc_id", F.sha2("body", 256).alias("digest"))
+    named = texts.filter("doc_id IS NOT NULL")
+    placed = named.repartition(partitions, "doc_id")  # the one shuffle of texts; all three uses below read it
+    digests = named.select("doc_id", F.sha2("body", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     copies = digests.join(firsts, "digest").filter("doc_id > first").select("doc_id", F.lit(True).alias("copy")).distinct()
-    single = placed.join(copies, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-    blocks = single.select("doc_id", "body").mapInArrow(_anchor_blocks(buckets), "bucket int, block binary")
+    marked = placed.join(copies, "doc_id", "left")
+    blocks = marked.filter("copy IS NULL").select("doc_id", "body").mapInArrow(_anchor_blocks(buckets), "bucket int, block binary")
     dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     repeated = dealt.mapInArrow(_repeated_anchors, "doc_id long, key long, place long")
     by_doc = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("found"))
     windows = placed.join(by_doc, "doc_id").select("doc_id", "body", "found").mapInArrow(_window_texts(buckets), "bucket int, block binary")
     shards = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     spans = shards.mapInArrow(_shard_spans, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    whole = placed.join(copies, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "body", "copy", "spans")
-    return whole.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    whole = marked.join(spans, "doc_id", "left").select("doc_id", "body", "copy", "spans")
+    nameless = texts.filter("doc_id IS NULL").select("doc_id", "body", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<long>").alias("spans"))
+    return whole.unionAll(nameless).mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 ORACLE_SQL = """

@@ -74,5 +74,11 @@ def test_giant_texts_and_small_blocks(make_docs, monkeypatch):
     assert rows(suffix_dedup.without_repeats(make_docs(pairs))) == brute(pairs)
 
 
+def test_blocks_keep_their_arrays():
+    arrays = [np.arange(5, dtype="<u8"), np.zeros(0, "<i8"), np.frombuffer(b"abc", np.uint8)]
+    back = suffix_dedup._unpack(suffix_dedup._pack(*arrays), "<u8", "<i8", "u1")
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, back))
+
+
 def test_empty_table(make_docs):
     assert suffix_dedup.without_repeats(make_docs([])).count() == 0
