@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
+from curbside.llm.common import cut, text_batches
 from curbside.llm.linear import Logistic, fit_logistic
 
 #: The document classifier is fitted on so many labelled rows at most, the first of each label by a hash of doc_id.
@@ -117,7 +117,7 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     own = docs.drop("p_text", "_host", "_path", "host_posterior", "path_posterior", "posterior", "quality_keep")
     own = own.withColumns({"p_text": p_text(F.col("text")), "_host": host, "_path": path})
-    paths = own.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s"))
+    paths = cut(own.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s")))  # texts are scored once for all that follows
     whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     row = whole.first()
     if not row["n"]:
