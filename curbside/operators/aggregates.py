@@ -111,8 +111,3 @@ def grid_clusters(df: DataFrame, sizes: Sequence[float]) -> DataFrame:
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys and their difference."""
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys")).select("n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("n_duplicates"))
-
-
-def nearest_rank(c: Column, share: float) -> Column:
-    """The smallest value that at least ``share`` of all values do not exceed."""
-    return F.call_function("percentile_disc", F.lit(share), c) if False else F.percentile_approx(c, share, 1_000_000)

@@ -30,7 +30,7 @@ def predictions(yearly: DataFrame, key: str) -> DataFrame:
     prior = F.when(F.size(counts) > 3, F.slice(counts, F.lit(1), F.greatest(F.lit(1), F.size(counts) - 3))).otherwise(F.slice(counts, 1, 1))
     change = F.when((F.size(counts) >= 3) & (mean(prior) > 0), 100.0 * (mean(recent) - mean(prior)) / mean(prior)).otherwise(F.lit(0.0))
     trend = F.when(change > 10, "rising").when(change < -10, "falling").otherwise("steady")
-    return out.select(key, F.round("tickets", 4).alias("tickets"), F.round("revenue", 2).alias("revenue"), F.round(confidence, 6).alias("confidence"), F.round(change, 4).alias("change_percent"), trend.alias("trend"), "years")
+    return out.select(key, F.round("tickets", 4).alias("tickets"), F.round("revenue", 4).alias("revenue"), F.round(confidence, 6).alias("confidence"), F.round(change, 4).alias("change_percent"), trend.alias("trend"), "years")
 
 
 def as_geojson(rows: DataFrame, key: str) -> DataFrame:

@@ -169,11 +169,11 @@ def bursts(s, d):
     return minutes_since_previous(tags(s, d)).filter("minutes_since <= 5.0").select("tag")
 
 
-@query("FLT24_large_gaps", TG + "SELECT tag, number - p AS gap FROM (SELECT tag, number, lag(number) OVER (ORDER BY tag) AS p FROM tags) WHERE number - p > 10")
+@query("FLT24_large_gaps", TG + "SELECT tag, number - p AS gap FROM (SELECT tag, number, lag(number) OVER (ORDER BY tag) AS p FROM tags) WHERE number - p > 7")
 def large_gaps(s, d):
     from curbside.operators.patterns import differences
 
-    return differences(tags(s, d), 1).filter("diff1 > 10").select("tag", F.col("diff1").alias("gap"))
+    return differences(tags(s, d), 1).filter("diff1 > 7").select("tag", F.col("diff1").alias("gap"))
 
 
 # Joins.

@@ -1,0 +1 @@
+"""Structured Streaming jobs: windows with late data, a tile work queue, incremental loads."""
