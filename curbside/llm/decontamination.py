@@ -137,6 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
             items = Items(sent.value)
             for frame in frames:
                 rows = [(d, m) for d, m in zip(frame["doc_id"], map(items.matches, frame["text"]), strict=True) if m]
+                if not rows:
+                    continue
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array([d for d, _ in rows], "Int64"),

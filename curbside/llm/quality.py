@@ -25,6 +25,8 @@ SAMPLE_PER_LABEL = 4000
 #: A site moves the log-odds of its documents by so much at most.
 SITE_WEIGHT, SITE_BOUND = 0.5, 1.0
 KEEP_AT = 0.5
+#: Up to so many sites (some MB) are sent to the tasks; texts then stay where they are.
+BROADCAST_SITES = 100_000
 _WORD = re.compile(r"\S+")
 _NAMES = "letters upper digits symbols marks pipes word_length distinct top_word repeat lines short log_words plain decorated".split()
 
@@ -130,6 +132,8 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     sites = paths.join(hosts, "_host").select(
         "_host", "_path", "host_posterior", ((F.col("s") + of_paths * F.col("host_posterior")) / (F.col("n") + of_paths)).alias("path_posterior")
     )
+    if paths.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:  # else a shuffled join, whose hot sites Spark splits
+        sites = F.broadcast(sites)
     shift = SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(mean)))
     odds = _logit(F.col("p_text")) + F.greatest(F.lit(-SITE_BOUND), F.least(F.lit(SITE_BOUND), shift))
     out = own.join(sites, ["_host", "_path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))

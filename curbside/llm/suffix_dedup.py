@@ -35,7 +35,7 @@ from curbside.llm.induced_sort import induced_suffixes
 WINDOW, GRAM = 50, 20
 _GRAMS = WINDOW - GRAM + 1
 #: Bytes of text whose anchors are found at once, and bytes of texts that a shard sorts at once unless one anchor has more.
-BATCH_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
+BATCH_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 _KEY = np.uint64((1 << 48) - 1)  # bits of a hash that travel besides its bucket; what they confuse, the sort tells apart
 _PLACE_BITS = 23

@@ -155,6 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             yield pd.DataFrame({"y": frame["y"], "x": [voters.counts(t) for t in frame["text"]]})
 
     rows = sample.mapInPandas(vote, "y int, x array<double>").toPandas()
+    if rows["y"].nunique() < 2:  # no texts for the marks of one kind
+        return stems, Logistic.constant(features(np.zeros((1, Voters(stems).size + 1))).shape[1], -4.0)
     counts, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
     posterior, _ = label_model(counts[:, :-1] > 0, y, shares[1] / (shares[0] + shares[1]))
     weight = np.where(y > 0, shares[1] / max(1, (y > 0).sum()), shares[0] / max(1, (y == 0).sum()))
