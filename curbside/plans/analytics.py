@@ -93,8 +93,8 @@ def groups_of_groups(s, d):
     return inner.groupBy("description").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
 
 
-for _name, _sql, _key in (("year", "year", F.col("year")), ("month", "month", F.col("month"))):
-    query(f"AGG14_{_name}_histogram", LT + f"SELECT {_sql} AS k, {SUMS} FROM line_tickets GROUP BY 1")(lambda s, d, key=_key: agg.totals(line_tickets(s, d), [key.alias("k")]))
+for _name in ("year", "month"):
+    query(f"AGG14_{_name}_histogram", LT + f"SELECT {_name} AS k, {SUMS} FROM line_tickets GROUP BY 1")(lambda s, d, name=_name: agg.totals(line_tickets(s, d), [F.col(name).alias("k")]))
 
 
 @query("AGG14_hour_histogram", TG + "SELECT CAST(hour(ts) AS INT) AS k, count(*) AS n FROM tags GROUP BY 1")
@@ -142,12 +142,12 @@ def daily(s, d):
 def _by_time(name, sql, key):
     mode = f"SELECT k, place AS m FROM (SELECT {sql} AS k, place, row_number() OVER (PARTITION BY {sql} ORDER BY count(*) DESC, place) AS rn FROM tags GROUP BY 1, 2) WHERE rn = 1"
     body = f"SELECT k, count(*) AS n, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine, count(DISTINCT place) AS n_places, any_value(m) AS usual_place FROM (SELECT *, {sql} AS k FROM tags) JOIN ({mode}) USING (k) GROUP BY k"
-    query(name, TG + body)(lambda s, d: patterns.by_time(tags(s, d), key, "k"))
+    query(name, TG + body)(lambda s, d: patterns.by_time(tags(s, d), F.expr(key), "k"))
 
 
-_by_time("AGG19_hourly", "CAST(hour(ts) AS INT)", F.hour("ts"))
-_by_time("AGG20_weekdays", "CAST(isodow(ts) - 1 AS INT)", F.weekday("ts"))
-_by_time("AGG21_monthly", "CAST(year(ts) * 100 + month(ts) AS INT)", F.year("ts") * 100 + F.month("ts"))
+_by_time("AGG19_hourly", "CAST(hour(ts) AS INT)", "hour(ts)")
+_by_time("AGG20_weekdays", "CAST(isodow(ts) - 1 AS INT)", "weekday(ts)")
+_by_time("AGG21_monthly", "CAST(year(ts) * 100 + month(ts) AS INT)", "year(ts) * 100 + month(ts)")
 
 
 @query("AGG22_window_productivity", TG + "SELECT max(n) AS most, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT count(*) AS n FROM tags GROUP BY time_bucket(INTERVAL 10 MINUTE, ts))")

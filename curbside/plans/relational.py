@@ -138,8 +138,8 @@ def quadkey_prefix(s, d, prefix="03022310"):
 
 
 @query("FLT19_own_predicate", LT + "SELECT count(*) AS n FROM line_tickets WHERE code = 'R' AND fine > 30000")
-def own_predicate(s, d, keep=(F.lit("R"), 30000)):
-    return line_tickets(s, d).filter((F.col("code") == keep[0]) & (F.col("fine") > keep[1])).agg(F.count("*").alias("n"))
+def own_predicate(s, d, keep=("R", 30000)):
+    return line_tickets(s, d).filter((F.col("code") == F.lit(keep[0])) & (F.col("fine") > keep[1])).agg(F.count("*").alias("n"))
 
 
 @query("FLT20_required_texts", f"WITH {ADDRESSES_SQL} SELECT id FROM addresses WHERE trim(address) <> ''")
