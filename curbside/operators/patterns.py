@@ -88,7 +88,7 @@ def daily(tags: DataFrame) -> DataFrame:
 def by_time(tags: DataFrame, key: Column, name: str) -> DataFrame:
     """Count, fines, mean fine and places by a part of the time."""
     return tags.groupBy(key.alias(name)).agg(
-        F.count("*").alias("n"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.round(F.avg(F.col("fine").cast("double")), 4).alias("mean_fine"), F.count_distinct("place").alias("n_places"), F.mode("place", True).alias("usual_place")
+        F.count("*").alias("n"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.round(F.sum("fine").cast("double") / F.count("fine"), 4).alias("mean_fine"), F.count_distinct("place").alias("n_places"), F.mode("place", True).alias("usual_place")
     )
 
 

@@ -63,7 +63,7 @@ def completeness(s, d):
     return agg.completeness(table(s, d, "part").select(v.alias("v")), "v")
 
 
-_PROFILE = "count(*) AS n, round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine, min(fine) AS min_fine, max(fine) AS max_fine, count(DISTINCT ticket_date) AS days"
+_PROFILE = "count(*) AS n, round(CAST(sum(fine) AS DOUBLE) / count(fine), 4) AS mean_fine, min(fine) AS min_fine, max(fine) AS max_fine, count(DISTINCT ticket_date) AS days"
 
 
 @query("AGG09_code_profile", LT + f"SELECT code, description, {_PROFILE} FROM line_tickets GROUP BY ALL")
@@ -108,22 +108,22 @@ def banded(s, d):
     return line_tickets(s, d).groupBy(order.alias("o"), label.alias("band")).agg(F.count("*").alias("n")).orderBy("o")
 
 
-@query("AGG16_overall_profile", LT + "SELECT count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT part_key) AS places, min(ticket_date) AS first_day, max(ticket_date) AS last_day, round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, max(fine) AS top_fine FROM line_tickets")
+@query("AGG16_overall_profile", LT + "SELECT count(*) AS n, count(DISTINCT code) AS codes, count(DISTINCT part_key) AS places, min(ticket_date) AS first_day, max(ticket_date) AS last_day, round(CAST(sum(fine) AS DOUBLE) / count(fine), 4) AS mean_fine, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, max(fine) AS top_fine FROM line_tickets")
 def overall_profile(s, d):
     return line_tickets(s, d).agg(
         F.count("*").alias("n"), F.count_distinct("code").alias("codes"), F.count_distinct("part_key").alias("places"), F.min("ticket_date").alias("first_day"), F.max("ticket_date").alias("last_day"),
-        F.round(F.avg(F.col("fine").cast("double")), 4).alias("mean_fine"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.max("fine").alias("top_fine"),
+        F.round(F.sum("fine").cast("double") / F.count("fine"), 4).alias("mean_fine"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.max("fine").alias("top_fine"),
     )
 
 
 for _name, _order, _n in (("revenue", "fines", 10), ("mean_fine", "mean_fine", 15), ("count", "n", 15)):
     query(
         f"AGG17_top_by_{_name}",
-        TK + f"SELECT brand, count(*) AS n, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine FROM tickets GROUP BY 1 ORDER BY {_order} DESC, 1 LIMIT {_n}",
+        TK + f"SELECT brand, count(*) AS n, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, round(CAST(sum(fine) AS DOUBLE) / count(fine), 4) AS mean_fine FROM tickets GROUP BY 1 ORDER BY {_order} DESC, 1 LIMIT {_n}",
     )(
         lambda s, d, order=_order, n=_n: tickets(s, d)
         .groupBy("brand")
-        .agg(F.count("*").alias("n"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.round(F.avg(F.col("fine").cast("double")), 4).alias("mean_fine"))
+        .agg(F.count("*").alias("n"), F.sum("fine").cast("decimal(28,2)").alias("fines"), F.round(F.sum("fine").cast("double") / F.count("fine"), 4).alias("mean_fine"))
         .orderBy(F.desc(order), "brand")
         .limit(n)
     )
@@ -133,7 +133,7 @@ for _name, _order, _n in (("revenue", "fines", 10), ("mean_fine", "mean_fine", 1
     "AGG18_daily",
     TG + """, c AS (SELECT *, CAST(ts AS DATE) AS day FROM tags), u AS (SELECT day, place, row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, place) AS rn FROM c GROUP BY 1, 2)
   SELECT c.day, min(number) AS first_number, max(number) AS last_number, count(*) AS n, count(DISTINCT number) AS n_numbers, any_value(u.place) AS usual_place, CAST(sum(fine) AS DECIMAL(28,2)) AS fines,
-    round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine, max(number) - min(number) AS number_range FROM c JOIN u ON u.day = c.day AND rn = 1 GROUP BY c.day""",
+    round(CAST(sum(fine) AS DOUBLE) / count(fine), 4) AS mean_fine, max(number) - min(number) AS number_range FROM c JOIN u ON u.day = c.day AND rn = 1 GROUP BY c.day""",
 )
 def daily(s, d):
     return patterns.daily(tags(s, d))
@@ -141,7 +141,7 @@ def daily(s, d):
 
 def _by_time(name, sql, key):
     mode = f"SELECT k, place AS m FROM (SELECT {sql} AS k, place, row_number() OVER (PARTITION BY {sql} ORDER BY count(*) DESC, place) AS rn FROM tags GROUP BY 1, 2) WHERE rn = 1"
-    body = f"SELECT k, count(*) AS n, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, round(avg(CAST(fine AS DOUBLE)), 4) AS mean_fine, count(DISTINCT place) AS n_places, any_value(m) AS usual_place FROM (SELECT *, {sql} AS k FROM tags) JOIN ({mode}) USING (k) GROUP BY k"
+    body = f"SELECT k, count(*) AS n, CAST(sum(fine) AS DECIMAL(28,2)) AS fines, round(CAST(sum(fine) AS DOUBLE) / count(fine), 4) AS mean_fine, count(DISTINCT place) AS n_places, any_value(m) AS usual_place FROM (SELECT *, {sql} AS k FROM tags) JOIN ({mode}) USING (k) GROUP BY k"
     query(name, TG + body)(lambda s, d: patterns.by_time(tags(s, d), F.expr(key), "k"))
 
 
