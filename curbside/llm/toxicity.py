@@ -1,12 +1,12 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicon voters (does it hold a word that starts with a given stem?) and pattern voters
-(shape of the writing). A generative label model estimates, without trusting any of them, how often each voter fires on
+Many voters look at a text: lexicon voters (are so many of its words ones that start with a given stem?) and pattern
+voters (shape of the writing). A generative label model estimates, without trusting any of them, how often each voter fires on
 toxic and on clean texts, and which voters fire together beyond that; correlated voters share one vote. Its posteriors,
 not the labels, train a linear classifier over the voters' counts, which then scores every text.
 
-The lexicon is found in the training rows: stems that are far more frequent in texts marked toxic. The marks themselves
-enter the label model as one more noisy voter.
+The lexicon is found in the training rows: stems that are far denser in texts marked toxic. How dense a stem must be for
+its voter to fire is found there, too. The marks themselves enter the label model as one more noisy voter.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ FOLDS, HELD_OUT_FOLD = 3, 1
 TOXIC_AT = 0.7
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 MOST_VOTERS = 160
-#: A stem votes if it is in so many toxic texts at least, and toxic texts are this share of those that hold it.
+#: A stem votes if it is in so many toxic texts at least, and these have this share of its density over all texts.
 LEAST_TEXTS, LEAST_SHARE = 4, 0.8
+#: Words added to a text's length, so that one word of a tiny text is no great density.
+SMOOTH_WORDS = 50
+#: Densities above which a voter may fire.
+LEVELS = (0.0, 0.001, 0.002, 0.004, 0.008, 0.016)
 #: How far the label model believes a mark.
 MARK_ACCURACY = 0.95
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,12 +70,28 @@ class Voters:
         return out
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Of rows of counts: how often each voter fires and how densely, then lexicon matches together."""
-    votes, words = counts[:, :-1], np.maximum(counts[:, -1:], 1)
+def features(counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Of rows of counts: which voters fire, how often each matches and how densely, then lexicon matches together."""
+    votes, words = counts[:, :-1], counts[:, -1:] + SMOOTH_WORDS
     lexicon = votes[:, : votes.shape[1] - len(PATTERNS)]
     found, dense = (lexicon > 0).sum(axis=1, keepdims=True), lexicon.sum(axis=1, keepdims=True)
-    return np.hstack([np.log1p(votes), np.log1p(found), np.log1p(dense), np.log1p(100 * dense / words), np.log1p(words) / 10])
+    return np.hstack([votes / words > levels, np.log1p(votes), np.log1p(200 * votes / words), np.log1p(found), np.log1p(dense), np.log1p(200 * dense / words), np.log1p(words) / 10])
+
+
+def firing_levels(counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The density above which each voter fires: the one that tells most about the marks."""
+    dense = counts[:, :-1] / (counts[:, -1:] + SMOOTH_WORDS)
+    p = marks.mean()
+
+    def told(on: np.ndarray) -> np.ndarray:
+        """Mutual information of each voter and the marks."""
+        n1, n0 = on[marks > 0].sum(axis=0) + 0.5, on[marks == 0].sum(axis=0) + 0.5
+        share, rate = (n1 + n0) / (len(on) + 1), n1 / (n1 + n0)
+        rest = np.clip((p * len(on) - n1) / np.maximum(1, len(on) - n1 - n0), 1e-6, 1 - 1e-6)
+        entropy = lambda q: -q * np.log(q) - (1 - q) * np.log(1 - q)
+        return -share * entropy(rate) - (1 - share) * entropy(rest)
+
+    return np.array(LEVELS)[np.argmax([told(dense > level) for level in LEVELS], axis=0)]
 
 
 def label_model(fired: np.ndarray, marks: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +133,34 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFra
 
 
 def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers of toxic and clean texts with each stem, combined within the task."""
-    found = {0: Counter(), 1: Counter()}
+    """Number of toxic texts with each stem, and its summed density in toxic and clean texts, combined within the task."""
+    texts, dense = Counter(), {0: Counter(), 1: Counter()}
     for frame in frames:
         for text, y in zip(frame["text"], frame["y"], strict=True):
-            found[int(y)].update({w[:n] for w in set(_WORD.findall((text or "").lower())) for n in STEM_LENGTHS if n <= len(w)})
-    stems = list(found[0].keys() | found[1].keys())
+            words = _WORD.findall((text or "").lower())
+            stems = Counter(w[:n] for w in words for n in STEM_LENGTHS if n <= len(w))
+            own = dense[int(y)]
+            for stem, n in stems.items():
+                own[stem] += n / (len(words) + SMOOTH_WORDS)
+            if y:
+                texts.update(stems.keys())
+    stems = list(texts)  # what no toxic text holds cannot vote
     for k in range(0, len(stems), 20_000):
         part = stems[k : k + 20_000]
-        yield pd.DataFrame({"stem": pd.Series(part, dtype=object), "toxic": [found[1][s] for s in part], "clean": [found[0][s] for s in part]})
+        yield pd.DataFrame({"stem": pd.Series(part, dtype=object), "texts": [texts[s] for s in part], "toxic": [dense[1][s] for s in part], "clean": 0.0})
+    stems = list(dense[0])
+    for k in range(0, len(stems), 20_000):
+        part = stems[k : k + 20_000]
+        yield pd.DataFrame({"stem": pd.Series(part, dtype=object), "texts": 0, "toxic": 0.0, "clean": [dense[0][s] for s in part]})
 
 
 def _lexicon(sample: DataFrame, shares: dict[int, int], sizes: dict[int, int]) -> list[str]:
     """The stems that vote: the shortest of those that say the same, the most telling first."""
     weight = (shares[0] / sizes[0]) / (shares[1] / sizes[1])  # clean rows are sampled more thinly
-    stems = sample.mapInPandas(_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    share = F.col("t") / (F.col("t") + weight * F.col("c"))
+    stems = sample.mapInPandas(_stems, "stem string, texts long, toxic double, clean double").groupBy("stem")
+    # Sums of doubles depend on the order of rows in their last digits; rounded, they do not.
+    stems = stems.agg(F.sum("texts").alias("t"), F.round(F.sum("toxic"), 6).alias("on"), F.round(F.sum("clean"), 6).alias("off"))
+    share = F.round(F.col("on") / (F.col("on") + weight * F.col("off")), 4)
     rows = stems.filter((F.col("t") >= LEAST_TEXTS) & (share >= LEAST_SHARE)).orderBy(F.desc(F.col("t") * share), F.length("stem"), "stem").limit(20 * MOST_VOTERS).collect()
     chosen: dict[str, int] = {}
     for row in rows:
@@ -140,12 +172,17 @@ def _lexicon(sample: DataFrame, shares: dict[int, int], sizes: dict[int, int]) -
     return list(chosen)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], Logistic]:
-    """The lexicon and the linear model. Only rows outside the held-out fold are read for labels."""
+def _constant(stems: list[str], log_odds: float) -> tuple[list[str], np.ndarray, Logistic]:
+    voters = len(stems) + len(PATTERNS)
+    levels = np.zeros(voters)
+    return stems, levels, Logistic.constant(features(np.zeros((1, voters + 1)), levels).shape[1], log_odds)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], np.ndarray, Logistic]:
+    """The lexicon, the levels at which voters fire and the linear model. Only rows outside the held-out fold are read for labels."""
     sample, shares = _sample(docs, labels, per_label)
     if set(shares) != {0, 1}:
-        empty = features(np.zeros((1, len(PATTERNS) + 1))).shape[1]
-        return [], Logistic.constant(empty, -4.0 if shares.get(1, 0) == 0 else 4.0)
+        return _constant([], -4.0 if shares.get(1, 0) == 0 else 4.0)
     sizes = {y: min(per_label, n) for y, n in shares.items()}
     stems = _lexicon(sample, shares, sizes)
 
@@ -156,11 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 
     rows = sample.mapInPandas(vote, "y int, x array<double>").toPandas()
     if rows["y"].nunique() < 2:  # no texts for the marks of one kind
-        return stems, Logistic.constant(features(np.zeros((1, Voters(stems).size + 1))).shape[1], -4.0)
+        return _constant(stems, -4.0)
     counts, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
-    posterior, _ = label_model(counts[:, :-1] > 0, y, shares[1] / (shares[0] + shares[1]))
+    levels = firing_levels(counts, y)
+    fired = counts[:, :-1] / (counts[:, -1:] + SMOOTH_WORDS) > levels
+    posterior, _ = label_model(fired, y, shares[1] / (shares[0] + shares[1]))
     weight = np.where(y > 0, shares[1] / max(1, (y > 0).sum()), shares[0] / max(1, (y == 0).sum()))
-    return stems, fit_logistic(features(counts), posterior, weight, ridge=0.5)
+    return stems, levels, fit_logistic(features(counts, levels), posterior, weight, ridge=0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
@@ -171,14 +210,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     Repeated rows appear again, an empty table gives no rows, other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    stems, model = train(docs, labels, per_label)
+    stems, levels, model = train(docs, labels, per_label)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(stems)
         for frame in frames:
             ids = frame["doc_id"].astype("Int64")
             counts = np.array([voters.counts(t) for t in frame["text"]]).reshape(-1, voters.size + 1)
-            p = model.probability(features(counts))
+            p = model.probability(features(counts, levels))
             yield pd.DataFrame({"doc_id": ids, "held_out": [held_out(None if i is pd.NA else i) for i in ids], "score": p, "predicted": (p >= TOXIC_AT).astype("int32")})
 
     return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
