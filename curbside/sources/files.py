@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TICKET_SCHEMA = (
@@ -50,14 +50,21 @@ def sniffed_encoding(head: bytes) -> str:
     return "UTF-16LE" if b"\x00" in head[:4] else "UTF-8"
 
 
-def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path and encoding of every file; only its first bytes are looked at."""
-    head = F.udf(lambda b: sniffed_encoding(bytes(b or b"")), "string")
-    return spark.read.format("binaryFile").load(paths).select("path", head(F.substring("content", 1, 4)).alias("encoding"))
+def whole_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and content of files that one task can hold, such as yearly archives."""
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
-def archive_rows(spark: SparkSession, paths: str | list[str], member: str = "parking_tags") -> DataFrame:
-    """Lines of the CSV members of ZIP archives whose name holds ``member``, in order of name: path, member, line_number, line."""
+def encodings(files: DataFrame) -> DataFrame:
+    """path and encoding of every one of ``files`` (path, content), from the first four bytes."""
+    two, three = F.hex(F.substring("content", 1, 2)), F.hex(F.substring("content", 1, 3))
+    zero = F.instr(F.regexp_replace(F.hex(F.substring("content", 1, 4)), "(..)", "$1 "), "00 ") > 0
+    named = F.when(two == "FFFE", "UTF-16LE").when(two == "FEFF", "UTF-16BE").when(three == "EFBBBF", "UTF-8").when(zero, "UTF-16LE").otherwise("UTF-8")
+    return files.select("path", named.alias("encoding"))
+
+
+def archive_rows(files: DataFrame, member: str = "parking_tags") -> DataFrame:
+    """Lines of the CSV members, whose name holds ``member``, of ZIP archives ``files`` (path, content): path, member, line_number, line."""
 
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -74,7 +81,7 @@ def archive_rows(spark: SparkSession, paths: str | list[str], member: str = "par
                                 yield pd.DataFrame({"path": path, "member": name, "line_number": range(number + 1, number + 1 + len(part)), "line": part})
                                 number += len(part)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(unzip, "path string, member string, line_number long, line string")
+    return files.select("path", "content").mapInPandas(unzip, "path string, member string, line_number long, line string")
 
 
 def archive_table(rows: DataFrame) -> DataFrame:
@@ -86,6 +93,48 @@ def archive_table(rows: DataFrame) -> DataFrame:
     return body.select("path", "member", "line_number", F.map_from_arrays("names", F.slice(values, F.lit(1), F.size("names"))).alias("cells"))
 
 
+def typed_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A typed CSV file; no rows if there is none under ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return spark.createDataFrame([], schema)
+    return csv_files(spark, path, schema)
+
+
+def wide_sheet(lines: DataFrame, skip: int) -> DataFrame:
+    """Cells of sheets exported as lines (path, member, line_number, line), whose header comes after ``skip`` lines."""
+    body = lines.filter(F.col("line_number") > skip).withColumn("line_number", F.col("line_number") - skip)
+    return archive_table(body)
+
+
+def joined_quotes(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
+    """Records of ``lines`` (path, line_number, line): a line that leaves a quote open goes on in the next one.
+
+    One row for each record: path, line_number of its first line, record. Whether a quote is open at a line depends on
+    all lines before it, so files are cut into buckets, and only one row for each bucket is put in order across them.
+    """
+    size = F.char_length("line") - F.char_length(F.replace("line", F.lit('"'), F.lit("")))
+    rows = lines.select("path", "line_number", "line", size.alias("quotes"), F.floor(F.col("line_number") / bucket_lines).alias("bucket"))
+    before = Window.partitionBy("path").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("path", "bucket").agg(F.sum("quotes").alias("n"))
+    sums = sums.select("path", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    inner = Window.partitionBy("path", "bucket").orderBy("line_number")
+    earlier = F.coalesce(F.sum("quotes").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sums, ["path", "bucket"]).withColumn("starts", (F.col("n_before") + earlier) % 2 == 0)
+    start = F.when(F.col("starts"), F.col("line_number"))
+    last = rows.groupBy("path", "bucket").agg(F.max(start).alias("own"))
+    last = last.select("path", "bucket", F.max("own").over(before).alias("from_before"))
+    rows = rows.join(last, ["path", "bucket"]).withColumn("record_line", F.coalesce(F.max(start).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "from_before"))
+    joined = F.array_sort(F.collect_list(F.struct("line_number", "line")))
+    return rows.groupBy("path", "record_line").agg(F.array_join(F.transform(joined, lambda x: x["line"]), "\n").alias("record")).withColumnRenamed("record_line", "line_number")
+
+
+def database_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, fetch_rows: int = 5000) -> DataFrame:
+    """A table of a relational database, read in ranges of ``key`` by many tasks, ``fetch_rows`` at a time."""
+    options = {"url": url, "dbtable": table, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": partitions, "fetchsize": fetch_rows}
+    return spark.read.format("jdbc").options(**options).load()
+
+
 def preferred_files(names: list[str]) -> list[str]:
     """Of each folder the repaired exports (*_fixed.csv) if there are any, else all of its CSV files."""
     folders: dict[str, list[str]] = {}
