@@ -9,21 +9,22 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_letters(texts: pd.Series) -> pd.Series:
     """Letters without their marks (NFKD)."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def packed(texts: pd.Series) -> pd.Series:
     """gzip, then base64; the same text always packs the same way."""
     return texts.map(lambda t: None if t is None else base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpacked(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else gzip.decompress(base64.b64decode(t)).decode())
 
@@ -31,7 +32,7 @@ def unpacked(texts: pd.Series) -> pd.Series:
 def nearest_name(names: list[str], strict: float = 0.88, loose: float = 0.82):
     """UDF: of ``names`` the one most like a text, by the ratio of matching blocks; the strict bound is tried first."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def nearest(texts: pd.Series) -> pd.Series:
         def one(t):
             for bound in (strict, loose) if t else ():
@@ -44,7 +45,7 @@ def nearest_name(names: list[str], strict: float = 0.88, loose: float = 0.82):
     return nearest
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def simplified(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     """Douglas-Peucker on 'x y,x y,...'; both ends stay."""
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def money(c: Column) -> Column:
-    """Exact amount, rounded half up to cents."""
-    return F.round(c.cast("decimal(38,6)"), 2).cast("decimal(18,2)")
+    """Exact amount, rounded half up to cents; null for what is no number."""
+    return F.round(c.try_cast("decimal(38,6)"), 2).cast("decimal(18,2)")
 
 
 def safe_number(c: Column) -> Column:
