@@ -1,17 +1,18 @@
 import random
 
+import numpy as np
+
 from curbside.llm import decontamination as d
 
 
 def distance_within(item, text):
     """Least edit distance of ``item`` to any substring of ``text``."""
-    row = [0] * (len(text) + 1)
+    chars, steps = np.array([ord(c) for c in text], np.int32), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, a in enumerate(item, 1):
-        new = [i]
-        for j, b in enumerate(text, 1):
-            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
-        row = new
-    return min(row)
+        new = np.concatenate([[i], np.minimum(row[:-1] + (chars != ord(a)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
 
 
 def edited(rng, text, n):

@@ -4,13 +4,16 @@ import random
 from curbside.llm.exact_dedup import exact_dedup
 
 
+LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def brute(pairs):
-    norm = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    texts = [(t or "").translate(LOWER) for _, t in pairs]
     out = []
-    for i, t in pairs:
-        ids = [j for j, u in pairs if norm(u) == norm(t)]
+    for (i, _), own in zip(pairs, texts, strict=True):
+        ids = [j for (j, _), other in zip(pairs, texts, strict=True) if other == own]
         keep = max((j for j in ids if j is not None), default=None)
-        out.append((i, keep, len(ids), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        out.append((i, keep, len(ids), i == keep, hashlib.sha256(own.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
