@@ -26,6 +26,7 @@ from curbside.llm.labelled_pages import labelled_pages
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 _DROPPED = set("script style template noscript title textarea select button iframe object svg math canvas audio video head".split())
+_IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 _RAW = set("script style template noscript title textarea iframe svg math".split())
 _CLOSES_P = set("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -51,8 +52,16 @@ class Tree:
     def _build(self, page: str) -> None:
         stack, links, run, at, size = [0], 0, [], 0, len(page)
 
+        def leave_head() -> None:
+            """An open head ends where something comes that it may not hold, be </head> written or not."""
+            if self.tag[stack[-1]] == "head":
+                flush()
+                stack.pop()
+
         def text(part: str) -> None:
             if part:
+                if not part.isspace():
+                    leave_head()
                 run.append(part)
                 if not part.isspace():
                     n = len(part)
@@ -102,6 +111,8 @@ class Tree:
                 elif name not in _INLINE:
                     close_to({name}, {"td", "table"} - {name})
                 continue
+            if name not in _IN_HEAD:
+                leave_head()
             if name in _RAW and not rest.rstrip().endswith("/"):
                 after = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = after.end() if after else size
@@ -119,7 +130,7 @@ class Tree:
             if name in _SIBLINGS:
                 close_to(_SIBLINGS[name], _SCOPE[name])
             flush()
-            if name in _VOID:
+            if name in _VOID or self.tag[stack[-1]] == "head" and name != "noframes":  # the rest of a head holds nothing
                 continue
             links = 0
             self._add(stack, name, rest)

@@ -62,3 +62,27 @@ def test_rows(spark):
     assert len(found) == len(rows) and {r.page_id: r.text for r in found if r.page_id is not None} == {k: t for k, (_, t) in enumerate(CASES)}
     assert all(r.n_chars == len(r.text) for r in found) and max(r.n_chars for r in found) == 5 * 40_000 - 1
     assert extracted(df.limit(0)).count() == 0
+
+
+ARTICLE = "<nav><a href=1>Home</a></nav><article><h1>Title</h1><p>One two three, four.</p></article><footer>(c)</footer>"
+#: End and start tags of html, head and body may be left out.
+OPEN_HEADS = [
+    "<html><head><meta charset=utf-8><title>t</title><body>" + ARTICLE,
+    "<html><head><meta charset=utf-8><title>t</title>" + ARTICLE,
+    "<head><link rel=x><style>p{}</style><script>1</script>\n<body class=a>" + ARTICLE + "</body>",
+    "<head><title/><script src=x /><basefont size=2>" + ARTICLE,
+    "<!doctype html><meta charset=utf-8><title>t</title>" + ARTICLE,
+    "<title>t</title><body>" + ARTICLE,
+    "<html><head><title>t</title></head>" + ARTICLE + "</html>",
+]
+
+
+@pytest.mark.parametrize("page", OPEN_HEADS)
+def test_tags_left_out(page):
+    assert main_text(page) == "Title\nOne two three, four."
+
+
+def test_bare_text_and_inline_elements_end_a_head():
+    assert main_text("<head><title>t</title>Bare text, no tags.") == "Bare text, no tags."
+    assert main_text("<head><title>t</title><b>Bold</b> text, no block.") == "Bold text, no block."
+    assert main_text("<head><title>t</title><!-- c --> \n <meta name=a></head><body><article><p>Only this.</p></article>") == "Only this."
