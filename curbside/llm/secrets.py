@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives; DataFrame and SQL functions only.
 
-One regular expression marks candidates in whole texts: values assigned to a telling name, and long runs of key
-characters that hold a digit. Each candidate is described by its length, the transitions between kinds of characters,
+One regular expression marks candidates in whole texts: values assigned to a telling name (in code, JSON, YAML, XML and
+the like), passwords in URLs, and long runs of key characters that hold a digit. Each candidate is described by its length, the transitions between kinds of characters,
 how much of it a small dictionary covers, its path, and the words beside it. A random forest trained on labelled
 findings (``labelled_findings``) scores it. Secrets themselves are not returned, only their digests.
 """
@@ -19,8 +19,17 @@ TREES, DEPTH, SEED, SECRET_AT = 24, 7, 42, 0.5
 NEAR_CHARS = 40
 # Names that secrets are assigned to, words near secrets, words near false positives, common words in names.
 _ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential"
-_NAME_END = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,12}}\s{{0,3}}[=:]\s{{0,3}}[\"']?)"
-CANDIDATE = rf"{_NAME_END}[^\s\"'<>|]{{6,}}|(?<![\w+/=-])(?=[A-Za-z_+/=-]{{0,64}}[0-9])[\w+/=-]{{20,}}"
+# The key may be quoted, in brackets, of a stated type, or itself the value of an attribute whose neighbour is "value".
+_KEY = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,12}})(?:\\?[\"'`])?\]?"
+_SIGN = r"\s{0,20}(?::=|<-|=>|={1,3}|:(?:\s{0,3}[&\w.<>\[\]?]{1,24}\s{0,3}=)?|(?i:value)\s{0,3}=)\s{0,20}"
+_QUOTED = "|".join([r"(\\[\"'])([^\"'\s\\]{4,})", r"([A-Za-z]{0,2}\")([^\"\s]{4,})", r"([A-Za-z]{0,2}')([^'\s]{4,})", r"(`)([^`\s]{4,})"])
+_ELEMENT = rf"(>(?<=<[\w:.-]{{0,32}}(?i:{_ASSIGNED})[\w:.-]{{0,12}}(?:\s[^<>]{{0,200}})?>)(?<!/>)\s{{0,20}})(?:(<!\[CDATA\[)([^\s<>\]]{{4,}})|([^\s<>]{{4,}}))"
+_URL = r"(://[^\s/:@\"'<>]{0,256}:)([^\s/?#\"'<>]+)(?=@)"
+_KEY_LIKE = r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*+[0-9])([\w+/=-]{20,})"
+CANDIDATE = rf"({_KEY}{_SIGN})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_KEY_LIKE}"
+#: Its groups that belong to the name and to the value; of each the ones that took no part are empty.
+_NAME_GROUPS, _VALUE_GROUPS = (1, 2, 4, 6, 8, 11, 12, 15), (3, 5, 7, 9, 10, 13, 14, 16, 17)
+_MARKED = "\x01" + "".join(f"${k}" for k in _NAME_GROUPS) + "\x03" + "".join(f"${k}" for k in _VALUE_GROUPS) + "\x02"
 _NEAR_SECRET = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private"
 _NEAR_FALSE = r"(?i)example|sample|placeholder|dummy|commit|revision|checksum|digest|sha.?\d|md5|etag|uuid|guid|hash|version|fingerprint|isbn|order|phone"
 _TEST_PATH = r"(?i)test|example|sample|mock|fixture|doc"
@@ -37,10 +46,10 @@ FEATURES = ["length", "transitions", "class_mix", "digits", "uppers", "others",
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Every candidate of every text: doc_id, nth (from 1), value, name, before, after, path."""
-    # Two control characters mark the matches; where a text holds them itself they count as spaces.
+    # Three control characters mark the matches; where a text holds them itself they count as spaces.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    text = F.when(F.instr(text, "\x01") + F.instr(text, "\x02") > 0, F.translate(text, "\x01\x02", "  ")).otherwise(text)
-    parts = F.split(F.regexp_replace(text, CANDIDATE, "\x01$0\x02"), "\x01", -1)
+    text = F.when(F.instr(text, "\x01") + F.instr(text, "\x02") + F.instr(text, "\x03") > 0, F.translate(text, "\x01\x02\x03", "   ")).otherwise(text)
+    parts = F.split(F.regexp_replace(text, CANDIDATE, _MARKED), "\x01", -1)
     marked = docs.select("doc_id", F.col("source").cast("string").alias("path"), parts.alias("parts")).filter(F.size("parts") > 1)
     each = F.transform(
         F.sequence(F.lit(1), F.size("parts") - 1),
@@ -51,11 +60,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     rows = marked.select("doc_id", "path", F.posexplode(each).alias("at", "found"))
     match = F.substring_index("found.part", "\x02", 1)
-    name = F.regexp_extract(match, f"^{_NAME_END}", 0)
+    name = F.substring_index(match, "\x03", 1)
     return rows.select(
         "doc_id",
         (F.col("at") + 1).alias("nth"),
-        F.substring(match, F.char_length(name) + 1, F.char_length(match)).alias("value"),
+        F.substring_index(match, "\x03", -1).alias("value"),
         name.alias("name"),
         F.col("found.before").alias("before"),
         F.left(F.substring_index("found.part", "\x02", -1), F.lit(NEAR_CHARS)).alias("after"),
@@ -95,12 +104,17 @@ def described(found: DataFrame) -> DataFrame:
     return found.withColumns({k: c.cast("double") for k, c in columns.items()})
 
 
+_HEXES = "sha2(cast(id AS string), 256)"
+_SIXTY = f"translate(concat(base64(unhex({_HEXES})), base64(unhex(sha2(concat('x', id), 256)))), '+/=', 'aZ9')"
+_PLAIN = f"substr(translate({_HEXES}, '0123456789abcdef', 'etaoinshrdlucmfw'), 1, 24)"
+
+
+_BESIDE = f"concat(substr({_PLAIN}, 1, 3), ' ', substr({_PLAIN}, 5, 6), ' ', substr({_PLAIN}, 12, 4), ' ')"
+
+
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     """Findings with label 1 (a secret) or 0: ``each`` of every kind, drawn from digests of their numbers."""
-    hexes = "sha2(cast(id AS string), 256)"
-    sixty = f"translate(concat(base64(unhex({hexes})), base64(unhex(sha2(concat('x', id), 256)))), '+/=', 'aZ9')"
-    plain = f"substr(translate({hexes}, '0123456789abcdef', 'etaoinshrdlucmfw'), 1, 24)"
-    beside = f"concat(substr({plain}, 1, 3), ' ', substr({plain}, 5, 6), ' ', substr({plain}, 12, 4), ' ')"
+    hexes, sixty, plain, beside = _HEXES, _SIXTY, _PLAIN, _BESIDE
     kinds = [  # label, value, name, words before
         (1, f"substr({hexes}, 1, 40)", "token = \"", ""),
         (1, f"upper(substr({hexes}, 1, 40))", "TOKEN = \"", ""),
@@ -137,9 +151,39 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     return spark.sql(" UNION ALL ".join(rows)).coalesce(1)
 
 
+def labelled_forms(spark: SparkSession, each: int = 60, first: int = 0) -> DataFrame:
+    """Findings like ``labelled_findings``, of short values in JSON, dicts, code, XML and URLs."""
+    word = f"substr({_PLAIN}, 1, 6)"
+    secrets = [
+        f"substr({_SIXTY}, 7, 11)",
+        f"concat({word}, 2 + id % 8, substr({_PLAIN}, 9, 1))",
+        f"concat(upper(substr({_PLAIN}, 1, 1)), id % 10, substr({_PLAIN}, 3, 3), id % 7, substr({_PLAIN}, 7, 1), substr('!$%&#', 1 + cast(id % 5 AS int), 1), 'pass', id % 9)",
+        f"concat(initcap({word}), substr('!$%&#', 1 + cast(id % 5 AS int), 1), id % 97, substr({_PLAIN}, 9, 3))",
+        f"substr({_HEXES}, 1, 16)",
+    ]
+    others = [
+        f"substr({_PLAIN}, 1, 5 + cast(id % 6 AS int))",
+        "array('password', 'string', 'required', 'changeme', 'username', 'enter_password', 'your-password', 'example', 'optional', 'secret')[cast(id % 10 AS int)]",
+        "concat(substr('${<%', 1 + cast(id % 3 AS int), 1), '{', array('PASSWORD', 'DB_PASSWORD', 'password', 'api_key', 'TOKEN')[cast(id % 5 AS int)], '}')",
+        f"concat(array('process.env.', 'os.environ.', 'config.get_', 'self.')[cast(id % 4 AS int)], substr({_PLAIN}, 1, 5))",
+        "repeat(substr('xX*.', 1 + cast(id % 4 AS int), 1), 4 + cast(id % 9 AS int))",
+    ]
+    places = [  # name, words before
+        ("password\": \"", "{\""), ("api_key\":\"", "{\"user\": 1, \""), ("password'] = '", "config[\""), ("password := \"", ""), ("token\" => \"", "\""), ("secret: \"", ""), (">", "<password"), ("://bob:", "postgres"), ("://admin:", "see https"),
+    ]
+    one_of = lambda texts: "array(" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + ")[p]"
+    values = " ".join(f"WHEN {v} THEN {value}" for v, value in enumerate(secrets + others))
+    kinds = len(places) * len(secrets + others)
+    return spark.sql(
+        f"SELECT n AS id, CASE WHEN v < {len(secrets)} THEN 1 ELSE 0 END AS label, CASE v {values} END AS value, {one_of([p[0] for p in places])} AS name, concat({_BESIDE}, {one_of([p[1] for p in places])}) AS before, "
+        f"concat(' ', {_BESIDE}) AS after, CASE WHEN id % 10 = CASE WHEN v < {len(secrets)} THEN 3 ELSE 4 END THEN 'tests/data' ELSE concat('src', id % 20) END AS path "
+        f"FROM (SELECT id AS n, id div {kinds} AS id, cast(id % {kinds} div {len(places)} AS int) AS v, cast(id % {len(places)} AS int) AS p FROM range({first * kinds}, {(first + each) * kinds}, 1, 1))"
+    )  # one SELECT: each branch of a union is compiled anew
+
+
 def forest(spark: SparkSession) -> RandomForestClassificationModel:
     """Trained on all labelled findings, some thousands of rows."""
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(labelled_findings(spark)).withColumn("label", F.col("label").cast("double")))
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(labelled_findings(spark).unionAll(labelled_forms(spark)).coalesce(1)).withColumn("label", F.col("label").cast("double")))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(assembled)
 
 
