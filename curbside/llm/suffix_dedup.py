@@ -106,14 +106,15 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return hashes[at[runs]], owner, windows[runs] - (ends - lengths)[owner], np.diff(np.concatenate([runs, [len(windows)]]))
 
 
-def _portions(ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def _portions(ids: list[int], texts: list[bytes], batch_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(ids, offsets, parts) of at most BATCH_BYTES. A giant text is cut so that no window is lost or met twice."""
+    batch_bytes = batch_bytes or BATCH_BYTES
     held: list[tuple[int, int, bytes]] = []
     size = 0
     for i, text in zip(ids, texts, strict=True):
-        for at in range(0, max(1, len(text) - WINDOW + 1), BATCH_BYTES // 2):
-            part = text[at : at + BATCH_BYTES // 2 + WINDOW - 1]
-            if held and size + len(part) > BATCH_BYTES:
+        for at in range(0, max(1, len(text) - WINDOW + 1), batch_bytes // 2):
+            part = text[at : at + batch_bytes // 2 + WINDOW - 1]
+            if held and size + len(part) > batch_bytes:
                 yield np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
                 held, size = [], 0
             held.append((i, at, part))
@@ -136,10 +137,10 @@ def _dealt(buckets: np.ndarray, pack) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets[order][starts], pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
 
-def _anchor_blocks(buckets: int):
+def _anchor_blocks(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, offsets, parts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, offsets, parts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_bytes):
                 keys, owner, starts, counts = anchors(parts)
                 if not len(keys):
                     continue
@@ -179,6 +180,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         starts, sizes = _groups(keys[own])
         if len(own):
             repeated = np.minimum.reduceat(doc[own], starts) != np.maximum.reduceat(doc[own], starts)
+            repeated |= np.maximum.reduceat(where[own] & 3, starts) == _FIRST_KNOWN  # others of a giant text may share its batch
             passed[own] |= np.repeat(repeated, sizes)
         found = np.flatnonzero(passed)
         for k in range(0, len(found), 100_000):
@@ -325,7 +327,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     copies = digests.join(firsts, "digest").filter("doc_id > first").select("doc_id", F.lit(True).alias("copy")).distinct()
     marked = placed.join(copies, "doc_id", "left")
-    blocks = marked.filter("copy IS NULL").select("doc_id", "body").mapInArrow(_anchor_blocks(buckets), "bucket int, block binary")
+    blocks = marked.filter("copy IS NULL").select("doc_id", "body").mapInArrow(_anchor_blocks(buckets, BATCH_BYTES), "bucket int, block binary")
     dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     repeated = dealt.mapInArrow(_repeated_anchors, "doc_id long, key long, place long")
     by_doc = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("found"))

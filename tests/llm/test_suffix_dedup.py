@@ -82,3 +82,21 @@ def test_blocks_keep_their_arrays():
 
 def test_empty_table(make_docs):
     assert suffix_dedup.without_repeats(make_docs([])).count() == 0
+
+
+def test_repeats_of_a_giant_text_settled_in_one_part(spark):
+    """One part of document 5 shares a batch with document 9, another part does not; both hold the anchor."""
+    where = np.arange(2, dtype=np.int64) << 8 | 4
+    block = suffix_dedup._pack(np.array([7, 7], "<u8"), np.array([5, 5], "<i8"), where | [suffix_dedup._FIRST_KNOWN, suffix_dedup._FIRST])
+    rows = [b for b in suffix_dedup._repeated_anchors(iter([suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array([0]), suffix_dedup.pa.array([block])], names=["bucket", "block"])]))]
+    assert sum(b.num_rows for b in rows) == 2
+
+
+def test_parts_are_cut_in_the_workers(make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 400)
+    header = "a running header of some twenty bytes or more that stands on every page "
+    rng = random.Random(3)
+    page = lambda: header + "".join(rng.choice("abcdefgh ") for _ in range(130))
+    book = "".join(page() for _ in range(12))
+    pairs = [(5, book), (9, book[400:700]), (10, "x" + book[1500:1640])]
+    assert rows(suffix_dedup.without_repeats(make_docs(pairs))) == brute(pairs)
