@@ -140,12 +140,13 @@ def _dealt(buckets: np.ndarray, pack) -> pa.RecordBatch:
 def _anchor_blocks(buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, offsets, parts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_bytes):
+            ids, texts = (np.asarray(batch.column(k)) for k in (0, 2))
+            for row, offsets, parts in _portions(list(range(len(ids))), batch.column(1).to_pylist(), batch_bytes):
                 keys, owner, starts, counts = anchors(parts)
                 if not len(keys):
                     continue
                 home, keys = (keys >> np.uint64(40)) % np.uint64(buckets), keys & _KEY
-                doc, starts = ids[owner], starts + offsets[owner]
+                doc, own, starts = ids[row[owner]], texts[row[owner]], starts + offsets[owner]
                 order = np.lexsort((doc, keys))
                 first, sizes = _groups(keys[order])
                 least, most = doc[order][first], doc[order][first + sizes - 1]
@@ -153,7 +154,7 @@ def _anchor_blocks(buckets: int, batch_bytes: int):
                 flag[order] = np.where(doc[order] > np.repeat(least, sizes), _KNOWN, np.where(np.repeat(most > least, sizes), _FIRST_KNOWN, _FIRST))
                 bucket = np.where(flag == _KNOWN, np.arange(len(keys)) % buckets, home.astype(np.int64))
                 where = starts << 8 | counts << 2 | flag
-                yield _dealt(bucket, lambda rows: _pack(keys[rows], doc[rows], where[rows]))
+                yield _dealt(bucket, lambda rows: _pack(keys[rows], doc[rows], own[rows], where[rows]))
 
     return run
 
@@ -173,7 +174,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> Ite
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, doc, where in _by_bucket(batches, ("<u8", "<i8", "<i8")):
+    for keys, doc, text, where in _by_bucket(batches, ("<u8", "<i8", "<i8", "<i8")):
         passed = where & 3 != _FIRST
         own = np.flatnonzero(where & 3 != _KNOWN)
         own = own[np.argsort(keys[own], kind="stable")]
@@ -185,8 +186,8 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         found = np.flatnonzero(passed)
         for k in range(0, len(found), 100_000):
             part = found[k : k + 100_000]
-            columns = [pa.array(doc[part]), pa.array(keys[part].view(np.int64)), pa.array(where[part] >> 2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "place"])
+            columns = [pa.array(doc[part]), pa.array(keys[part].view(np.int64)), pa.array(where[part] >> 2), pa.array(text[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "place", "text_key"])
 
 
 def _window_texts(buckets: int):
@@ -194,12 +195,12 @@ def _window_texts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, starts, texts = [], [], [], []
+            keys, docs, named, starts, texts = [], [], [], [], []
             first: dict[bytes, int] = {}
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
-                found = found.values
-                places = np.asarray(found.field(1))
-                keys.append(np.asarray(found.field(0)))
+            for doc, text, text_key, found in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                key, places, of = (np.asarray(found.values.field(k)) for k in range(3))
+                places = places[of == text_key]
+                keys.append(key[of == text_key])
                 for place in places.tolist():
                     start = place >> 6
                     own = text[start : start + (place & 63) + WINDOW - 1]
@@ -208,17 +209,18 @@ def _window_texts(buckets: int):
                     texts.append(own)
                 starts.append(places >> 6)
                 docs.append(np.full(len(places), doc, np.int64))
+                named.append(np.full(len(places), text_key, np.int64))
             if not texts:
                 continue
-            key, doc, start = np.concatenate(keys).view(np.uint64), np.concatenate(docs), np.concatenate(starts)
+            key, doc, start, text_keys = np.concatenate(keys).view(np.uint64), np.concatenate(docs), np.concatenate(starts), np.concatenate(named)
             known = doc > np.array([first[t] for t in texts])
             bucket = np.where(known, np.arange(len(doc)) % buckets, (key % np.uint64(buckets)).astype(np.int64))
 
-            def pack(rows, key=key, doc=doc, start=start, known=known, texts=texts) -> bytes:
+            def pack(rows, key=key, doc=doc, start=start, known=known, texts=texts, text_keys=text_keys) -> bytes:
                 rows = rows[np.argsort(key[rows], kind="stable")]
                 size = np.array([len(texts[r]) for r in rows.tolist()], np.int64)
                 sent = b"".join(texts[r] for r in rows[~known[rows]].tolist())
-                return _pack(key[rows], doc[rows], start[rows] << 8 | size << 1 | known[rows], np.frombuffer(sent, np.uint8))
+                return _pack(key[rows], doc[rows], text_keys[rows], start[rows] << 8 | size << 1 | known[rows], np.frombuffer(sent, np.uint8))
 
             yield _dealt(bucket, pack)
 
@@ -226,7 +228,7 @@ def _window_texts(buckets: int):
 
 
 def _removed_windows(text: bytes, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, from, to) of the windows that start in an earlier document too.
+    """Spans (entry, from, to) of the windows that start in an earlier document too.
 
     ``text`` holds the different texts one after the other; entry k is the one that begins at ``first[k]``.
     """
@@ -249,23 +251,23 @@ def _removed_windows(text: bytes, docs: np.ndarray, starts: np.ndarray, sizes: n
     rise = np.flatnonzero(gone[1:-1] & (~gone[:-2] | limits[1:-1]))
     fall = np.flatnonzero(gone[1:-1] & (~gone[2:] | np.concatenate([limits[2:-1], [True]])))
     entry = np.searchsorted(begins, rise, side="right") - 1
-    return docs[entry], starts[entry] + rise - begins[entry], starts[entry] + fall - begins[entry] + WINDOW
+    return entry, starts[entry] + rise - begins[entry], starts[entry] + fall - begins[entry] + WINDOW
 
 
 def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, docs, where, sent in _by_bucket(batches, ("<u8", "<i8", "<i8", "u1")):
+    for keys, docs, named, where, sent in _by_bucket(batches, ("<u8", "<i8", "<i8", "<i8", "u1")):
         known, size, start = where & 1 == 1, where >> 1 & 127, where >> 8
-        found = [(docs[known], start[known], start[known] + size[known])]
-        keys, docs, start, size = (c[~known] for c in (keys, docs, start, size))
+        found = [(docs[known], named[known], start[known], start[known] + size[known])]
+        keys, docs, named, start, size = (c[~known] for c in (keys, docs, named, start, size))
         raw, ends = sent.tobytes(), np.cumsum(size)
         order = np.argsort(keys, kind="stable")
-        keys, docs, start, size, begin = keys[order], docs[order], start[order], size[order], (ends - size)[order]
+        keys, docs, named, start, size, begin = keys[order], docs[order], named[order], start[order], size[order], (ends - size)[order]
         texts = [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
         groups, members = _groups(keys)
         if len(groups):  # an anchor whose texts are all the same needs no sorting
             uniform = np.array([texts[g : g + n].count(texts[g]) == n for g, n in zip(groups.tolist(), members.tolist(), strict=True)])
             gone = np.repeat(uniform, members) & (docs > np.repeat(np.minimum.reduceat(docs, groups), members))
-            found.append((docs[gone], start[gone], start[gone] + size[gone]))
+            found.append((docs[gone], named[gone], start[gone], start[gone] + size[gone]))
             groups, members = groups[~uniform], members[~uniform]
         block, first, parts, used, rows = {}, [], [], 0, []
         for k, (g, n) in enumerate(zip(groups.tolist(), members.tolist(), strict=True), 1):
@@ -278,24 +280,27 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first.append(known_at)
             if used > BLOCK_BYTES or k == len(groups):
                 at = np.array(rows)
-                found.append(_removed_windows(b"".join(parts), docs[at], start[at], size[at], np.array(first)))
+                entry, low, high = _removed_windows(b"".join(parts), docs[at], start[at], size[at], np.array(first))
+                found.append((docs[at][entry], named[at][entry], low, high))
                 block, first, parts, used, rows = {}, [], [], 0, []
-        doc, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+        doc, text, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
         for k in range(0, len(doc), 100_000):
             spans = low[k : k + 100_000] << 32 | high[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(spans)], names=["doc_id", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(text[k : k + 100_000]), pa.array(spans)], names=["doc_id", "text_key", "span"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, copy, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        for text, copy, text_key, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), batch.column(4), strict=True):
+            of, spans = (np.asarray(spans.values.field(k)) for k in range(2)) if spans.values is not None else (np.zeros(0, np.int64),) * 2
+            spans = spans[of == text_key]
             if copy and len(text) >= WINDOW:
                 low, high = np.array([0]), np.array([len(text)])
-            elif spans.values is None or not len(spans.values):
+            elif not len(spans):
                 low = high = np.zeros(0, np.int64)
             else:
-                sorted_spans = np.sort(np.asarray(spans.values))
+                sorted_spans = np.sort(spans)
                 low, high = sorted_spans >> 32, np.maximum.accumulate(sorted_spans & 0xFFFFFFFF)
                 apart = np.concatenate([[True], low[1:] > high[:-1]])
                 low, high = low[apart], high[np.concatenate([np.flatnonzero(apart)[1:] - 1, [len(high) - 1]])]
@@ -323,19 +328,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     named = texts.filter("doc_id IS NOT NULL")
     placed = named.repartition(partitions, "doc_id")  # the one shuffle of texts; all three uses below read it
-    digests = named.select("doc_id", F.sha2("body", 256).alias("digest"))
+    # Texts under one id are told apart by their hash; an id with one text, the common case, needs none and sends zeros.
+    own = F.xxhash64("body")
+    several = named.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select("doc_id", F.lit(True).alias("several"))
+    keyed = placed.join(several, "doc_id", "left").select("doc_id", "body", F.when(F.col("several"), own).otherwise(F.lit(0)).alias("text_key"))
+    digests = named.select("doc_id", F.sha2("body", 256).alias("digest"), own.alias("own"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter("doc_id > first").select("doc_id", F.lit(True).alias("copy")).distinct()
-    marked = placed.join(copies, "doc_id", "left")
-    blocks = marked.filter("copy IS NULL").select("doc_id", "body").mapInArrow(_anchor_blocks(buckets, BATCH_BYTES), "bucket int, block binary")
+    copies = digests.join(firsts, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("copied"))
+    copy = F.coalesce(F.array_contains("copied", own), F.lit(False)).alias("copy")
+    marked = keyed.join(copies, "doc_id", "left").select("doc_id", "body", copy, "text_key")
+    blocks = marked.filter("NOT copy").select("doc_id", "body", "text_key").mapInArrow(_anchor_blocks(buckets, BATCH_BYTES), "bucket int, block binary")
     dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    repeated = dealt.mapInArrow(_repeated_anchors, "doc_id long, key long, place long")
-    by_doc = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("found"))
-    windows = placed.join(by_doc, "doc_id").select("doc_id", "body", "found").mapInArrow(_window_texts(buckets), "bucket int, block binary")
+    repeated = dealt.mapInArrow(_repeated_anchors, "doc_id long, key long, place long, text_key long")
+    by_doc = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "text_key")).alias("found"))
+    windows = keyed.join(by_doc, "doc_id").select("doc_id", "body", "text_key", "found").mapInArrow(_window_texts(buckets), "bucket int, block binary")
     shards = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    spans = shards.mapInArrow(_shard_spans, "doc_id long, span long").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    whole = marked.join(spans, "doc_id", "left").select("doc_id", "body", "copy", "spans")
-    nameless = texts.filter("doc_id IS NULL").select("doc_id", "body", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<long>").alias("spans"))
+    spans = shards.mapInArrow(_shard_spans, "doc_id long, text_key long, span long").groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "span")).alias("spans"))
+    whole = marked.join(spans, "doc_id", "left").select("doc_id", "body", "copy", "text_key", "spans")
+    nameless = texts.filter("doc_id IS NULL").selectExpr("doc_id", "body", "false AS copy", "0L AS text_key", "CAST(NULL AS array<struct<text_key:long,span:long>>) AS spans")
     return whole.unionAll(nameless).mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -87,7 +87,7 @@ def test_empty_table(make_docs):
 def test_repeats_of_a_giant_text_settled_in_one_part(spark):
     """One part of document 5 shares a batch with document 9, another part does not; both hold the anchor."""
     where = np.arange(2, dtype=np.int64) << 8 | 4
-    block = suffix_dedup._pack(np.array([7, 7], "<u8"), np.array([5, 5], "<i8"), where | [suffix_dedup._FIRST_KNOWN, suffix_dedup._FIRST])
+    block = suffix_dedup._pack(np.array([7, 7], "<u8"), np.array([5, 5], "<i8"), np.zeros(2, "<i8"), where | [suffix_dedup._FIRST_KNOWN, suffix_dedup._FIRST])
     rows = [b for b in suffix_dedup._repeated_anchors(iter([suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array([0]), suffix_dedup.pa.array([block])], names=["bucket", "block"])]))]
     assert sum(b.num_rows for b in rows) == 2
 
@@ -100,3 +100,11 @@ def test_parts_are_cut_in_the_workers(make_docs, monkeypatch):
     book = "".join(page() for _ in range(12))
     pairs = [(5, book), (9, book[400:700]), (10, "x" + book[1500:1640])]
     assert rows(suffix_dedup.without_repeats(make_docs(pairs))) == brute(pairs)
+
+
+def test_different_texts_under_one_id(make_docs):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y, z = text(300), text(400), text(90)
+    pairs = [(3, x), (7, x), (7, y), (8, y[100:300] + z), (8, z[:60]), (8, text(500) + y[50:200]), (9, z + text(40)), (9, z + text(40)), (7, x)]
+    assert rows(suffix_dedup.without_repeats(make_docs(pairs))) == brute(pairs)
