@@ -4,12 +4,12 @@ Suffixes are L (greater than the suffix after them) or S (smaller); an S suffix
 are sorted first. Then one scan in ascending order places all L suffixes: the suffix before a placed one goes to the
 queue of its first byte. A scan in descending order places all S suffixes the same way. The queues hold (position, common
 prefix with the entry before) and together are the priority queue of the scan: bytes in order, and first come, first
-served within a byte. They spill to disk beyond ``memory`` bytes, so a shard may be far larger than memory; scans only
-append and read in sequence.
+served within a byte. They spill to disk beyond ``memory`` bytes; the text and a few arrays of its length stay in memory,
+so a shard must fit there. Scans only append and read in sequence.
 
 Common-prefix values are carried along: two suffixes that enter a queue one after the other agree on one byte more than
 the suffixes that brought them in, which agree on the least value passed by the scan in between. They are capped at
-``depth``: beyond it order does not matter here, so the recursion that sorts the seeds ends at that depth.
+``depth``: beyond it order does not matter here, so the seeds are sorted directly to that depth, without recursion.
 """
 
 from __future__ import annotations
