@@ -1,47 +1,50 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m characters may appear in a document with up to k edits (``errors_allowed``). It is cut into k + 1
-pieces; k edits touch k pieces at most, so one piece at least appears unchanged. One Aho-Corasick automaton finds the
-pieces of all items in a document, and every place they point to is verified by Myers' bit-parallel edit distance.
+pieces; k edits touch k pieces at most, so one piece at least appears unchanged. An Aho-Corasick automaton finds the
+pieces of many items in a document, and the stretches of text they point to are verified by Myers' bit-parallel edit
+distance. An item without an error budget is one piece, and its hits need no verification.
 
-Both sides are compared in lower case with every run of other characters than letters and digits as one space.
+Both sides are compared in lower case with every run of other characters than letters and digits as one space, and with
+one space at each end, so that an item begins and ends where words do.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
-
 #: One edit for so many characters of an item.
 CHARS_PER_ERROR = 20
-#: Items with fewer normalised characters say nothing by themselves; they match only a document that is nothing else.
-SHORT_CHARS = 25
-#: The benchmark is a stated query set: it is sent to the tasks in blocks of at most so many bytes.
-BLOCK_BYTES = 8 << 20
+#: The benchmark is a stated query set: it is sent to the tasks in blocks of at most so many characters.
+BLOCK_CHARS = 8 << 20
+#: Where there are several blocks, each is read anew for so many characters of documents.
+HELD_CHARS = 48 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
 def normalise(text: str | None) -> str:
-    return " ".join(_WORD.findall((text or "").lower()))
+    """Words between single spaces, with one at each end; empty if there is no word."""
+    words = _WORD.findall((text or "").lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def errors_allowed(item: str) -> int:
-    return len(item) // CHARS_PER_ERROR
+    """Edits that the normalised ``item`` may have; its two outer spaces do not count as characters of it."""
+    return (len(item) - 2) // CHARS_PER_ERROR
 
 
-def best_end(item: str, masks: dict[str, int], text: str, limit: int) -> tuple[int, int] | None:
-    """(distance, end) of the substring of ``text`` nearest to ``item``, the first of equals; None above ``limit``."""
-    size = len(item)
+def least_distance(size: int, masks: dict[str, int], text: str, limit: int) -> int | None:
+    """Least edit distance of an item of ``size`` characters to any substring of ``text``; None above ``limit``."""
     full, high = (1 << size) - 1, 1 << (size - 1)
-    plus, minus, score, best = full, 0, size, None
-    for end, char in enumerate(text, 1):
+    plus, minus, score, best = full, 0, size, limit + 1
+    for char in text:
         equal = masks.get(char, 0)
         vertical = equal | minus
         horizontal = (((equal & plus) + plus) ^ plus) | equal
@@ -50,30 +53,29 @@ def best_end(item: str, masks: dict[str, int], text: str, limit: int) -> tuple[i
             score += 1
         elif down & high:
             score -= 1
+            if score < best:
+                best = score
+                if not best:
+                    break
         up, down = (up << 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(vertical | up)), up & vertical
-        if score <= limit and (best is None or score < best[0]):
-            best = score, end
-    return best
+    return best if best <= limit else None
 
 
 class Items:
-    """Pieces of all items in one automaton."""
+    """Pieces of all items of a block in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if t]
         self.masks: list[dict[str, int]] = []
-        self.whole: dict[str, list[int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(self.items):
             masks: dict[str, int] = {}
-            for p, char in enumerate(text):
-                masks[char] = masks.get(char, 0) | 1 << p
-            self.masks.append(masks)
-            if len(text) < SHORT_CHARS:
-                self.whole.setdefault(text, []).append(k)
-                continue
             parts = errors_allowed(text) + 1
+            if parts > 1:
+                for p, char in enumerate(text):
+                    masks[char] = masks.get(char, 0) | 1 << p
+            self.masks.append(masks)
             for j in range(parts):
                 lo, hi = j * len(text) // parts, (j + 1) * len(text) // parts
                 pieces.setdefault(text[lo:hi], []).append((k, lo))
@@ -82,105 +84,135 @@ class Items:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def matches(self, text: str | None) -> list[tuple[int, int]]:
-        """(item_id, smallest distance) of every item in ``text``, by item_id."""
-        text = normalise(text)
-        found = dict.fromkeys(self.whole.get(text, []), 0)
-        if len(self.automaton):
-            tried: set[tuple[int, int]] = set()
+    def matches(self, text: str) -> dict[int, int]:
+        """Smallest distance by item_id of every item in the normalised ``text``."""
+        exact: set[int] = set()
+        near: dict[int, list[int]] = {}  # where items may start
+        if text and len(self.automaton):
             for end, (length, places) in self.automaton.iter(text):
                 for k, offset in places:
-                    item = self.items[k][1]
-                    limit = errors_allowed(item)
-                    start = end + 1 - length - offset
-                    if found.get(k) == 0 or (k, start) in tried:
-                        continue
-                    tried.add((k, start))
-                    lo = max(0, start - limit)
-                    best = best_end(item, self.masks[k], text[lo : max(0, start) + len(item) + limit], limit)
-                    if best and best[0] < found.get(k, limit + 1):
-                        found[k] = best[0]
-        ids: dict[int, int] = {}
-        for k, distance in found.items():
-            ids[self.items[k][0]] = min(distance, ids.get(self.items[k][0], distance))
-        return sorted(ids.items())
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The query set in blocks of bounded size; the driver holds one row and the blocks' ids at a time."""
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    blocks: list[list[tuple[int, str]]] = [[]]
+                    if self.masks[k]:
+                        near.setdefault(k, []).append(end + 1 - length - offset)
+                    else:
+                        exact.add(k)
+        found: dict[int, int] = {}
+
+        def keep(k: int, distance: int) -> None:
+            key = self.items[k][0]
+            found[key] = min(distance, found.get(key, distance))
+
+        for k in exact:
+            keep(k, 0)
+        for k, starts in near.items():
+            item = self.items[k][1]
+            limit = errors_allowed(item)
+            reach = len(item) + limit
+            starts = sorted(set(starts))
+            at = 0
+            while at < len(starts):  # stretches that overlap are read once
+                lo, hi = max(0, starts[at] - limit), starts[at] + reach
+                while at < len(starts) and starts[at] - limit <= hi:
+                    hi = starts[at] + reach
+                    at += 1
+                if (distance := least_distance(len(item), self.masks[k], text[lo : max(0, hi)], limit)) is not None:
+                    keep(k, distance)
+                    if not distance:
+                        break
+        return found
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[Broadcast]:
+    """The query set sent in blocks of bounded size. The driver's Python holds one block at a time."""
+    session = benchmark.sparkSession.sparkContext
+    sent: list[Broadcast] = []
+    block: list[tuple[int, str]] = []
     size = 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(row["text"]) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
+    for row in benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
+        if block and size + len(row["text"]) > block_chars:
+            sent.append(session.broadcast(block))
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
         size += len(row["text"])
-    return blocks
+    return [*sent, session.broadcast(block)] if block else sent
+
+
+def _searcher(sent: list[Broadcast]) -> Callable[[list[str]], list[dict[int, int]]]:
+    """A function from texts to their items. One block is kept as an automaton, of several one at a time is built."""
+    kept = Items(sent[0].value) if len(sent) == 1 else None
+
+    def search(texts: list[str]) -> list[dict[int, int]]:
+        found: list[dict[int, int]] = [{} for _ in texts]
+        for block in sent:
+            items = kept or Items(block.value)
+            for own, text in zip(found, texts, strict=True):
+                for key, distance in items.matches(text).items():
+                    own[key] = min(distance, own.get(key, distance))
+        return found
+
+    return search
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _held(batches: Iterator[tuple], chars: int) -> Iterator[list[tuple]]:
+    """Batches (anything, normalised texts), as many together as hold ``chars`` characters."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(map(len, batch[1]))
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each contaminated row of ``docs`` (doc_id, text, ...): doc_id, contaminated (true), item_ids (sorted),
     distances (edits of each), n_items. Clean documents give no row.
 
-    ``benchmark`` (item_id, text, ...) may hold nulls, which match nothing, and repeated rows. A null or empty text is
-    clean. Texts are searched whole. Either table may be empty; repeated documents appear again.
+    ``benchmark`` (item_id, text, ...) may hold nulls and items without a word, which match nothing, and repeated rows;
+    of several texts under one item_id the nearest counts. A null or empty text is clean. Texts are searched whole, the
+    shortest items included. Either table may be empty; repeated documents appear again, with or without a doc_id.
+    Documents are read once, however many blocks the benchmark has. Other columns are ignored.
     """
-    text_batches(docs.sparkSession)
-    session = docs.sparkSession.sparkContext
-    parts = []
-    for block in _blocks(benchmark, block_bytes):
-        sent = session.broadcast(block)  # block_bytes at most
-
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            items = Items(sent.value)
-            for frame in frames:
-                rows = [(d, m) for d, m in zip(frame["doc_id"], map(items.matches, frame["text"]), strict=True) if m]
-                if not rows:
-                    continue
+    sent = _blocks(benchmark, block_chars)
+    held_chars = HELD_CHARS if len(sent) > 1 else 0
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _searcher(sent)
+        batches = ((frame["doc_id"], [normalise(t) for t in frame["text"]]) for frame in frames)
+        for held in _held(batches, held_chars):
+            ids = [i for own, _ in held for i in own]
+            found = find([t for _, texts in held for t in texts])
+            rows = [(i, sorted(m.items())) for i, m in zip(ids, found, strict=True) if m]
+            if rows:
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([d for d, _ in rows], "Int64"),
+                        "doc_id": pd.array([i for i, _ in rows], "Int64"),
                         "item_ids": [[i for i, _ in m] for _, m in rows],
                         "distances": [[d for _, d in m] for _, m in rows],
                     }
                 )
 
-        parts.append(docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_ids array<long>, distances array<int>"))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionAll(part)
-        pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("item_ids", "distances"))))
-        found = found.groupBy("doc_id").agg(F.array_distinct(pairs).alias("pairs"))
-        found = found.select("doc_id", F.col("pairs.item_ids").alias("item_ids"), F.col("pairs.distances").alias("distances"))
+    found = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_ids array<long>, distances array<int>")
     return found.select("doc_id", F.lit(True).alias("contaminated"), "item_ids", "distances", F.size("item_ids").cast("long").alias("n_items"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item."""
-    text_batches(docs.sparkSession)
-    session = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark, block_bytes):
-        sent = session.broadcast(block)
-
-        def clean(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            items = Items(sent.value)
-            for frame in frames:
-                yield pd.DataFrame({"clean": [not items.matches(t) for t in frame["text"]]})
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` (text, ...), all columns, whose text holds no test item.
 
-        flag = _row_flag(clean)
-        docs = docs.filter(flag(F.col("text")))
-    return docs
-
-
-def _row_flag(clean):
-    """A column function of the frames function ``clean``; one automaton for each task, not for each batch."""
+    Nulls, empty and long texts, items and tables as in :func:`contaminated`; repeated rows stay or go together, and no
+    column is added, so none can clash.
+    """
+    sent = _blocks(benchmark, block_chars)
+    if not sent:
+        return docs
+    held_chars = HELD_CHARS if len(sent) > 1 else 0
 
     @F.pandas_udf("boolean")
-    def flag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for made in clean(pd.DataFrame({"text": t}) for t in texts):
-            yield made["clean"]
+    def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _searcher(sent)
+        for held in _held(((None, [normalise(t) for t in own]) for own in series), held_chars):
+            for _, texts in held if len(held) == 1 else [(None, [t for _, texts in held for t in texts])]:
+                yield pd.Series([not m for m in find(texts)], dtype=bool)
 
-    return flag
+    return docs.filter(clean(F.col("text").cast("string")))

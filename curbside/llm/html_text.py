@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
 from curbside.llm.labelled_pages import labelled_pages
 
 # Element names of HTML.
@@ -272,7 +271,6 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null and empty pages have an empty text, as have pages without main text. Pages are read whole, broken markup
     included. Repeated rows appear again, an empty table gives no rows, other columns are ignored.
     """
-    text_batches(pages.sparkSession)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import cut, text_batches
+from curbside.llm.common import cut, labelled_texts, stored
 from curbside.llm.linear import Logistic, fit_logistic
 
 #: The document classifier is fitted on so many labelled rows at most, the first of each label by a hash of doc_id.
@@ -25,6 +25,8 @@ SAMPLE_PER_LABEL = 4000
 #: A site moves the log-odds of its documents by so much at most.
 SITE_WEIGHT, SITE_BOUND = 0.5, 1.0
 KEEP_AT = 0.5
+#: Probabilities are rounded to so many digits, so that sums of them are exact.
+_DIGITS = 9
 #: Up to so many sites (some MB) are sent to the tasks; texts then stay where they are.
 BROADCAST_SITES = 100_000
 _WORD = re.compile(r"\S+")
@@ -65,16 +67,15 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, per_label: int) -> Logistic:
-    order = F.xxhash64("doc_id")
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
-    picked = known.filter("y = 1").orderBy(order).limit(per_label).unionAll(known.filter("y = 0").orderBy(order).limit(per_label))
     shares = dict(known.groupBy("y").count().collect())  # two numbers
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"], "x": [statistics(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [statistics(t) for t in frame["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(features, "y int, x array<double>").toPandas()
+    rows = labelled_texts(docs, known, per_label).mapInPandas(features, "doc_id long, y int, x array<double>").toPandas()
+    rows = rows.sort_values(["doc_id", "y"])  # sums of doubles depend on the order
     if rows["y"].nunique() < 2:
         return Logistic.constant(len(_NAMES), 1.0)
     y = rows["y"].to_numpy(float)
@@ -97,55 +98,90 @@ def _strength(groups: DataFrame, mean: float, size: str, total: str) -> float:
     if not row["n"] or row["k"] < 2 or noise <= 0:
         return 1e4
     between = (row["spread"] - noise * (row["k"] - 1)) / max(1e-9, row["n"] - row["n2"] / row["n"])
-    return float(min(1e4, max(10.0, noise / between - 1))) if between > 0 else 1e4
+    return float(f"{min(1e4, max(10.0, noise / between - 1)):.6g}") if between > 0 else 1e4  # no digits that depend on the order of rows
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """All rows and columns of ``docs`` with p_text, host_posterior, path_posterior, posterior, quality_keep.
-
-    ``host`` and ``path`` name a document's site, by default its source and its language section. Null texts count as
-    empty, null hosts and paths as a site of their own. ``labels`` (doc_id, quality, ...) may be empty: then every text
-    has the same evidence and all are kept. An empty table gives no rows, repeated rows appear again; clashing columns
-    of ``docs`` are replaced.
-    """
-    text_batches(docs.sparkSession)
+def _evidence(rows: DataFrame, docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, per_label: int) -> DataFrame:
+    """``rows`` (a column ``row`` of what to keep, besides the columns of ``docs``) as row, host, path, p_text."""
     model = _fit(docs, labels, per_label)
 
     @F.pandas_udf("double")
     def p_text(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.array([statistics(t) for t in texts]).reshape(-1, len(_NAMES))))
+        return pd.Series(np.round(model.probability(np.array([statistics(t) for t in texts]).reshape(-1, len(_NAMES))), _DIGITS))
 
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
-    own = docs.drop("p_text", "_host", "_path", "host_posterior", "path_posterior", "posterior", "quality_keep")
-    own = own.withColumns({"p_text": p_text(F.col("text")), "_host": host, "_path": path})
-    paths = cut(own.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p_text").alias("s")))  # texts are scored once for all that follows
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    row = whole.first()
+    return rows.select("row", host.alias("host"), path.alias("path"), p_text(F.col("text").cast("string")).alias("p_text"))
+
+
+def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
+    """(host, path, host_posterior, path_posterior) of every site of ``evidence`` (host, path, p_text), and the mean of
+    p_text. Sums are whole numbers, so they do not depend on the order of rows."""
+    units = F.sum(F.round(F.col("p_text") * 10**_DIGITS).cast("long"))
+    paths = cut(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), (units.cast("double") / 10**_DIGITS).alias("s")))
+    row = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not row["n"]:
         mean, of_hosts, of_paths = 0.5, 1e4, 1e4
     else:
-        mean = min(1 - 1e-6, max(1e-6, row["s"] / row["n"]))
-        hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        mean = round(min(1 - 1e-6, max(1e-6, row["s"] / row["n"])), _DIGITS)
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         of_hosts, of_paths = _strength(hosts, mean, "n", "s"), _strength(paths, mean, "n", "s")
-    hosts = paths.groupBy("_host").agg(((F.sum("s") + of_hosts * mean) / (F.sum("n") + of_hosts)).alias("host_posterior"))
-    sites = paths.join(hosts, "_host").select(
-        "_host", "_path", "host_posterior", ((F.col("s") + of_paths * F.col("host_posterior")) / (F.col("n") + of_paths)).alias("path_posterior")
+    hosts = paths.groupBy("host").agg(F.round((F.sum("s") + of_hosts * mean) / (F.sum("n") + of_hosts), _DIGITS).alias("host_posterior"))
+    sites = paths.join(hosts, "host").select(
+        "host", "path", "host_posterior", F.round((F.col("s") + of_paths * F.col("host_posterior")) / (F.col("n") + of_paths), _DIGITS).alias("path_posterior")
     )
     if paths.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:  # else a shuffled join, whose hot sites Spark splits
         sites = F.broadcast(sites)
+    return sites, mean
+
+
+def _judged(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with host_posterior, path_posterior, posterior and keep."""
+    sites, mean = site_posteriors(evidence)
     shift = SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(mean)))
     odds = _logit(F.col("p_text")) + F.greatest(F.lit(-SITE_BOUND), F.least(F.lit(SITE_BOUND), shift))
-    out = own.join(sites, ["_host", "_path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("quality_keep", F.col("posterior") >= KEEP_AT).drop("_host", "_path")
+    out = evidence.join(sites, ["host", "path"]).withColumn("posterior", F.round(1 / (1 + F.exp(-odds)), _DIGITS))
+    return out.withColumn("keep", F.col("posterior") >= KEEP_AT)
+
+
+def _whole_rows(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """All of ``docs`` packed in a column ``row``, so that no name can clash, with their scores. Texts are scored once:
+    the scores are stored with the rows, and only they are read for the sites."""
+    packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    rows = docs.withColumn("row", packed)  # a column of that name is inside the packed one
+    return _judged(stored(_evidence(rows, docs, labels, host, path, per_label), "quality"))
 
 
-def decisions(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, p_text, host_posterior, path_posterior, posterior, keep."""
-    rows = scored(docs.select("doc_id", "text", "source", "lang"), labels, **options)
-    return rows.select("doc_id", "p_text", "host_posterior", "path_posterior", "posterior", F.col("quality_keep").alias("keep"))
+def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """All rows and columns of ``docs`` (doc_id, text, source, lang, ...) with p_text, host_posterior, path_posterior,
+    posterior, quality_keep. Options are ``host`` and ``path``, columns that name a document's site (by default its
+    source and its language section), and ``per_label``, the bound of the sample.
+
+    Null texts count as empty and very long ones are read whole; null hosts and paths are a site of their own. ``labels``
+    (doc_id, quality, ...) may be empty: then every text has the same evidence and all are kept. Documents with both
+    marks count for both; a posterior of exactly KEEP_AT is kept. An empty table gives no rows, repeated rows appear
+    again; columns of ``docs`` named like a score are replaced, all others stay as they are.
+    """
+    rows = _whole_rows(docs, labels, **options)
+    own = ["p_text", "host_posterior", "path_posterior", "posterior", "quality_keep"]
+    kept_columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own]
+    return rows.withColumnRenamed("keep", "quality_keep").select(*kept_columns, *own)
+
+
+def decisions(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, p_text, host_posterior, path_posterior, posterior, keep.
+
+    Nulls, long texts, ties, repeated rows and empty tables as in :func:`scored`; other columns are ignored.
+    """
+    rows = docs.withColumn("row", F.col("doc_id"))
+    found = _judged(stored(_evidence(rows, docs, labels, host, path, per_label), "quality"))
+    return found.select(F.col("row").alias("doc_id"), "p_text", "host_posterior", "path_posterior", "posterior", "keep")
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps."""
-    return scored(docs, labels, **options).filter("quality_keep").select(docs.columns)
+    """The rows of ``docs`` that the classifier keeps, with all their columns as they were, whatever their names.
+
+    Nulls, long texts, ties, repeated rows and empty tables as in :func:`scored`.
+    """
+    rows = _whole_rows(docs, labels, **options).filter("keep")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
 from curbside.llm.pieces import NEVER, Memo, Vocabulary, vocabulary
 from curbside.llm.token_counts import MODEL_FILE
 
@@ -159,7 +158,6 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CH
     ``chunk`` characters go through the scan over chunks, the others through one pass. Repeated rows appear again, an
     empty table gives no rows, other columns are ignored.
     """
-    text_batches(docs.sparkSession)
     # Giants are known by two digests of the text; repeated giants are worked out once.
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.when(F.char_length("text") >= chunk, F.xxhash64("text", F.lit(chunk))))

@@ -29,7 +29,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
 from curbside.llm.induced_sort import induced_suffixes
 
 WINDOW, GRAM = 50, 20
@@ -322,7 +321,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     row without doc_id stays whole and removes nothing. An empty table gives no rows; other columns are ignored.
     """
     session = docs.sparkSession
-    text_batches(session)
     partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))

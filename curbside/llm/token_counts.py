@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
 from curbside.llm.pieces import NEVER, Memo, Vocabulary, vocabulary
 
 #: Where the public vocabulary lies on the cluster's machines; every caller may name another.
@@ -57,7 +56,6 @@ def token_counts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     no piece can cross, and the segments between cuts are worked out once and remembered in a bounded table. Repeated
     rows appear again, an empty table gives no rows, other columns are ignored.
     """
-    text_batches(docs.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(model_file)

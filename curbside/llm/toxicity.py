@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import text_batches
 from curbside.llm.linear import Logistic, fit_logistic
 
 #: Bounded sample of labelled rows: the first of each label by a hash of doc_id.
@@ -209,7 +208,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     than 0 and 1 are ignored; with no marks of one kind every text has the same score. A null doc_id is not held out.
     Repeated rows appear again, an empty table gives no rows, other columns are ignored.
     """
-    text_batches(docs.sparkSession)
     stems, levels, model = train(docs, labels, per_label)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,10 +57,56 @@ def test_label_model_finds_the_reliable_voter():
     assert share[0] < 0.7 and share[2] > 0.9  # the copy shares its vote
 
 
-def test_quality_on_labels(tables):
+def test_quality_on_held_out_rows(tables):
+    """Fitted on two folds of the labels by a hash of the id, measured on the third."""
+    from pyspark.sql import functions as F
+
     labels = tables("labels", BIG)
-    rows = quality.decisions(tables("documents", BIG), labels).join(labels, "doc_id").toPandas()
-    assert rows[rows.quality == 1].keep.mean() > 0.99 and rows[rows.quality == 0].keep.mean() < 0.05
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    rows = quality.decisions(tables("documents", BIG), labels.filter(~fold)).join(labels.filter(fold), "doc_id").toPandas()
+    assert len(rows) > 1000 and rows[rows.quality == 1].keep.mean() > 0.99 and rows[rows.quality == 0].keep.mean() < 0.05
+
+
+def test_site_posteriors_against_plain_sums(spark):
+    rng = random.Random(6)
+    rows = [(f"h{k % 4}", f"p{k % 3}", round(min(1.0, max(0.0, rng.gauss(0.3 + 0.15 * (k % 4), 0.2))), 9)) for k in range(997)] + [("h9", "p0", 0.0), ("", "", 1.0)]
+    found, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_text double"))
+    total = sum(p for *_, p in rows) / len(rows)
+    assert abs(mean - total) < 1e-8
+
+    def sums(key):
+        out = {}
+        for row in rows:
+            n, s = out.get(key(row), (0, 0.0))
+            out[key(row)] = n + 1, s + row[2]
+        return out
+
+    def strength(groups):
+        n, spread = sum(g[0] for g in groups), sum(g[0] * (g[1] / g[0] - total) ** 2 for g in groups)
+        noise = total * (1 - total)
+        between = (spread - noise * (len(groups) - 1)) / (n - sum(g[0] ** 2 for g in groups) / n)
+        return min(1e4, max(10.0, noise / between - 1)) if between > 0 else 1e4
+
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    a, b = strength(list(hosts.values())), strength(list(paths.values()))
+    host = {h: (s + a * total) / (n + a) for h, (n, s) in hosts.items()}
+    want = {p: (host[p[0]], (s + b * host[p[0]]) / (n + b)) for p, (n, s) in paths.items()}
+    got = {(r.host, r.path): (r.host_posterior, r.path_posterior) for r in found.collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 1e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_quality_leaves_other_columns_alone(spark, tables):
+    """Columns named like scores or like inner names come through; empty and long texts, repeats and nulls are judged."""
+    rows = [(1, "short", "en", "src0"), (2, None, None, None), (2, "", None, None), (3, "word and text. " * 100_000, "en", "src0"), (3, "word and text. " * 100_000, "en", "src0"), (None, "x", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", "'mine' AS p_text", "7 AS _host", "8 AS row", "9 AS `a.b`", "10 AS path", "11 AS keep", "12 AS quality_keep", "13 AS host", "array(1) AS text_")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.kept(docs, none)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    assert quality.kept(docs.limit(0), tables("labels")).count() == 0
+    scores = quality.scored(docs, tables("labels"))
+    assert scores.count() == len(rows) and {"_host", "row", "a.b", "path", "keep", "host"} <= set(scores.columns)
+    assert scores.select("p_text").dtypes == [("p_text", "double")]
 
 
 def test_sites_shrink_towards_their_parents(spark, tables):

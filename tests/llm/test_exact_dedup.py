@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from curbside.llm.exact_dedup import exact_dedup
+from curbside.llm.exact_dedup import exact_dedup, kept
 
 
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -27,3 +27,14 @@ def test_matches_brute_force(make_docs):
 
 def test_empty_table(make_docs):
     assert exact_dedup(make_docs([])).count() == 0
+
+
+def test_kept_rows(make_docs):
+    """Rows are judged by their texts, whatever ids they share; one row of each group stays."""
+    pairs = [(5, "alpha"), (5, "beta"), (9, "beta"), (9, "BETA"), (9, "gamma"), (9, "gamma"), (None, "alpha"), (None, "x"), (None, "x"), (None, None), (None, "")]
+    got = kept(make_docs(pairs, extra=True))
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    beta = max(("beta", "BETA"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert sorted((r for r in rows if r[1]), key=str) == sorted([(5, "alpha"), (9, beta), (9, "gamma"), (None, "x")], key=str)
+    assert len(rows) == 5 and got.columns == make_docs([], extra=True).columns
+    assert kept(make_docs([])).count() == 0

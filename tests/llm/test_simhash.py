@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from curbside.llm import simhash
@@ -54,12 +56,77 @@ def test_matches_brute_force(make_docs):
     assert len({c for _, _, c in found}) < len(pairs) - 20
 
 
-def test_large_shard_is_linked_without_pairs():
+def test_split_shards_change_nothing(make_docs):
+    """Shards of more than two fingerprints are split before they are dealt."""
+    pairs = near_texts(200, 5)
+    found = simhash._members(make_docs(pairs), False, split_rows=2, sampled=1).select("doc_id", "fp", "component_id").collect()
+    assert sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in found) == brute_components(pairs)
+
+
+def labels_of(fps, links):
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            assert (x ^ y).bit_count() <= 4
+            root[max(find(x), find(y))] = min(find(x), find(y))
+    return [find(int(f)) for f in fps]
+
+
+def test_dense_shard_is_linked_without_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
     fps = np.unique(np.array([b ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for b in base for i in range(40) for j in range(40)], np.uint64))
-    src, dst = simhash._star(fps, np.arange(len(fps)), 4)
-    assert len(src) == len(fps) - 3
+    links = simhash._linked(fps)
+    assert sum(len(a) for a, _ in links) == len(fps) - 3 and len(set(labels_of(fps, links))) == 3
+
+
+def test_sparse_shard_is_split():
+    """A shard of 100,000 unlike fingerprints that share 22 bits, a few of them near: no work on all pairs."""
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**42, 100_000, dtype=np.uint64) | np.uint64(5 << 60))
+    flips = np.array([sum(1 << int(b) for b in rng.choice(42, n, replace=False)) for n in rng.integers(1, 6, 500)], np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:500] ^ flips]))
+    began = time.process_time()
+    links = simhash._linked(fps)
+    took = time.process_time() - began
+    assert took < 10
+    near = np.concatenate([np.flatnonzero(np.bitwise_count(fps ^ f) <= 4) for f in (fps[:300] ^ np.uint64(0))])
+    labels = dict(zip(fps.tolist(), labels_of(fps, links), strict=True))
+    for f in np.concatenate([fps[:300], (fps[near])]):
+        others = fps[np.bitwise_count(fps ^ f) <= 4].tolist()
+        assert {labels[o] for o in others} == {labels[int(f)]}
+
+
+def test_leaves_meet_every_near_pair():
+    """At each of three levels two fingerprints within the radius share a shard."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    b = a ^ np.array([sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for n in rng.integers(0, 5, 400)], np.uint64)
+    split = []
+    for level in range(3):
+        shards = [pd.concat(simhash._shards(split)(iter([pd.DataFrame({"fp": x.view(np.int64)})]))) for x in (a, b)]
+        held = [set(zip(f["shard"], f["fp"], strict=True)) for f in shards]
+        by_fp = [{}, {}]
+        for k in range(2):
+            for shard, fp in held[k]:
+                by_fp[k].setdefault(fp, set()).add(shard)
+        assert all(by_fp[0][int(x)] & by_fp[1][int(y)] for x, y in zip(a.view(np.int64), b.view(np.int64), strict=True))
+        split.append(np.unique(np.concatenate([f["shard"] for f in shards]))[::2])
+
+
+def test_kept_rows(make_docs):
+    near = " ".join(f"w{k}" for k in range(300))
+    pairs = [(5, near), (9, near + " x"), (9, "other"), (9, "other"), (3, "something else here now"), (5, "something else here now"), (None, "lonely"), (None, "lonely"), (None, "other")]
+    got = simhash.kept(make_docs(pairs, extra=True))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, near), (9, "other"), (3, "something else here now"), (None, "lonely")], key=str)
+    assert got.columns == make_docs([], extra=True).columns
+    assert simhash.kept(make_docs([])).count() == 0
 
 
 def test_empty_table(make_docs):
