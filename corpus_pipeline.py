@@ -3,6 +3,11 @@
 Every stage works on all rows that the one before kept, and its result is written as Parquet in the shared folder of the
 cluster, so a lost executor costs a stage's tasks and not the pipeline. All stages but the last return the columns of
 ``documents``.
+
+Rows are known by doc_id and text together, so rows that share an id, or have none, are judged each by its own text.
+Null texts count as empty, texts are read whole, repeated rows become one row in the second stage, an empty table gives
+an empty table, and further columns of ``documents`` come through as they are, whatever their names. Ties are told at each
+operator.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from curbside.llm import decontamination, exact_dedup, quality, sentencepiece_codec, simhash
 from curbside.llm.common import shared_folder
@@ -20,31 +24,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, nulls included."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     return quality.kept(docs, _table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id; rows repeated under that id become one."""
-    groups = exact_dedup.exact_dedup(docs)
-    repeated = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id").distinct()
-    kept = _only(docs, groups.filter("kept"))
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts, the one with the largest doc_id; rows are judged by their texts, whatever ids they share."""
+    return exact_dedup.kept(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    members = simhash.simhash_components(docs)
-    return _only(docs, members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each group of near-duplicates, the one with the smallest doc_id."""
+    return simhash.kept(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
