@@ -1,7 +1,7 @@
 """Labelled pages from which the extraction model is trained.
 
 ``y=1`` marks an element as main text and ``y=0`` as surroundings; what lies inside inherits the mark, and elements
-without a mark that hold no main text are surroundings. ``{S}`` stands for a paragraph, ``{T}`` for a short sentence, ``{W}`` for one to three words; each use draws another text.
+without a mark that hold no main text are surroundings. "Comments" and "Related stories" are headings that name surroundings. ``{S}`` stands for a paragraph, ``{T}`` for a short sentence, ``{W}`` for one to three words; each use draws another text.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ PAGES = [
     "<body><main y=1><article><h1>{W}</h1><p>{W}</p><p>{S}</p></article><div class=sponsored y=0><p>{S}</p></div><div class='user-comments' y=0><ul><li><p>{S}</p></li><li>{S}</li></ul></div></main><div class=popup><p>{S}</p></div></body>",
     f"<body><div id=banner>{{T}}</div><div id=main y=1><h1>{{T}}</h1><p>{{S}} <a href=/x>{{W}}</a> {{S}}</p><p>{{S}}</p><figure><figcaption>{{T}}</figcaption></figure><p>{{W}}.</p></div><div id=sidebar><p>{{S}}</p><p>{{T}}</p></div><div id=copyright>{{T}}</div></body>",
     f"<body><nav>{_MENU}</nav><article y=1><h1>{{W}}</h1><p>{{W}}</p></article><footer>{{S}}</footer></body>",
+    "<body><article y=1><h1>{T}</h1><p>{S} <span class=ad y=0>{T}</span> {S}</p><p>{S} <em class=term>{W}</em> {S} <a class=share href=/s y=0>{W}</a></p><p><span class=text>{S}</span></p><p>{T}</p></article><footer>{T}</footer></body>",
+    "<body><main y=1><h1>{T}</h1><p>{S}</p><h2>{W}</h2><p>{S} <small class=sponsored y=0>{S}</small></p><p>{S}</p></main><section y=0><h2>Comments</h2><p>{S}</p><p>{S}</p><ol><li>{S}</li></ol></section></body>",
+    "<body><div class=wrap><div y=1><h1>{T}</h1><p>{S}</p><p>{S}</p><p><b class=lead>{T}</b> {S}</p></div><div y=0><h3>Related stories</h3><p>{T}</p><p>{S}</p></div></div><div class=footer><p>{T} <span class=copyright>{W}</span></p></div></body>",
     f"<body><div class=layout><aside>{_MENU}<p>{{S}}</p></aside><div y=1><p>{{S}}</p><p>{{S}}</p><p>{{S}}</p></div></div><div class=legal><p>{{S}}</p></div></body>",
 ]
 
