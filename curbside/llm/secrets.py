@@ -1,9 +1,10 @@
 """Secret scan with a random forest that removes false positives; DataFrame and SQL functions only.
 
-One regular expression marks candidates in whole texts: values assigned to a telling name (in code, JSON, YAML, XML and
-the like), passwords in URLs, and long runs of key characters that hold a digit. Each candidate is described by its length, the transitions between kinds of characters,
-how much of it a small dictionary covers, its path, and the words beside it. A random forest trained on labelled
-findings (``labelled_findings``) scores it. Secrets themselves are not returned, only their digests.
+One regular expression marks candidates in whole texts: values assigned to a telling name (in code, JSON, YAML, XML,
+options of commands or plain sentences), passwords in URLs, private keys, and all long runs of key characters. Each
+candidate is described by its length, the transitions between kinds of characters, how much of it a small dictionary
+covers, its path, and the words beside it. A random forest trained on labelled findings (``labelled_findings``,
+``labelled_forms``) scores it and does all rejecting. Secrets themselves are not returned, only their digests.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ NEAR_CHARS = 40
 # Names that secrets are assigned to, words near secrets, words near false positives, common words in names.
 _ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential"
 # The key may be quoted, in brackets, of a stated type, or itself the value of an attribute whose neighbour is "value".
-_KEY = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,12}})(?:\\?[\"'`])?\]?"
-_SIGN = r"\s{0,20}(?::=|<-|=>|={1,3}|:(?:\s{0,3}[&\w.<>\[\]?]{1,24}\s{0,3}=)?|(?i:value)\s{0,3}=)\s{0,20}"
+_KEY = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,64}}+)(?:\\?[\"'`])?\]?"
+_SIGN = r"(?:\s*+(?::=|<-|=>|={1,3}|:(?:\s{0,3}[&\w.<>\[\]?]{1,24}\s{0,3}=)?|(?i:value)\s{0,3}=)\s*+|\s++(?i:is|was)\s++)"
+_OPTION = rf"(?<![\w-])--?{_KEY}[ ]++(?!-)"
 _QUOTED = "|".join([r"(\\[\"'])([^\"'\s\\]{4,})", r"([A-Za-z]{0,2}\")([^\"\s]{4,})", r"([A-Za-z]{0,2}')([^'\s]{4,})", r"(`)([^`\s]{4,})"])
 _ELEMENT = rf"(>(?<=<[\w:.-]{{0,32}}(?i:{_ASSIGNED})[\w:.-]{{0,12}}(?:\s[^<>]{{0,200}})?>)(?<!/>)\s{{0,20}})(?:(<!\[CDATA\[)([^\s<>\]]{{4,}})|([^\s<>]{{4,}}))"
 _URL = r"(://[^\s/:@\"'<>]{0,256}:)([^\s/?#\"'<>]+)(?=@)"
-_KEY_LIKE = r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*+[0-9])([\w+/=-]{20,})"
-CANDIDATE = rf"({_KEY}{_SIGN})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_KEY_LIKE}"
+_PRIVATE_KEY = r"(-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----)([^-]*+(?:-(?!----)[^-]*+)*+)"
+_KEY_LIKE = r"(?<![\w+/=-])(?=[_+/=-]*+[A-Za-z0-9])([\w+/=-]{20,}+)"
+CANDIDATE = rf"({_KEY}{_SIGN}|{_OPTION})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_PRIVATE_KEY}|{_KEY_LIKE}"
 #: Its groups that belong to the name and to the value; of each the ones that took no part are empty.
-_NAME_GROUPS, _VALUE_GROUPS = (1, 2, 4, 6, 8, 11, 12, 15), (3, 5, 7, 9, 10, 13, 14, 16, 17)
+_NAME_GROUPS, _VALUE_GROUPS = (1, 2, 4, 6, 8, 11, 12, 15, 17), (3, 5, 7, 9, 10, 13, 14, 16, 18, 19)
 _MARKED = "\x01" + "".join(f"${k}" for k in _NAME_GROUPS) + "\x03" + "".join(f"${k}" for k in _VALUE_GROUPS) + "\x02"
+# How keys of well-known services begin.
+_ISSUED = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|npm_|xox[abprs]-|sk[_-]|rk_|eyJ|ya29)"
 _NEAR_SECRET = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private"
 _NEAR_FALSE = r"(?i)example|sample|placeholder|dummy|commit|revision|checksum|digest|sha.?\d|md5|etag|uuid|guid|hash|version|fingerprint|isbn|order|phone"
 _TEST_PATH = r"(?i)test|example|sample|mock|fixture|doc"
@@ -41,7 +46,7 @@ _DICTIONARY = "|".join(
         key=lambda w: (-len(w), w),
     )
 )
-FEATURES = ["length", "transitions", "class_mix", "digits", "uppers", "others", "distinct", "repeats", "hexes", "dictionary", "assigned", "near_secret", "near_false", "test_path", "slashes", "vowels"]
+FEATURES = ["length", "transitions", "class_mix", "digits", "uppers", "others", "distinct", "repeats", "hexes", "dictionary", "assigned", "near_secret", "near_false", "test_path", "slashes", "vowels", "issued", "key_block"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -84,13 +89,13 @@ def described(found: DataFrame) -> DataFrame:
     runs = F.regexp_replace(kinds, r"(.)\1+", "$1")
     around = F.concat_ws(" ", "before", "name")
     columns = {
-        "length": F.least(F.lit(200), F.char_length("value")),
+        "length": F.log1p(F.char_length("value")),
         "transitions": (F.char_length(runs) - 1) / size,
         "class_mix": F.size(F.array_distinct(F.split(runs, ""))),
         "digits": _share(value, "[0-9]"),
         "uppers": _share(value, "[A-Z]"),
         "others": _share(value, "[^A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(value, F.lit(64)), ""))) / F.least(size, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(64)),
         "repeats": 1 - F.char_length(F.regexp_replace(value, r"(.)\1+", "$1")) / size,
         "hexes": value.rlike("^[0-9a-fA-F-]+$").cast("double"),
         "dictionary": _share(F.lower(value), _DICTIONARY),
@@ -100,6 +105,8 @@ def described(found: DataFrame) -> DataFrame:
         "test_path": F.col("path").rlike(_TEST_PATH).cast("double"),
         "slashes": _share(value, "/"),
         "vowels": _share(value, "(?i)[aeiou]"),
+        "issued": value.rlike(_ISSUED).cast("double"),
+        "key_block": F.col("name").startswith("-----BEGIN").cast("double"),
     }
     return found.withColumns({k: c.cast("double") for k, c in columns.items()})
 
@@ -115,6 +122,8 @@ _BESIDE = f"concat(substr({_PLAIN}, 1, 3), ' ', substr({_PLAIN}, 5, 6), ' ', sub
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     """Findings with label 1 (a secret) or 0: ``each`` of every kind, drawn from digests of their numbers."""
     hexes, sixty, plain, beside = _HEXES, _SIXTY, _PLAIN, _BESIDE
+    mixed = f"translate({sixty}, '0123456789', 'QwErTyUiOp')"
+    shouted, letters = f"upper({mixed})", f"substr(upper({mixed}), 1, 13)"
     kinds = [  # label, value, name, words before
         (1, f"substr({hexes}, 1, 40)", "token = \"", ""),
         (1, f"upper(substr({hexes}, 1, 40))", "TOKEN = \"", ""),
@@ -126,6 +135,19 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (1, f"concat('sk_live_', substr({sixty}, 2, 24))", "secret: ", ""),
         (1, f"concat('eyJ', substr({sixty}, 1, 60))", "", "Authorization bearer "),
         (1, f"substr({sixty}, 1, 40)", "secret_key=", ""),
+        (1, f"concat('AKIA', {letters}, substr({shouted}, 17, 3))", "", ""),
+        (1, f"concat('ghp_', substr({mixed}, 1, 36))", "", ""),
+        (1, f"substr({mixed}, 1, 24)", "token is ", "the "),
+        (1, f"substr({hexes}, 1, 40)", "token is ", "my "),
+        (1, f"concat(substr({sixty}, 1, 5), '!', substr({sixty}, 7, 4))", "--password ", "run with "),
+        (1, f"concat(substr({sixty}, 1, 64), '\n', {sixty}, '\n')", "-----BEGIN RSA PRIVATE KEY-----", ""),
+        (0, f"initcap(substr({plain}, 1, 22))", "", ""),
+        (0, f"concat(substr({plain}, 1, 9), '-', substr({plain}, 11, 8), '-', substr({plain}, 2, 7))", "", "the "),
+        (0, f"concat(substr({plain}, 1, 7), initcap(substr({plain}, 8, 6)), initcap(substr({plain}, 14, 8)))", "", "call "),
+        (0, f"substr({plain}, 1, 9)", "password is ", "the "),
+        (0, "array('required', 'invalid', 'expired.', 'missing,', 'incorrect', 'optional')[cast(id % 6 AS int)]", "token is ", "the "),
+        (0, f"substr({plain}, 1, 7)", "--password ", "set "),
+        (0, f"concat(substr({plain}, 1, 8), '/', substr({plain}, 9, 7), '/', substr({plain}, 3, 6), '-', substr({plain}, 1, 5))", "", "see "),
         (0, f"substr({hexes}, 1, 40)", "", "commit "),
         (0, f"substr({hexes}, 1, 40)", "", ""),
         (0, f"substr({hexes}, 1, 32)", "", "md5 checksum "),
@@ -191,9 +213,9 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel | None =
     """One row for every candidate in ``docs`` (doc_id, text, source, ...): doc_id, nth (order in the text), rule,
     n_chars, value_sha256, probability, is_secret.
 
-    ``is_secret`` is false for what the forest takes for a false positive. Null and empty texts have no candidates;
-    repeated rows and repeated values appear again; an empty table gives no rows; other columns are ignored. A null
-    source is an empty path.
+    ``is_secret`` is false for what the forest takes for a false positive; a probability of exactly SECRET_AT is a
+    secret. Null and empty texts have no candidates, texts and values are read whole, however long; repeated rows and
+    repeated values appear again; an empty table gives no rows; other columns are ignored. A null source is an empty path.
     """
     model = model or forest(docs.sparkSession)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(candidates(docs)))
