@@ -31,8 +31,9 @@ SALTS = 8
 _KEY = ["digest", "second", "size"]
 
 
-def _normalised(with_content: bool):
-    """Batches (doc_id, text) as doc_id, the key of the normalised text, and its content with a digest of the text itself."""
+def _normalised(with_content: bool, with_own: bool = False):
+    """Batches (doc_id, text) as doc_id, the key of the normalised text, and, if wanted, its content with a digest of the
+    text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,18 +47,18 @@ def _normalised(with_content: bool):
             ]
             names = ["doc_id", *_KEY]
             if with_content:
-                columns += [pa.array([hashlib.sha256(b).digest() for b in raw], pa.binary()), pa.array(lower, pa.binary())]
+                columns += [pa.array([hashlib.sha256(b).digest() if with_own else None for b in raw], pa.binary()), pa.array(lower, pa.binary())]
                 names += ["own", "content"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per different text of ``docs``: digest, second, size (its key), keep_id, keep_own (SHA-256 of the text of
-    the row that stays, before lower-casing; the greatest of several rows under that id), group_size."""
+def groups(docs: DataFrame, salts: int = SALTS, with_own: bool = False) -> DataFrame:
+    """One row per different text of ``docs``: digest, second, size (its key), keep_id, keep_own (if wanted, the SHA-256 of
+    the text of the row that stays, before lower-casing; the greatest of several rows under that id), group_size."""
     schema = "doc_id long, digest binary, second long, size long, own binary, content binary"
-    tagged = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised(True), schema)
+    tagged = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised(True, with_own), schema)
     salted = tagged.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     # A struct with a null id is smaller than any with an id.
     winner = F.max(F.struct("doc_id", "own")).alias("winner")
@@ -99,7 +100,7 @@ def kept(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     one of rows that repeat both. Equal texts, nulls, long texts and empty tables as in :func:`exact_dedup`; rows
     that share a doc_id are judged each by its own text.
     """
-    return named_rows(docs, groups(docs, salts).select(F.col("keep_id").alias("doc_id"), F.col("keep_own").alias("own")))
+    return named_rows(docs, groups(docs, salts, True).select(F.col("keep_id").alias("doc_id"), F.col("keep_own").alias("own")))
 
 
 ORACLE_SQL = """

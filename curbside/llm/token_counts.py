@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.llm.pieces import NEVER, Memo, Vocabulary, vocabulary
 
-#: Where the public vocabulary lies on the cluster's machines; every caller may name another.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the public vocabulary lies on the cluster's machines, unless the session names another or a caller does.
+MODEL_FILE, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.curbside.tokenizer"
 _COUNT_BITS = 44
 
 
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get(MODEL_SETTING, MODEL_FILE)
+
+
+@lru_cache(maxsize=2)
+def counts_memo(model_file: str) -> Memo:
+    """Score and number of ids by segment in one number, kept for all tasks of a Python worker."""
+    words = vocabulary(model_file)
+
+    def packed(segment: str) -> int:
+        score, number = score_and_count(words, segment)
+        return (score << _COUNT_BITS) + number
+
+    return Memo(packed)
+
+
 def score_and_count(words: Vocabulary, text: str) -> tuple[int, int]:
     """Best score of ``text`` and the number of ids on its path (an unknown counts its UTF-8 bytes).
 
@@ -52,19 +69,14 @@ def score_and_count(words: Vocabulary, text: str) -> tuple[int, int]:
 def token_counts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_chars (code points), n_tokens, score.
 
-    Null and empty texts have no tokens and score 0. Texts are counted whole. Paths are cut at every space mark, where
+    Null and empty texts have no tokens and score 0. Texts are counted whole, and of equal paths the tokenizer's rule
+    names the one that counts. Paths are cut at every space mark, where
     no piece can cross, and the segments between cuts are worked out once and remembered in a bounded table. Repeated
     rows appear again, an empty table gives no rows, other columns are ignored.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(model_file)
-
-        def packed(segment: str) -> int:
-            score, number = score_and_count(words, segment)
-            return (score << _COUNT_BITS) + number
-
-        memo = Memo(packed)
+        words, memo = vocabulary(model_file), counts_memo(model_file)
         for frame in frames:
             sums = [sum(map(memo.__getitem__, words.segments.findall(words.escaped(t)))) for t in frame["text"]]
             yield pd.DataFrame(

@@ -6,7 +6,8 @@ toxic and on clean texts, and which voters fire together beyond that; correlated
 not the labels, train a linear classifier over the voters' counts, which then scores every text.
 
 The lexicon is found in the training rows: stems that are far denser in texts marked toxic. How dense a stem must be for
-its voter to fire is found there, too. The marks themselves enter the label model as one more noisy voter.
+its voter to fire is found there, too. The marks themselves enter the label model as one more noisy voter, whose accuracy
+is estimated with the others.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbside.llm.common import cut, labelled_texts
 from curbside.llm.linear import Logistic, fit_logistic
 
 #: Bounded sample of labelled rows: the first of each label by a hash of doc_id.
@@ -35,8 +37,10 @@ LEAST_TEXTS, LEAST_SHARE = 4, 0.8
 SMOOTH_WORDS = 50
 #: Densities above which a voter may fire.
 LEVELS = (0.0, 0.001, 0.002, 0.004, 0.008, 0.016)
-#: How far the label model believes a mark.
+#: How far the label model believes a mark at first.
 MARK_ACCURACY = 0.95
+#: Correlations of voters within a class count by what they exceed so many standard errors.
+ERRORS = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Pattern voters: shouting, exclamation runs, masked words, address in the second person with an insult's rhythm.
 PATTERNS = [re.compile(p) for p in (r"!{2,}|\?!", r"\b[A-Z]{4,}\b", r"\w[*@#$]{2,}\w?", r"(?i)\byou\b[^.]{0,40}!", r"(?i)\b(shut up|hate|kill|stupid)\b")]
@@ -93,32 +97,51 @@ def firing_levels(counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return np.array(LEVELS)[np.argmax([told(dense > level) for level in LEVELS], axis=0)]
 
 
-def label_model(fired: np.ndarray, marks: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior that each row is toxic, and the share of a vote that each voter has.
+def vote_odds(fired: np.ndarray, marks: np.ndarray, rates: np.ndarray, mark_rates: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
+    """Posterior of each row under the model: rates of firing by class (clean, toxic), of marks likewise, and the share
+    of a vote that each voter has."""
+    x, m = fired.astype(float), (marks > 0).astype(float)
+    on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+    mark = m * np.log(mark_rates[1] / mark_rates[0]) + (1 - m) * np.log((1 - mark_rates[1]) / (1 - mark_rates[0]))
+    odds = np.log(prior / (1 - prior)) + mark + x @ (share * on) + (1 - x) @ (share * off)
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
-    Expectation-maximisation over voters that fire or not; ``marks`` are one voter of fixed accuracy. After each round
-    voters that fire together more than their class explains share one vote.
+
+def vote_shares(fired: np.ndarray, p: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Shares of a vote from what is left of the voters' correlations within the classes: of k voters that always fire
+    together each has 1 / k. Each correlation is shrunk by ERRORS standard errors, so that chance takes no share."""
+    left = fired - np.outer(p, rates[1]) - np.outer(1 - p, rates[0])
+    spread = np.sqrt((left**2).sum(axis=0) + 1e-9)
+    near = np.abs(left.T @ left) / np.outer(spread, spread)
+    near = np.maximum(0, near - ERRORS / np.sqrt(len(fired))) / max(1e-9, 1 - ERRORS / np.sqrt(len(fired)))
+    np.fill_diagonal(near, 1.0)
+    return 1 / np.maximum(1.0, near.sum(axis=1))
+
+
+def label_model(fired: np.ndarray, marks: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior that each row is toxic, the share of a vote that each voter has, and the rates at which clean and toxic
+    rows are marked.
+
+    Expectation-maximisation over voters that fire or not. The marks are one more voter: how often they are right is
+    estimated like the rates of all others, from MARK_ACCURACY on. Voters that fire together more than their class
+    explains share their votes.
     """
-    rows, voters = fired.shape
     x = fired.astype(float)
-    mark = np.where(marks > 0, np.log(MARK_ACCURACY / (1 - MARK_ACCURACY)), -np.log(MARK_ACCURACY / (1 - MARK_ACCURACY)))
-    p, share = np.where(marks > 0, 0.9, 0.02 + 0.0 * marks), np.ones(voters)
+    m = (marks > 0).astype(float)
+    p, share = np.where(marks > 0, 0.9, 0.02), np.ones(fired.shape[1])
+    mark_rates = np.array([1 - MARK_ACCURACY, MARK_ACCURACY])
     for turn in range(rounds):
-        rate1 = (x.T @ p + 0.5) / (p.sum() + 20)
-        rate0 = (x.T @ (1 - p) + 0.5) / ((1 - p).sum() + 20)
-        if turn % 10 == 0:  # what is left of the correlation within the classes
-            left = x - np.outer(p, rate1) - np.outer(1 - p, rate0)
-            spread = np.sqrt((left**2).sum(axis=0) + 1e-9)
-            near = np.abs(left.T @ left) / np.outer(spread, spread)
-            share = 1 / np.maximum(1.0, (near * (near > 0.3)).sum(axis=1))
-        on, off = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        odds = np.log(prior / (1 - prior)) + mark + x @ (share * on) + (1 - x) @ (share * off)
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        rates = np.stack([(x.T @ (1 - p) + 0.5) / ((1 - p).sum() + 20), (x.T @ p + 0.5) / (p.sum() + 20)])
+        if turn:  # the first guess of p is the marks themselves
+            mark_rates = np.clip(np.array([m @ (1 - p) + 1, m @ p + 19]) / np.array([(1 - p).sum() + 20, p.sum() + 20]), 1e-3, 1 - 1e-3)
+        if turn % 10 == 0:
+            share = vote_shares(x, p, rates)
+        new = vote_odds(fired, marks, rates, mark_rates, share, prior)
         done = np.abs(new - p).max() < 1e-6
         p = new
         if done and turn % 10:
             break
-    return p, share
+    return p, share, mark_rates
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[int, int]]:
@@ -126,9 +149,7 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFra
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(fold != HELD_OUT_FOLD)
     known = known.select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     shares = dict(known.groupBy("y").count().collect())  # two numbers
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.filter("y = 1").orderBy(*order).limit(per_label).unionAll(known.filter("y = 0").orderBy(*order).limit(per_label))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), shares
+    return cut(labelled_texts(docs, known, per_label)), shares
 
 
 def _stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,15 +209,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(stems)
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"], "x": [voters.counts(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [voters.counts(t) for t in frame["text"]]})
 
-    rows = sample.mapInPandas(vote, "y int, x array<double>").toPandas()
+    rows = sample.mapInPandas(vote, "doc_id long, y int, x array<double>").toPandas()
+    rows = rows.sort_values(["doc_id", "y"])  # sums of doubles depend on the order
     if rows["y"].nunique() < 2:  # no texts for the marks of one kind
         return _constant(stems, -4.0)
     counts, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
     levels = firing_levels(counts, y)
     fired = counts[:, :-1] / (counts[:, -1:] + SMOOTH_WORDS) > levels
-    posterior, _ = label_model(fired, y, shares[1] / (shares[0] + shares[1]))
+    posterior, _, _ = label_model(fired, y, shares[1] / (shares[0] + shares[1]))
     weight = np.where(y > 0, shares[1] / max(1, (y > 0).sum()), shares[0] / max(1, (y == 0).sum()))
     return stems, levels, fit_logistic(features(counts, levels), posterior, weight, ridge=0.5)
 
@@ -204,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, held_out, score, predicted.
 
-    Null texts count as empty and are scored like any other. Rows of ``labels`` (doc_id, toxic, ...) with other marks
+    Null texts count as empty and are scored like any other, long ones are read whole; a score of exactly TOXIC_AT is
+    predicted toxic. Rows of ``labels`` (doc_id, toxic, ...) with other marks
     than 0 and 1 are ignored; with no marks of one kind every text has the same score. A null doc_id is not held out.
     Repeated rows appear again, an empty table gives no rows, other columns are ignored.
     """
@@ -215,7 +238,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
         for frame in frames:
             ids = frame["doc_id"].astype("Int64")
             counts = np.array([voters.counts(t) for t in frame["text"]]).reshape(-1, voters.size + 1)
-            p = model.probability(features(counts, levels))
+            p = np.round(model.probability(features(counts, levels)), 9)
             yield pd.DataFrame({"doc_id": ids, "held_out": [held_out(None if i is pd.NA else i) for i in ids], "score": p, "predicted": (p >= TOXIC_AT).astype("int32")})
 
     return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")

@@ -28,6 +28,7 @@ def test_toxicity_on_held_out_rows(tables):
     labels = tables("labels", BIG)
     rows = toxicity.toxicity(tables("documents", BIG), labels).join(labels, "doc_id").filter("held_out").toPandas()
     hit = (rows.predicted == 1) & (rows.toxic == 1)
+    print(f"precision {hit.sum() / (rows.predicted == 1).sum():.3f}, recall {hit.sum() / (rows.toxic == 1).sum():.3f}")
     assert hit.sum() / (rows.predicted == 1).sum() > 0.95 and hit.sum() / (rows.toxic == 1).sum() > 0.75
     assert ((rows.score >= 0.7) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
 
@@ -52,11 +53,52 @@ def test_label_model_finds_the_reliable_voter():
     copy = good.copy()
     noise = rng.random(4000) < 0.2
     marks = np.where(rng.random(4000) < 0.9, y, ~y).astype(int)
-    p, share = toxicity.label_model(np.stack([good, copy, noise], axis=1), marks, 0.2)
+    p, share, _ = toxicity.label_model(np.stack([good, copy, noise], axis=1), marks, 0.2)
     assert ((p > 0.5) == y).mean() > 0.88
     assert share[0] < 0.7 and share[2] > 0.9  # the copy shares its vote
 
 
+def test_label_model_finds_how_often_marks_are_right():
+    rng = np.random.default_rng(7)
+    y = rng.random(20_000) < 0.3
+    fired = np.stack([np.where(rng.random(20_000) < a, y, ~y) for a in (0.85, 0.8, 0.9, 0.85)], axis=1)
+    marks = np.where(rng.random(20_000) < 0.9, y, ~y).astype(int)
+    _, share, mark_rates = toxicity.label_model(fired, marks, 0.3)
+    assert abs(mark_rates[1] - 0.9) < 0.03 and abs(mark_rates[0] - 0.1) < 0.03 and share.min() > 0.8
+
+
+def test_posteriors_by_enumeration():
+    """The posterior of a row is the joint probability of its votes under each class, multiplied out vote by vote."""
+    rng = np.random.default_rng(4)
+    fired, marks = rng.random((50, 6)) < 0.4, (rng.random(50) < 0.5).astype(int)
+    rates, mark_rates, share, prior = rng.uniform(0.1, 0.9, (2, 6)), np.array([0.1, 0.8]), rng.uniform(0.3, 1, 6), 0.15
+    got = toxicity.vote_odds(fired, marks, rates, mark_rates, share, prior)
+    for row, mark, p in zip(fired, marks, got, strict=True):
+        joint = [1 - prior, prior]
+        for y in (0, 1):
+            joint[y] *= mark_rates[y] if mark else 1 - mark_rates[y]
+            for k in range(6):
+                joint[y] *= (rates[y][k] if row[k] else 1 - rates[y][k]) ** share[k]
+        assert abs(p - joint[1] / sum(joint)) < 1e-9
+
+
+def test_shares_of_correlated_voters():
+    rng = np.random.default_rng(5)
+    y = rng.random(5000) < 0.5
+    votes = [np.where(rng.random(5000) < 0.8, y, ~y) for _ in range(3)]
+    fired = np.stack([votes[0], votes[0], votes[0], votes[1], votes[2]], axis=1).astype(float)
+    rates = np.stack([fired[~y].mean(axis=0), fired[y].mean(axis=0)])
+    share = toxicity.vote_shares(fired, y.astype(float), rates)
+    assert np.allclose(share, [1 / 3, 1 / 3, 1 / 3, 1, 1], atol=0.05)
+
+
+def test_toxicity_of_long_texts_and_repeats(make_docs, tables):
+    long = " ".join(r.text for r in tables("documents").limit(50).collect()) * 30
+    pairs = [(1, long), (1, long), (2, None), (2, ""), (None, "x")]
+    rows = toxicity.toxicity(make_docs(pairs, extra=True), tables("labels")).collect()
+    assert len(rows) == 5 and len({r.score for r in rows if r.doc_id == 1}) == 1 and len({r.score for r in rows if r.doc_id == 2}) == 1
+
+
 def test_quality_on_held_out_rows(tables):
     """Fitted on two folds of the labels by a hash of the id, measured on the third."""
     from pyspark.sql import functions as F

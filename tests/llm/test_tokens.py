@@ -1,5 +1,7 @@
+import hashlib
 import random
 import struct
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -79,11 +81,45 @@ def test_chunks_give_the_same_ids(chunk):
             text = " " * 300
         whole = words.escaped(text)
         parts = [(whole[at : at + chunk + words.longest - 1], min(chunk, len(whole) - at)) for at in range(0, len(whole), chunk)]
-        path = codec.states_on_best_path([codec.transfer(words, scores, *p) for p in parts])
+        path = codec.states_between([codec.transfer(words, scores, *p) for p in parts], 0, 0)
         got = b"".join(codec.trace_chunk(words, memo, *p, a, b) for p, a, b in zip(parts, path, path[1:]))
         assert got == codec.encode(words, memo, text), text
 
 
+def test_products_are_associative():
+    """Any bracketing gives the same map, and its order of entries is the one of the whole stretch."""
+    words = vocabulary(MODEL_FILE)
+    scores = Memo(lambda s: words.segment(s)[0])
+    rng = random.Random(12)
+    for text in ("a" * 160, "".join(rng.choice(["the", "ing", "x", "日", "tt"]) for _ in range(80)), " the ab" * 30):
+        whole = words.escaped(text)
+        tail = words.longest - 1
+        maps = [codec.transfer(words, scores, whole[at : at + 30 + tail], 30) for at in range(0, 120, 30)]
+        left = reduce(codec.product, maps)
+        right = codec.product(maps[0], codec.product(maps[1], codec.product(maps[2], maps[3])))
+        paired = codec.product(codec.product(maps[0], maps[1]), codec.product(maps[2], maps[3]))
+        direct = codec.transfer(words, scores, whole[: 120 + tail], 120)
+        for other in (right, paired, direct):
+            assert (left[0] == other[0]).all()
+            reached = left[0] > codec.NEVER
+            for b in range(len(left[0])):
+                on = np.flatnonzero(reached[:, b])
+                assert (np.argsort(left[1][on, b]) == np.argsort(other[1][on, b])).all()
+
+
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_levels_of_the_scan(make_docs, fan_in):
+    """Texts of many chunks go up and down several levels, with the ids of the single pass."""
+    pairs = [(1, "ing" * 3000), (2, "the ab " * 1500), (3, "a" * 4100), (4, "▁x y" * 1200), (5, None), (6, "short"), (7, "a" * 4095)]
+    rows = codec.encoded(make_docs(pairs), chunk=256, fan_in=fan_in).collect()
+    words = vocabulary(MODEL_FILE)
+    memo = codec._packed(words)
+    assert {r.doc_id: bytes(r.ids) for r in rows} == {i: codec.encode(words, memo, t) for i, t in pairs}
+    assert {r.doc_id for r in rows if not r.round_trip} == {4}
+    marked = codec.decode(words, np.frombuffer(codec.encode(words, memo, pairs[3][1]), "<i4"))
+    assert {r.decoded_sha256 for r in rows if r.doc_id == 4} == {hashlib.sha256(marked.encode()).hexdigest()}
+
+
 def test_query_rows(make_docs):
     pairs = list(enumerate(texts(40))) + [(900, None), (901, "the ab " * 9000), (902, "the ab " * 9000), (902, "ing" * 20000), (None, "x")]
     rows = codec.encoded(make_docs(pairs, extra=True), chunk=4096).collect()
