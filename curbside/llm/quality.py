@@ -101,17 +101,26 @@ def _strength(groups: DataFrame, mean: float, size: str, total: str) -> float:
     return float(f"{min(1e4, max(10.0, noise / between - 1)):.6g}") if between > 0 else 1e4  # no digits that depend on the order of rows
 
 
-def _evidence(rows: DataFrame, docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, per_label: int) -> DataFrame:
-    """``rows`` (a column ``row`` of what to keep, besides the columns of ``docs``) as row, host, path, p_text."""
+def _keys(docs: DataFrame, host: Column | None, path: Column | None) -> list[Column]:
+    """What a row's score depends on, and its id: _id, _none (no id), _own (SHA-256 of the text), host and path."""
+    return [
+        F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"),
+        F.col("doc_id").isNull().alias("_none"),
+        F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("_own"),
+        F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit("")).alias("host"),
+        F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit("")).alias("path"),
+    ]
+
+
+def _evidence(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, per_label: int) -> DataFrame:
+    """The keys of every row of ``docs`` with p_text. Stored, so that texts are scored once for all that follows."""
     model = _fit(docs, labels, per_label)
 
     @F.pandas_udf("double")
     def p_text(texts: pd.Series) -> pd.Series:
         return pd.Series(np.round(model.probability(np.array([statistics(t) for t in texts]).reshape(-1, len(_NAMES))), _DIGITS))
 
-    host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
-    path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
-    return rows.select("row", host.alias("host"), path.alias("path"), p_text(F.col("text").cast("string")).alias("p_text"))
+    return stored(docs.select(*_keys(docs, host, path), p_text(F.col("text").cast("string")).alias("p_text")), "quality")
 
 
 def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
@@ -144,28 +153,28 @@ def _judged(evidence: DataFrame) -> DataFrame:
     return out.withColumn("keep", F.col("posterior") >= KEEP_AT)
 
 
-def _whole_rows(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """All of ``docs`` packed in a column ``row``, so that no name can clash, with their scores. Texts are scored once:
-    the scores are stored with the rows, and only they are read for the sites."""
-    packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
-    rows = docs.withColumn("row", packed)  # a column of that name is inside the packed one
-    return _judged(stored(_evidence(rows, docs, labels, host, path, per_label), "quality"))
+def _whole_rows(docs: DataFrame, host: Column | None, path: Column | None) -> DataFrame:
+    """The keys of every row of ``docs``, and all its columns packed in a column ``row``, so that no name can clash."""
+    return docs.select(*_keys(docs, host, path), F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
+_ROW_KEYS = ["_id", "_none", "_own", "host", "path"]
 
 
-def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, source, lang, ...) with p_text, host_posterior, path_posterior,
-    posterior, quality_keep. Options are ``host`` and ``path``, columns that name a document's site (by default its
-    source and its language section), and ``per_label``, the bound of the sample.
+    posterior, quality_keep. ``host`` and ``path`` are columns that name a document's site (by default its source and its
+    language section), ``per_label`` is the bound of the sample.
 
     Null texts count as empty and very long ones are read whole; null hosts and paths are a site of their own. ``labels``
     (doc_id, quality, ...) may be empty: then every text has the same evidence and all are kept. Documents with both
     marks count for both; a posterior of exactly KEEP_AT is kept. An empty table gives no rows, repeated rows appear
     again; columns of ``docs`` named like a score are replaced, all others stay as they are.
     """
-    rows = _whole_rows(docs, labels, **options)
+    scores = _judged(_evidence(docs, labels, host, path, per_label)).withColumnRenamed("keep", "quality_keep").dropDuplicates(_ROW_KEYS)
     own = ["p_text", "host_posterior", "path_posterior", "posterior", "quality_keep"]
     kept_columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in own]
-    return rows.withColumnRenamed("keep", "quality_keep").select(*kept_columns, *own)
+    return _whole_rows(docs, host, path).join(scores, _ROW_KEYS).select(*kept_columns, *own)
 
 
 def decisions(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
@@ -173,15 +182,15 @@ def decisions(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
 
     Nulls, long texts, ties, repeated rows and empty tables as in :func:`scored`; other columns are ignored.
     """
-    rows = docs.withColumn("row", F.col("doc_id"))
-    found = _judged(stored(_evidence(rows, docs, labels, host, path, per_label), "quality"))
-    return found.select(F.col("row").alias("doc_id"), "p_text", "host_posterior", "path_posterior", "posterior", "keep")
+    found = _judged(_evidence(docs, labels, host, path, per_label))
+    return found.select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "p_text", "host_posterior", "path_posterior", "posterior", "keep")
 
 
-def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns as they were, whatever their names.
 
     Nulls, long texts, ties, repeated rows and empty tables as in :func:`scored`.
     """
-    rows = _whole_rows(docs, labels, **options).filter("keep")
+    chosen = _judged(_evidence(docs, labels, host, path, per_label)).filter("keep").select(*_ROW_KEYS)
+    rows = _whole_rows(docs, host, path).join(chosen, _ROW_KEYS, "left_semi")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -39,7 +39,7 @@ def test_every_stage_against_brute_force(spark, folder):
         elif name == "simhash_near_dedup":
             assert got == [i for i, _, c in brute_components(pairs) if i == c]
         elif name == "benchmark_decontamination":
-            leaks = brute_leaks(benchmark, pairs)
+            leaks = {i for i, _ in brute_leaks(benchmark, pairs)}
             assert leaks and got == sorted(i for i, _ in pairs if i not in leaks)
         elif name == "sentencepiece":
             words = vocabulary(MODEL_FILE)
@@ -49,3 +49,32 @@ def test_every_stage_against_brute_force(spark, folder):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns and len(got) > 20
     assert len(got) == corpus_pipeline.run(spark, folder).count()
+
+
+def rewritten(spark, folder, tmp_path, docs):
+    """A data folder like ``folder`` with other documents."""
+    docs.write.parquet(str(tmp_path / "other" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(str(tmp_path / "other" / f"{name}.parquet"))
+    return str(tmp_path / "other")
+
+
+def test_rows_that_share_an_id(spark, folder, tmp_path):
+    """Each row is judged by its own text; columns with the names of inner ones come through."""
+    good = [r for r in spark.read.parquet(f"{folder}/documents.parquet").filter("n_chars > 400").limit(12).collect()]
+    a, b, c = (r.text for r in good[:3])
+    rows = [(5, a), (5, b), (9, b), (9, c.upper()), (9, c), (9, c), (None, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS keep", "2 AS host", "3 AS _own", "4 AS row", "5 AS digest", "6 AS component", "7 AS p_text", "8 AS key")
+    other = rewritten(spark, folder, tmp_path, docs)
+    exact = corpus_pipeline.exact_dedup_stage(spark, docs, other)
+    left = sorted(((r.doc_id, r.text.lower()) for r in exact.collect()), key=str)
+    assert left == sorted([(5, a.lower()), (9, b.lower()), (9, c.lower())], key=str) and exact.columns == docs.columns
+    near = corpus_pipeline.simhash_stage(spark, docs, other)
+    assert sorted((r.doc_id, r.text.lower()) for r in near.collect()) == sorted([(5, a.lower()), (5, b.lower()), (9, c.lower())]) and near.columns == docs.columns
+    assert corpus_pipeline.run(spark, other).count() <= 3
+
+
+def test_empty_table(spark, folder, tmp_path):
+    other = rewritten(spark, folder, tmp_path, spark.read.parquet(f"{folder}/documents.parquet").limit(0))
+    assert corpus_pipeline.run(spark, other).count() == 0
