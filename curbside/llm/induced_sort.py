@@ -59,17 +59,22 @@ class SpillingQueues:
         )
 
     def take(self, queue: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Empties the queue, oldest first."""
-        blocks, parts = self._blocks(queue), self._parts[queue]
-        read = [self._read(queue, *b) for b in blocks]
-        self._parts[queue] = []
-        self._held -= sum(p.nbytes + c.nbytes for p, c in parts)
-        if blocks:
-            self._spilled[queue] = 0
-            os.remove(f"{self._path}-{queue}p")
-            os.remove(f"{self._path}-{queue}c")
-        yield from read
-        if parts:
+        """Empties the queue, oldest first, block by block; what is pushed meanwhile comes last."""
+        at = 0
+        while True:
+            if at < self._spilled[queue]:
+                size = min(_READ, self._spilled[queue] - at)
+                yield self._read(queue, at, size)
+                at += size
+                continue
+            if at:
+                os.remove(f"{self._path}-{queue}p")
+                os.remove(f"{self._path}-{queue}c")
+                self._spilled[queue] = at = 0
+            parts, self._parts[queue] = self._parts[queue], []
+            if not parts:
+                return
+            self._held -= sum(p.nbytes + c.nbytes for p, c in parts)
             yield _joined(parts)
 
     def latest_first(self, queue: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,17 +178,13 @@ def induced_suffixes(text: np.ndarray, depth: int, folder: str, memory: int = 96
     last_large = [-1] * 256
     for char in range(256):
         first = True
-        while True:
-            parts = list(queues.take(char))
-            if not parts:
-                break
-            for positions, common in parts:
-                common = common.copy()
-                if first:
-                    common[0], first = 0, False
-                large.push(char, positions, common)
-                last_large[char] = int(positions[-1])
-                induce(positions, common, carried, False, queues)
+        for positions, common in queues.take(char):
+            common = common.copy()
+            if first:
+                common[0], first = 0, False
+            large.push(char, positions, common)
+            last_large[char] = int(positions[-1])
+            induce(positions, common, carried, False, queues)
         lo, hi = bounds[char], bounds[char + 1]
         if lo < hi:
             common = seed_common[lo:hi].copy()
@@ -196,17 +197,13 @@ def induced_suffixes(text: np.ndarray, depth: int, folder: str, memory: int = 96
     last_small = [-1] * 256
     for char in range(255, -1, -1):
         first = True
-        while True:
-            parts = list(queues.take(char))
-            if not parts:
-                break
-            for positions, common in parts:
-                common = common.copy()
-                if first:
-                    common[0], first = 0, False
-                small.push(char, positions, common)
-                last_small[char] = int(positions[-1])
-                induce(positions, common, carried, True, queues)
+        for positions, common in queues.take(char):
+            common = common.copy()
+            if first:
+                common[0], first = 0, False
+            small.push(char, positions, common)
+            last_small[char] = int(positions[-1])
+            induce(positions, common, carried, True, queues)
         # Backwards each entry is met with its common prefix to the entry before, that is, to the one met next.
         coming = 0 if first or last_large[char] < 0 else common_prefix(text, last_small[char], last_large[char], depth)
         for positions, common in large.latest_first(char):

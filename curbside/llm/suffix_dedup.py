@@ -39,6 +39,7 @@ _BASE = 0x9E3779B97F4A7C15
 _KEY = np.uint64((1 << 48) - 1)  # bits of a hash that travel besides its bucket; what they confuse, the sort tells apart
 _PLACE_BITS = 23
 _FIRST, _FIRST_KNOWN, _KNOWN = 0, 1, 2
+SALTS = 8
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -332,7 +333,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = placed.join(several, "doc_id", "left").select("doc_id", "body", F.when(F.col("several"), own).otherwise(F.lit(0)).alias("text_key"))
     digests = named.select("doc_id", F.sha2("body", 256).alias("digest"), own.alias("own"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies = digests.join(firsts, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("copied"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # members of a large group are spread
+    members = digests.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    copies = members.join(firsts, ["digest", "salt"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("copied"))
     copy = F.coalesce(F.array_contains("copied", own), F.lit(False)).alias("copy")
     marked = keyed.join(copies, "doc_id", "left").select("doc_id", "body", copy, "text_key")
     blocks = marked.filter("NOT copy").select("doc_id", "body", "text_key").mapInArrow(_anchor_blocks(buckets, BATCH_BYTES), "bucket int, block binary")
