@@ -9,7 +9,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -29,20 +29,10 @@ def unpacked(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else gzip.decompress(base64.b64decode(t)).decode())
 
 
-def nearest_name(names: list[str], strict: float = 0.88, loose: float = 0.82):
-    """UDF: of ``names`` the one most like a text, by the ratio of matching blocks; the strict bound is tried first."""
-
-    @F.pandas_udf(StringType())
-    def nearest(texts: pd.Series) -> pd.Series:
-        def one(t):
-            for bound in (strict, loose) if t else ():
-                if found := difflib.get_close_matches(t, names, 1, bound):
-                    return found[0]
-            return None
-
-        return texts.map(one)
-
-    return nearest
+@F.pandas_udf(DoubleType())
+def name_ratio(known: pd.Series, typed: pd.Series) -> pd.Series:
+    """How alike two names are by their matching blocks, from 0 to 1."""
+    return pd.Series([difflib.SequenceMatcher(None, k, t).ratio() for k, t in zip(known, typed, strict=True)], dtype=float)
 
 
 @F.pandas_udf(StringType())

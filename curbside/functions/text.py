@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of street types and directions.
-STREET_TOKENS = {
-    "STREET": "ST", "AVENUE": "AVE", "AV": "AVE", "ROAD": "RD", "BOULEVARD": "BLVD", "DRIVE": "DR", "COURT": "CRT", "CT": "CRT", "CRESCENT": "CRES",
-    "LANE": "LN", "PLACE": "PL", "SQUARE": "SQ", "TERRACE": "TER", "TRAIL": "TRL", "PARKWAY": "PKWY", "CIRCLE": "CRCL", "HEIGHTS": "HTS", "GARDENS": "GDNS",
-    "WEST": "W", "EAST": "E", "NORTH": "N", "SOUTH": "S",
+# Short spellings of street types and of directions, with the long ones.
+STREET_TYPES = {
+    "ST": "STREET", "RD": "ROAD", "AVE": "AVENUE", "AV": "AVENUE", "BLVD": "BOULEVARD", "BL": "BOULEVARD", "DR": "DRIVE", "PKWY": "PARKWAY", "HWY": "HIGHWAY", "CRES": "CRESCENT",
+    "CR": "CRESCENT", "CIR": "CIRCLE", "CRT": "COURT", "CT": "COURT", "PL": "PLACE", "PLZ": "PLAZA", "SQ": "SQUARE", "TER": "TERRACE", "TRL": "TRAIL", "LN": "LANE", "PK": "PARK", "EXPY": "EXPRESSWAY",
 }
+DIRECTIONS = {"E": "EAST", "W": "WEST", "N": "NORTH", "S": "SOUTH", "NE": "NORTHEAST", "NW": "NORTHWEST", "SE": "SOUTHEAST", "SW": "SOUTHWEST"}
 # Words that only say where along a street a ticket was written.
 POSITION_WORDS = ["NR", "AT", "OPP", "N/S", "S/S", "E/S", "W/S", "IFO", "RO", "SO", "NO", "EO", "WO"]
 # What separates the two streets of an intersection, in order of trust.
@@ -41,9 +41,14 @@ def alnum_tokens(c: Column) -> Column:
 
 
 def street_key(c: Column) -> Column:
-    """Tokens with street types and directions in their short spelling."""
-    short = F.create_map(*[F.lit(x) for pair in STREET_TOKENS.items() for x in pair])
-    return F.array_join(F.transform(F.split(alnum_tokens(c), " "), lambda t: F.coalesce(F.try_element_at(short, t), t)), " ")
+    """Tokens with street types and directions in their long spelling."""
+    long = F.create_map(*[F.lit(x) for pair in (STREET_TYPES | DIRECTIONS).items() for x in pair])
+    return F.array_join(F.transform(F.split(alnum_tokens(c), " "), lambda t: F.coalesce(F.try_element_at(long, t), t)), " ")
+
+
+def without_direction(key: Column) -> Column:
+    """A street key without a direction at its end."""
+    return F.regexp_replace(key, f" ({'|'.join(DIRECTIONS.values())})$", "")
 
 
 def house_number(c: Column) -> Column:

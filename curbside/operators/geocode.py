@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.functions.text import house_number, intersection_streets, street_key, without_house_number, without_position_words
+from curbside.functions.text import house_number, intersection_streets, street_key, without_direction, without_house_number, without_position_words
 from curbside.operators.joins import fallback_chain, nearest_pairs, range_matched
 
 
@@ -16,17 +16,19 @@ def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
     """address, method, segment_id, lon, lat for each distinct address that can be placed.
 
     Methods in turn: house number on a segment's range, crossing of two streets, middle of a street. Streets are found
-    by their key, then without a trailing direction, then without spaces.
+    by their key, then without a trailing direction, then without spaces. Keys have the long spelling on both sides, so
+    HWY and HIGHWAY, or W and WEST, are the same.
     """
+    segments = segments.withColumn("street_key", street_key(F.col("street_key")))
     distinct = addresses.select("address").filter("address IS NOT NULL").distinct()
     cleaned = without_position_words(F.col("address"))
     parsed = distinct.select("address", house_number(cleaned).alias("number"), street_key(without_house_number(cleaned)).alias("key"), intersection_streets(cleaned).alias("pair"))
     names = segments.select("street_key").distinct()
-    bare = F.regexp_replace("key", " [NSEW]$", "")
+    bare, bare_name = without_direction(F.col("key")), without_direction(F.col("street_key"))
     steps = [
         ("exact", F.col("key"), F.col("street_key")),
-        ("no_direction", bare, F.regexp_replace("street_key", " [NSEW]$", "")),
-        ("no_space", F.replace(bare, F.lit(" ")), F.replace(F.regexp_replace("street_key", " [NSEW]$", ""), F.lit(" "))),
+        ("no_direction", bare, bare_name),
+        ("no_space", F.replace(bare, F.lit(" ")), F.replace(bare_name, F.lit(" "))),
     ]
     single = fallback_chain(parsed.filter("pair IS NULL AND key <> ''"), names, steps, "address")
     numbered = range_matched(single.filter("number IS NOT NULL").select("address", "street_key", "number"), segments, "address", "number")

@@ -57,6 +57,28 @@ def fallback_chain(facts: DataFrame, lookup: DataFrame, steps: Sequence[tuple[st
     return done
 
 
+def nearest_names(typed: DataFrame, known: DataFrame, least: float = 0.82) -> DataFrame:
+    """typed, known, ratio: for every different ``typed`` name the ``known`` one most like it, by a ratio of ``least`` or more.
+
+    Names meet by the pairs of letters they share. With a ratio r of their summed length t at least r * t / 2 letters
+    match, in (1 - r) * t + 1 blocks at most, so at least (1.5 * r - 1) * t - 1 pairs of letters are shared; only names
+    that share so many are compared. Equal ratios go to the name that is last in the alphabet.
+    """
+    from curbside.functions.slow import name_ratio
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        c = F.col(name)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))
+        counted = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+        return df.select(name).filter(c != "").distinct().select(name, F.explode(counted).alias("gram"))
+
+    total = F.char_length("typed") + F.char_length("known")
+    met = grams(typed, "typed").join(grams(known, "known"), "gram").groupBy("typed", "known").agg(F.count("*").alias("n"))
+    close = met.filter((F.col("n") >= (1.5 * least - 1) * total - 1) & (2 * F.least(F.char_length("typed"), F.char_length("known")) >= least * total))
+    rated = close.select("typed", "known", name_ratio("known", "typed").alias("ratio")).filter(F.col("ratio") >= least)
+    return rated.groupBy("typed").agg(F.max(F.struct("ratio", "known")).alias("best")).select("typed", "best.known", "best.ratio")
+
+
 def cells(lon: Column, lat: Column, metres: float) -> tuple[Column, Column]:
     """Grid cell whose sides are at least ``metres`` at the city's latitude."""
     return F.floor(lon * (METRES_LON / metres)), F.floor(lat * (METRES_LAT / metres))

@@ -77,11 +77,17 @@ def feature_collection(df: DataFrame, order: str) -> DataFrame:
     return df.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"))).alias("value"))
 
 
-def payload_manifest(df: DataFrame, chunk: str) -> DataFrame:
-    """Key, row count, slug, digest and gzip+base64 payload of each chunk's rows."""
+def payload_manifest(df: DataFrame, chunk: str, part_rows: int = 10_000) -> DataFrame:
+    """Key, part, row count, slug, digest and gzip+base64 payload of each chunk's rows.
+
+    A chunk has as many parts as it needs for about ``part_rows`` rows each, so no payload grows with the table.
+    """
     from curbside.functions.slow import packed
     from curbside.functions.text import slug
 
-    rows = F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != chunk]))))
-    out = df.groupBy(chunk).agg(F.count("*").alias("n"), rows.alias("raw"))
-    return out.select(chunk, "n", slug(F.col(chunk)).alias("slug"), F.sha2("raw", 256).alias("etag"), packed(F.col("raw")).alias("payload"))
+    own = [c for c in df.columns if c != chunk]
+    parts = df.groupBy(F.col(chunk).alias("_chunk")).agg(F.ceil(F.count("*") / part_rows).alias("_parts"))
+    dealt = df.join(parts, F.col(chunk).eqNullSafe(F.col("_chunk"))).withColumn("part", F.pmod(F.xxhash64(*own), F.col("_parts")))
+    rows = F.to_json(F.array_sort(F.collect_list(F.struct(*own))))
+    out = dealt.groupBy(chunk, "part").agg(F.count("*").alias("n"), rows.alias("raw"))
+    return out.select(chunk, "part", "n", slug(F.col(chunk)).alias("slug"), F.sha2("raw", 256).alias("etag"), packed(F.col("raw")).alias("payload"))

@@ -10,7 +10,7 @@ from curbside.operators import marts, patterns
 from curbside.operators.windows import latest_with_totals, numbered_first, rolling_mean, share_of_total, top_per_group
 from curbside.plans.registry import query
 from curbside.plans.relational import LT, PT, TG, TK
-from curbside.sources.tables import LINE_TICKETS_SQL, SITES_SQL, line_tickets, points, sites, table, tags, tickets
+from curbside.sources.tables import LINE_TICKETS_SQL, SITES_SQL, addresses, line_tickets, points, sites, streets, table, tags, tickets
 
 SUMS = "count(*) AS ticket_count, CAST(coalesce(sum(fine), 0) AS DECIMAL(28,2)) AS total_revenue"
 
@@ -413,10 +413,19 @@ def pivot(s, d):
     return p.select("street", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("AF", "NF", "NO", "RF")])
 
 
-@query("AGG60_run_statistics", "SELECT CASE WHEN c_custkey % 8 IN (4, 6) THEN 'empty' WHEN c_custkey % 8 = 3 THEN 'intersection' ELSE 'address' END AS outcome, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM customer GROUP BY 1")
+@query(
+    "AGG60_run_statistics",
+    """SELECT CASE WHEN c_custkey % 8 IN (4, 6) THEN 'empty' WHEN c_custkey % 8 = 3 THEN 'intersection' WHEN c_custkey % 8 = 2 AND c_custkey % 300 <= 98 THEN 'range' WHEN c_custkey % 8 = 2 THEN 'nearest_range' ELSE 'no_match' END AS outcome,
+    count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM customer GROUP BY 1""",
+)
 def run_statistics(s, d):
-    k = F.col("c_custkey") % 8
-    counts = table(s, d, "customer").groupBy(F.when(k.isin(4, 6), "empty").when(k == 3, "intersection").otherwise("address").alias("outcome")).agg(F.count("*").alias("n"))
+    """How a run of the geocoder ended, by method or reason."""
+    from curbside.operators.geocode import geocoded
+
+    asked = addresses(s, d)
+    found = asked.join(geocoded(asked, streets(s)).select("address", "method"), "address", "left")
+    empty = F.coalesce(F.upper(F.trim("address")).isin("", "NAN"), F.lit(True))
+    counts = found.groupBy(F.coalesce("method", F.when(empty, "empty").otherwise("no_match")).alias("outcome")).agg(F.count("*").alias("n"))
     return counts.withColumn("percent", F.round(share_of_total(counts, "n"), 4))
 
 

@@ -112,12 +112,19 @@ def hooks(s, d, keep="fine < 2000", prompt="Code {code} costs {fine}"):
     return rows.groupBy("prompt").agg(F.count("*").alias("n"))
 
 
-@query("UDF06_handlers", "SELECT count(*) > 200 AS many FROM range(1000)")
+def order_years(s, d, least: int = 0):
+    """A dataset handler: a function of session and folder, named as module:function."""
+    return table(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n")).filter(F.col("year") >= least)
+
+
+@query("UDF06_handlers", "SELECT 'curbside.plans.intake:order_years' AS handler, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1995 GROUP BY 2")
 def handlers(s, d):
-    """Queries are looked up by name; a module adds its own by registering them."""
-    from curbside.plans.registry import queries
+    """Datasets name their handlers as module:function in a table; each is looked up, imported and called with its options."""
+    from curbside.plans.registry import handler
 
-    return s.range(1).select((F.lit(len(queries())) > 200).alias("many"))
+    named = s.createDataFrame([("orders", "curbside.plans.intake:order_years", 1995)], "dataset string, handler string, least int")
+    made = [handler(r["handler"])(s, d, least=r["least"]).withColumn("handler", F.lit(r["handler"])) for r in named.collect()]  # a list that somebody wrote
+    return made[0].select("handler", "year", "n")
 
 
 _M = "lon * (20037508.342789244 / 180)", "ln(tan(radians(lat) / 2 + pi() / 4)) * (20037508.342789244 / pi())"

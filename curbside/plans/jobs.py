@@ -11,7 +11,7 @@ from curbside.plans.registry import query
 from curbside.plans.relational import LT, PT, ST, TG
 from curbside.sources import files
 from curbside.sources.paths import work_folder
-from curbside.sources.tables import LINE_TICKETS_SQL, POINTS_SQL, SITES_SQL, addresses, line_tickets, points, sites, table, tags
+from curbside.sources.tables import LINE_TICKETS_SQL, POINTS_SQL, SITES_SQL, addresses, line_tickets, points, sites, streets, table, tags
 from curbside.streaming import incremental, tile_queue, windows
 
 
@@ -143,10 +143,20 @@ def camera_upsert(s, d):
     return writers.upserted(rows, rows, ["ward_code"]).select("ward_code", "site_key")
 
 
-@query("SNK06_charge_upsert", f"WITH {LINE_TICKETS_SQL}, {SITES_SQL} SELECT site_key, n, round(lon, 6) AS lon FROM (SELECT site_key, count(*) AS n FROM line_tickets GROUP BY 1) LEFT JOIN sites USING (site_key)")
+@query(
+    "SNK06_charge_upsert",
+    f"""WITH {LINE_TICKETS_SQL}, {SITES_SQL}, c AS (SELECT site_key, year, count(*) AS n FROM line_tickets GROUP BY ALL), last AS (SELECT max(year) AS y FROM c)
+    SELECT site_key, year, CASE WHEN year = y THEN n ELSE n + 1 END AS n, round(lon, 6) AS lon FROM c CROSS JOIN last LEFT JOIN sites USING (site_key)""",
+)
 def charge_upsert(s, d):
-    charges = line_tickets(s, d).groupBy("site_key").agg(F.count("*").alias("n"))
-    return charges.join(sites(s, d).select("site_key", F.round("lon", 6).alias("lon")), "site_key", "left")
+    """Charges of a site and year take the place of their camera; those of the last year replace what was loaded before,
+    those of years before stay as they were loaded."""
+    charges = line_tickets(s, d).groupBy("site_key", "year").agg(F.count("*").alias("n"))
+    placed = charges.join(sites(s, d).select("site_key", F.round("lon", 6).alias("lon")), "site_key", "left")
+    last = placed.agg(F.max("year").alias("y"))  # one row
+    marked = placed.crossJoin(F.broadcast(last))
+    loaded = marked.withColumn("n", F.col("n") + 1).select("site_key", "year", "n", "lon")
+    return writers.upserted(loaded, marked.filter("year = y").select("site_key", "year", "n", "lon"), ["site_key", "year"])
 
 
 @query("SNK08_update_from", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 100 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 <> 0")
@@ -248,20 +258,32 @@ def glow_lines(s, d, tolerance=0.01):
     return lines.select("area", simplified(F.col("line"), F.lit(tolerance)).alias("line"))
 
 
-@query("UDF04_geocoded")
+@query(
+    "UDF04_geocoded",
+    """SELECT DISTINCT concat('NR ', c_custkey % 300, 'B Queen St E') AS address, CASE WHEN c_custkey % 300 <= 98 THEN 'range' ELSE 'nearest_range' END AS method, 3 AS segment_id, -79.36::DOUBLE AS lon, 43.65::DOUBLE AS lat
+    FROM customer WHERE c_custkey % 8 = 2 UNION ALL SELECT 'Yonge St & Bloor Street West', 'intersection', 5, -79.385, 43.665""",
+)
 def geocoded(s, d):
-    """Addresses on a small street network; tested on fixtures."""
+    """Addresses on a small street network; those that cannot be placed are left out."""
     from curbside.operators.geocode import geocoded as geocode
 
-    rows = [(1, "MAIN ST", 0, 0, 5000, -79.40, 43.70), (2, "MAIN ST", 1, 1, 5001, -79.40, 43.70), (3, "QUEEN ST E", 0, 0, 98, -79.36, 43.65), (4, "QUEEN ST E", 1, 1, 99, -79.36, 43.65), (5, "YONGE ST", 0, 2, 400, -79.38, 43.66), (6, "BLOOR ST W", 0, 2, 400, -79.39, 43.67), (7, "KING ST W", 0, 0, 98, -79.39, 43.64)]
-    return geocode(addresses(s, d), s.createDataFrame(rows, "segment_id int, street_key string, parity int, low int, high int, lon double, lat double"))
+    return geocode(addresses(s, d), streets(s)).select("address", "method", "segment_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("UDF07_predicted_next")
+_STEP = "SELECT x.*, {1} + coalesce(diff, 1) AS {0} FROM {2} x LEFT JOIN r ON previous = {1} % 10"
+
+
+@query(
+    "UDF07_predicted_next",
+    TG + """, p AS (SELECT number, lag(number) OVER (ORDER BY tag) AS prev FROM tags), g AS (SELECT prev % 10 AS previous, number - prev AS diff, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY ALL),
+    r AS (SELECT previous, diff FROM (SELECT *, row_number() OVER (PARTITION BY previous ORDER BY n DESC, diff) AS rn FROM g) WHERE rn = 1), l AS (SELECT officer, arg_max(number, tag) AS number FROM tags GROUP BY 1),
+    """
+    + f"s1 AS ({_STEP.format('a', 'number', 'l')}), s2 AS ({_STEP.format('b', 'a', 's1')}), s3 AS ({_STEP.format('c', 'b', 's2')}) SELECT officer, number, concat_ws(',', a, b, c) AS predicted FROM s3",
+)
 def predicted_next(s, d):
     from curbside.operators.patterns import predicted_next as predict
 
-    return predict(tags(s, d))
+    return predict(tags(s, d)).select("officer", "number", F.array_join(F.transform("predicted", lambda x: x.cast("string")), ",").alias("predicted"))
 
 
 @query("UDF08_monitoring_list", TG + "SELECT CAST(number // 100 AS BIGINT) AS batch, 100 - count(*) AS missing, max(number) + 1 AS next_number, round(100.0 * count(*) / 100, 2) AS used_percent FROM tags GROUP BY 1 HAVING count(*) < 100 ORDER BY used_percent DESC, batch LIMIT 20")
@@ -297,19 +319,20 @@ def tumbling_stream(s, d):
     return s.read.parquet(f"{target}/out")
 
 
-@query("STR01_tile_queue")
+@query("STR01_tile_queue", PT + "SELECT CASE WHEN x % 3 <> 0 THEN 'done' ELSE 'dead' END AS outcome, CASE WHEN x % 3 <> 0 THEN 4 ELSE 5 END AS attempt, count(*) AS n FROM (SELECT DISTINCT CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096) AS BIGINT) AS y FROM points) GROUP BY 1, 2")
 def queue(s, d):
-    """Requests for tiles, some of which fail until they are given up: outcome counts after all tries."""
+    """Requests for tiles, some of which fail until they are given up: outcomes after all tries. The second run comes before
+    the retries are due and does nothing, the third one after."""
     base = work_folder(s, "queue")
     from curbside.operators.tiles import covering
 
     asked = covering(points(s, d), [12]).select(F.lit("parking").alias("dataset"), F.lit("s0").alias("shard"), F.col("z").cast("int").alias("z"), "x", "y", F.lit(tile_queue.MOST_ATTEMPTS - 1).alias("attempt"), F.lit(0).cast("bigint").alias("not_before"))
     asked.write.parquet(f"{base}/in")
     render = lambda r: r.select("dataset", "z", "x", "y", (F.pmod("x", F.lit(3)) != 0).alias("ok"))
-    for _ in range(2):
-        tile_queue.run_queue(s, f"{base}/in", render, f"{base}/done", f"{base}/dead", f"{base}/state").awaitTermination()
-    done = s.read.parquet(f"{base}/done").select(F.lit("done").alias("outcome"), "x", "y")
-    return done.union(s.read.parquet(f"{base}/dead").select(F.lit("dead"), "x", "y")).groupBy("outcome").agg(F.count("*").alias("n"))
+    for now in (1000, 1001, 2000):
+        tile_queue.run_queue(s, f"{base}/in", render, f"{base}/done", f"{base}/dead", f"{base}/state", F.lit(now)).awaitTermination()
+    done = s.read.parquet(f"{base}/done").select(F.lit("done").alias("outcome"), "attempt")
+    return done.union(s.read.parquet(f"{base}/dead").select(F.lit("dead"), "attempt")).groupBy("outcome", "attempt").agg(F.count("*").alias("n"))
 
 
 @query("STR02_outcomes", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 6 + 1 >= 5 THEN 'dead' ELSE 'retry' END AS outcome, count(*) AS n, sum(CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 6 + 1 >= 5 THEN 0 ELSE least(300, 2 * 2 ** (o_orderkey % 6)) END)::DOUBLE AS wait FROM orders GROUP BY 1")
@@ -351,7 +374,7 @@ def loaded_by_stream(s, d):
     return s.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("STR03_progress")
+@query("STR03_progress", "SELECT 'parking' AS dataset, CAST(o_orderkey % 4 AS VARCHAR) AS shard, count(*) AS finished FROM orders GROUP BY 2")
 def shard_progress(s, d):
     """Finished tiles by shard with stateful counters."""
     base = work_folder(s, "progress")
@@ -402,8 +425,8 @@ def payload_digest(s, d):
     """Payloads unpack to what their digests were taken of."""
     from curbside.functions.slow import unpacked
 
-    rows = writers.payload_manifest(table(s, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey"), "segment")
-    return rows.filter(F.sha2(unpacked(F.col("payload")), 256) == F.col("etag")).select("segment", "n")
+    rows = writers.payload_manifest(table(s, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey"), "segment", 100)
+    return rows.filter(F.sha2(unpacked(F.col("payload")), 256) == F.col("etag")).groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 @query("SNK17_merged_chunks", "SELECT c_custkey FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def handler(name: str) -> Callable[..., DataFrame]:
+    """The function that ``module:function`` names; an error tells what is missing."""
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError(f"{name} is not of the form module:function")
+    found = getattr(importlib.import_module(module), function, None)
+    if not callable(found):
+        raise ValueError(f"{module} has no function {function}")
+    return found
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -15,7 +15,10 @@ def _address(name, sql, column):
 
 _ALNUM = "trim(regexp_replace(upper(address), '[^A-Z0-9]+', ' ', 'g'))"
 _KEY = (
-    "array_to_string(list_transform(string_split({0}, ' '), lambda t: coalesce(map_extract_value(MAP {{" + ", ".join(f"'{k}': '{v}'" for k, v in text.STREET_TOKENS.items()) + "}}, t), t)), ' ')"
+    "array_to_string(list_transform(string_split({0}, ' '), lambda t: CASE t WHEN 'ST' THEN 'STREET' WHEN 'RD' THEN 'ROAD' WHEN 'AVE' THEN 'AVENUE' WHEN 'AV' THEN 'AVENUE' WHEN 'BLVD' THEN 'BOULEVARD' WHEN 'BL' THEN 'BOULEVARD' "
+    "WHEN 'DR' THEN 'DRIVE' WHEN 'PKWY' THEN 'PARKWAY' WHEN 'HWY' THEN 'HIGHWAY' WHEN 'CRES' THEN 'CRESCENT' WHEN 'CR' THEN 'CRESCENT' WHEN 'CIR' THEN 'CIRCLE' WHEN 'CRT' THEN 'COURT' WHEN 'CT' THEN 'COURT' WHEN 'PL' THEN 'PLACE' "
+    "WHEN 'PLZ' THEN 'PLAZA' WHEN 'SQ' THEN 'SQUARE' WHEN 'TER' THEN 'TERRACE' WHEN 'TRL' THEN 'TRAIL' WHEN 'LN' THEN 'LANE' WHEN 'PK' THEN 'PARK' WHEN 'EXPY' THEN 'EXPRESSWAY' WHEN 'E' THEN 'EAST' WHEN 'W' THEN 'WEST' WHEN 'N' THEN 'NORTH' "
+    "WHEN 'S' THEN 'SOUTH' WHEN 'NE' THEN 'NORTHEAST' WHEN 'NW' THEN 'NORTHWEST' WHEN 'SE' THEN 'SOUTHEAST' WHEN 'SW' THEN 'SOUTHWEST' ELSE t END), ' ')"
 )
 _address("STG01_clean_address", "nullif(upper(trim(address)), '')", text.clean_address)
 _address(
@@ -99,12 +102,11 @@ def ward_code_and_name(s, d):
 _address("STG15_slug", "regexp_replace(regexp_replace(lower(trim(address)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')", text.slug)
 
 
-@query("STG16_plain_key", "SELECT DISTINCT source AS place, lower(strip_accents(substr(text, 1, 40))) AS k FROM documents WHERE lang IN ('fr', 'es')")
+@query("STG16_plain_key", "SELECT doc_id, md5(lower(strip_accents(text))) AS k FROM documents")
 def plain_key(s, d):
     from curbside.functions.slow import plain_letters
 
-    heads = table(s, d, "documents").filter(F.col("lang").isin("fr", "es")).select(F.col("source").alias("place"), F.substring("text", 1, 40).alias("t")).distinct()
-    return heads.select("place", F.lower(plain_letters(F.col("t"))).alias("k")).distinct()
+    return table(s, d, "documents").select("doc_id", F.md5(F.lower(plain_letters(F.col("text")))).alias("k"))
 
 
 @query("STG17_masked_number", "SELECT c_custkey, TRY_CAST(replace(CASE WHEN c_custkey % 7 = 0 THEN '***' ELSE '***0' || c_custkey END, '*', '') AS BIGINT) AS n FROM customer")
@@ -450,9 +452,9 @@ def template(s, d):
     return table(s, d, "customer").select("c_custkey", text.template("Ticket {id} for {name} {unknown}", {"id": F.col("c_custkey"), "name": F.col("c_name")}).alias("v"))
 
 
-@query("PRJ07_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey * 1000 >= 1000000 THEN printf('%.1f', o_orderkey * 1000 / 1000000.0::DOUBLE) || 'M' WHEN o_orderkey * 1000 >= 1000 THEN printf('%.1f', o_orderkey * 1000 / 1000.0::DOUBLE) || 'K' ELSE concat(o_orderkey * 1000) END AS v FROM orders WHERE o_orderkey % 100 = 0 OR o_orderkey < 900")
+@query("PRJ07_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey * 1000 >= 1000000 THEN printf('%.1f', floor(o_orderkey / 100.0::DOUBLE + 0.5) / 10) || 'M' WHEN o_orderkey * 1000 >= 1000 THEN printf('%.1f', o_orderkey * 1000 / 1000.0::DOUBLE) || 'K' ELSE concat(o_orderkey * 1000) END AS v FROM orders")
 def abbreviated(s, d):
-    return table(s, d, "orders").filter("o_orderkey % 100 = 0 OR o_orderkey < 900").select("o_orderkey", values.abbreviated(F.col("o_orderkey") * 1000).alias("v"))
+    return table(s, d, "orders").select("o_orderkey", values.abbreviated(F.col("o_orderkey") * 1000).alias("v"))
 
 
 _STOPS = [(1, "faint"), (10, "low"), (100, "mid"), (1000, "high")]

@@ -87,10 +87,12 @@ def archive_rows(files: DataFrame, member: str = "parking_tags") -> DataFrame:
 def archive_table(rows: DataFrame) -> DataFrame:
     """Columns of archive lines under their members' own headers, as a map from lower-case name to text."""
     heads = rows.filter("line_number = 1").select("path", "member", F.split(F.lower("line"), ",").alias("names"))
-    body = rows.filter("line_number > 1").join(F.broadcast(heads), ["path", "member"])
-    cells = F.from_csv(F.col("line"), F.lit(", ".join(f"c{k} string" for k in range(32))))
-    values = F.transform(F.array(*[cells[f"c{k}"] for k in range(32)]), lambda v: v)
-    return body.select("path", "member", "line_number", F.map_from_arrays("names", F.slice(values, F.lit(1), F.size("names"))).alias("cells"))
+    widest = heads.agg(F.max(F.size("names"))).first()[0] or 1  # one number; members may have any number of columns
+    body = rows.filter("line_number > 1").join(heads, ["path", "member"])
+    cells = F.from_csv(F.col("line"), F.lit(", ".join(f"c{k} string" for k in range(widest)))).alias("cells")
+    parsed = body.select("path", "member", "line_number", "names", cells)
+    values = F.array(*[F.col("cells")[f"c{k}"] for k in range(widest)])
+    return parsed.select("path", "member", "line_number", F.map_from_arrays("names", F.slice(values, F.lit(1), F.size("names"))).alias("cells"))
 
 
 def typed_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

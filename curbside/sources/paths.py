@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; under a temporary one only where none is set."""
+    """A fresh folder under ``spark.checkpoint.dir``; under a temporary one only where none is set and the master is local."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"

@@ -111,3 +111,12 @@ ADDRESSES_SQL = """addresses AS (
   SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat(' ', c_custkey, ' Main  Street NB') WHEN 1 THEN concat(c_custkey % 90, '-12 king street w')
     WHEN 2 THEN concat('NR ', c_custkey % 300, 'B Queen St E') WHEN 3 THEN 'Yonge St & Bloor Street West' WHEN 4 THEN ' nan ' WHEN 5 THEN 'N/S AT the Elm Grove Ct. '
     WHEN 6 THEN '  ' ELSE concat('o''connor DR / Park-On avenue', c_custkey % 3) END AS address FROM customer)"""
+
+
+def streets(spark: SparkSession) -> DataFrame:
+    """A small street network for the addresses: segment_id, street_key, parity, low, high, lon, lat."""
+    rows = [
+        (1, "MAIN ST", 0, 0, 5000, -79.40, 43.70), (2, "MAIN ST", 1, 1, 5001, -79.40, 43.70), (3, "QUEEN ST E", 0, 0, 98, -79.36, 43.65), (4, "QUEEN ST E", 1, 1, 99, -79.36, 43.65),
+        (5, "YONGE ST", 0, 2, 400, -79.38, 43.66), (6, "BLOOR ST W", 0, 2, 400, -79.39, 43.67), (7, "KING ST W", 0, 0, 98, -79.39, 43.64),
+    ]
+    return spark.createDataFrame(rows, "segment_id int, street_key string, parity int, low int, high int, lon double, lat double")

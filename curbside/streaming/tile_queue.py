@@ -1,7 +1,8 @@
 """A work queue of tiles: rendered, sent back for another try, or given up.
 
-Requests (dataset, shard, z, x, y, attempt) arrive as files; a checkpoint makes delivery at least once. Results are
-written by batch, so a batch that is repeated replaces its own files.
+Requests (dataset, shard, z, x, y, attempt, not_before) arrive as files; a checkpoint makes delivery at least once. All
+that a batch writes, retries included, goes to folders named by its number, so a batch that is repeated replaces its own
+files. A request whose time has not come is put back as it is.
 """
 
 from __future__ import annotations
@@ -34,22 +35,27 @@ def outcomes(requests: DataFrame, rendered: DataFrame) -> DataFrame:
     return out.withColumns({"outcome": state, "wait_seconds": wait, "next_attempt": F.when(state == "retry", F.col("attempt") + 1)}).drop("ok")
 
 
-def run_queue(spark: SparkSession, source: str, render: Callable[[DataFrame], DataFrame], done: str, dead: str, checkpoint: str) -> StreamingQuery:
-    """Works off all requests in ``source``. Retries are put back into it as new files."""
+def run_queue(spark: SparkSession, source: str, render: Callable[[DataFrame], DataFrame], done: str, dead: str, checkpoint: str, now: Column | None = None) -> StreamingQuery:
+    """Works off all requests in ``source`` that are due by ``now`` (seconds, the clock by default). Retries and requests
+    that are not due are put back into it as new files, for the next run."""
+    seconds = F.unix_timestamp() if now is None else now
 
     def batch(requests: DataFrame, number: int) -> None:
-        distinct = requests.dropDuplicates(["dataset", "z", "x", "y", "attempt"]).persist()
+        taken = requests.withColumn("now", seconds.cast("long")).dropDuplicates(["dataset", "z", "x", "y", "attempt"]).persist()
+        distinct = taken.filter("coalesce(not_before, 0) <= now")
+        early = taken.filter("coalesce(not_before, 0) > now").drop("now")
         split = outcomes(distinct, render(distinct)).persist()
         keys = ["dataset", "shard", "z", "x", "y"]
         split.filter("outcome = 'done'").select(*keys, "attempt").write.mode("overwrite").parquet(f"{done}/batch={number}")
         split.filter("outcome = 'dead'").select(*keys, "attempt").write.mode("overwrite").parquet(f"{dead}/batch={number}")
-        again = split.filter("outcome = 'retry'").select(*keys, F.col("next_attempt").alias("attempt"), (F.unix_timestamp() + F.col("wait_seconds")).cast("long").alias("not_before"))
-        if not again.isEmpty():
-            again.write.mode("append").parquet(source)
+        again = split.filter("outcome = 'retry'").select(*keys, F.col("next_attempt").alias("attempt"), (F.col("now") + F.col("wait_seconds")).cast("long").alias("not_before"))
+        back = again.unionByName(early.select(*again.columns))
+        if not back.isEmpty():
+            back.write.mode("overwrite").parquet(f"{source}/again-{number}")
         split.unpersist()
-        distinct.unpersist()
+        taken.unpersist()
 
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(source)
+    stream = spark.readStream.schema(REQUEST_SCHEMA).option("recursiveFileLookup", "true").parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -16,7 +16,7 @@ def applied(spark, function, inputs, kind="string"):
 def test_streets(spark):
     assert applied(spark, text.street_of_location, ["12-34 Main St NB", "  ", None, "100 - "]) == ["MAIN ST", None, None, None]
     assert applied(spark, text.street_label, ["123 Main St", "", None]) == ["MAIN ST", "Unknown", "Unknown"]
-    assert applied(spark, text.street_key, ["Queen Street West", "ELM GROVE CT"]) == ["QUEEN ST W", "ELM GROVE CRT"]
+    assert applied(spark, text.street_key, ["Queen Street West", "ELM GROVE CT"]) == ["QUEEN STREET WEST", "ELM GROVE COURT"]
     assert applied(spark, text.clean_address, [" nan ", "", None]) == ["NAN", None, None]
 
 

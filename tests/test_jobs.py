@@ -145,3 +145,50 @@ def test_stream_gives_the_closed_windows_of_the_table(spark, tmp_path):
     ours = set(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("window_start", "n").collect()))
     whole = set(map(tuple, stream_windows.tumbling(rows).select("window_start", "n").collect()))
     assert ours and ours <= whole and len(whole) - len(ours) <= 5
+
+
+def test_long_and_short_spellings_are_one_street(spark):
+    segments = spark.createDataFrame([(1, "HWY 7", 0, 2, 98, -79.4, 43.8), (2, "Maple Crescent NW", 0, 2, 98, -79.5, 43.8)], "segment_id int, street_key string, parity int, low int, high int, lon double, lat double")
+    asked = ["50 HIGHWAY 7", "50 Hwy 7", "12 MAPLE CR NW", "12 maple cres northwest", "12 MAPLE CRES"]
+    found = {r.address: (r.segment_id, r.method) for r in geocode.geocoded(spark.createDataFrame([(a,) for a in asked], "address string"), segments).collect()}
+    assert found == {"50 HIGHWAY 7": (1, "range"), "50 Hwy 7": (1, "range"), "12 MAPLE CR NW": (2, "range"), "12 maple cres northwest": (2, "range"), "12 MAPLE CRES": (2, "range")}
+
+
+def test_archive_members_of_many_columns(spark):
+    names = ",".join(f"n{k}" for k in range(40))
+    rows = [("a", "m", 1, names), ("a", "m", 2, ",".join(map(str, range(40)))), ("a", "o", 1, "x,y"), ("a", "o", 2, 'p,"q,r"')]
+    got = {(r.member, r.line_number): r.cells for r in files.archive_table(spark.createDataFrame(rows, "path string, member string, line_number long, line string")).collect()}
+    assert got["m", 2]["n39"] == "39" and len(got["m", 2]) == 40 and got["o", 2] == {"x": "p", "y": "q,r"}
+    assert files.archive_table(spark.createDataFrame([], "path string, member string, line_number long, line string")).count() == 0
+
+
+def test_nearest_names_against_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(9)
+    known = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12))).strip() or "a" for _ in range(120)})
+    typed = sorted({k[: rng.randint(0, len(k))] + rng.choice("abx") + k[rng.randint(0, len(k)) :] for k in known} | set(known[:20]) | {""})
+    got = {r.typed: r.known for r in joins.nearest_names(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([(k,) for k in known], "known string")).collect()}
+    want = {t: found[0] for t in typed if (found := difflib.get_close_matches(t, known, 1, 0.82))}
+    assert got == want
+
+
+def test_retries_wait_until_they_are_due(spark, tmp_path):
+    spark.createDataFrame([("a", "s", 9, x, 0, 1, 0) for x in range(4)], tile_queue.REQUEST_SCHEMA).write.parquet(str(tmp_path / "in"))
+    render = lambda r: r.select("dataset", "z", "x", "y", (F.col("x") > 0).alias("ok"))
+    counts = []
+    for now in (100, 101, 102, 105, 106, 114, 200, 201):
+        tile_queue.run_queue(spark, str(tmp_path / "in"), render, str(tmp_path / "done"), str(tmp_path / "dead"), str(tmp_path / "state"), F.lit(now)).awaitTermination()
+        counts.append((spark.read.parquet(str(tmp_path / "done")).count(), spark.read.parquet(str(tmp_path / "dead")).count()))
+    assert counts == [(3, 0)] * 6 + [(3, 1)] * 2  # waits of 2, 4, 8 and 16 seconds
+
+
+def test_handlers_are_found_by_name():
+    from curbside.plans.intake import order_years
+    from curbside.plans.registry import handler
+
+    assert handler("curbside.plans.intake:order_years") is order_years
+    for name in ("curbside.plans.intake", "curbside.plans.intake:no_such"):
+        with pytest.raises(ValueError):
+            handler(name)
