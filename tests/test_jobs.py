@@ -1,6 +1,9 @@
 """Readers, writers, streams, the geocoder and the forecast on small fixtures."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qsl, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,8 +123,56 @@ def test_portal_retries(tmp_path):
 
     portal = landing.OpenDataPortal("http://portal", get, wait=waits.append)
     assert portal.package("p") == {"id": "p"} and len(calls) == 3 and waits == [1.0, 2.0]
-    portal = landing.OpenDataPortal("http://portal", lambda url: b"bytes")
-    assert portal.download("http://portal/f", tmp_path / "in" / "f.zip").read_bytes() == b"bytes"
+
+
+class Portal(BaseHTTPRequestHandler):
+    """A portal whose first answer to each address is an error, and whose first download breaks off."""
+
+    seen: dict[str, int] = {}
+    content = bytes(range(256)) * 20_000
+    rows = [{"_id": k, "name": f"n{k}"} for k in range(23)]
+
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):
+        path, asked = urlparse(self.path).path, dict(parse_qsl(urlparse(self.path).query))
+        self.seen[self.path] = self.seen.get(self.path, 0) + 1
+        if path == "/file":
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(self.content)))
+            self.end_headers()
+            self.wfile.write(self.content if self.seen[self.path] > 1 else self.content[:1000])
+            return
+        if self.seen[self.path] == 1:
+            self.send_error(503)
+            return
+        result = {"id": asked.get("id"), "url": f"http://127.0.0.1:{self.server.server_port}/file"}
+        if path.endswith("datastore_search"):
+            at, limit = int(asked.get("offset", 0)), int(asked["limit"])
+            result = {"total": len(self.rows), "records": self.rows[at : at + limit]}
+        body = json.dumps({"success": True, "result": result}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+
+def test_portal_over_http(spark, tmp_path):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Portal)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        waits = []
+        portal = landing.OpenDataPortal(f"http://127.0.0.1:{server.server_port}", wait=waits.append)
+        target = portal.download("r1", tmp_path / "in" / "f.zip")
+        assert target.read_bytes() == Portal.content and not target.with_suffix(".zip.part").exists()
+        assert waits == [1.0, 1.0]  # one for the look-up, one for the download that broke off
+        assert portal.total("r1") == 23
+        pages = [row for at in range(0, 23, 10) for row in portal.rows("r1")(at, 10, None)]
+        assert pages == Portal.rows
+        with pytest.raises(OSError):
+            landing.OpenDataPortal("http://127.0.0.1:1", tries=2, wait=waits.append).package("p")
+    finally:
+        server.shutdown()
 
 
 def test_changed_resources(spark):
