@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curbside.functions import geo
-from curbside.operators import writers
+from curbside.operators import result_mart, writers
 from curbside.operators.vector_tiles import encoded_tiles
 from curbside.plans.registry import query
 from curbside.plans.relational import LT, PT, ST, TG
@@ -451,3 +451,36 @@ def tile_groups(s, d):
     from curbside.operators.tiles import tiled
 
     return tiled(points(s, d), 12).groupBy(F.col("tile_group").alias("g")).agg(F.count("*").alias("n"))
+
+
+def _result_mart(s, d):
+    """Answers for the nations whose number is even; every third one is past its expiry, every fourth long so."""
+    k = F.col("n_nationkey")
+    expires = F.when(k % 4 == 0, 100).when(k % 3 == 0, 950).otherwise(2000).cast("bigint")
+    return table(s, d, "nation").filter("n_nationkey % 2 = 0").select(k.cast("bigint").alias("key"), F.concat(F.lit("old "), "n_name").alias("value"), expires.alias("expires_at"), k.cast("bigint").alias("used_at"))
+
+
+def _answers(s, d):
+    requests = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("key"))
+    compute = lambda keys: keys.join(table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.concat(F.lit("new "), "n_name").alias("value")), "key")
+    return result_mart.answered(requests, _result_mart(s, d), compute, F.lit(1000), 600, 120)
+
+
+_OUTCOME = "CASE WHEN n_nationkey % 2 = 1 OR n_nationkey % 4 = 0 THEN 'missing' WHEN n_nationkey % 3 = 0 THEN 'stale' ELSE 'fresh' END"
+
+
+@query("STR08_cached_answers", f"SELECT c_custkey, CASE WHEN {_OUTCOME} = 'missing' THEN 'new ' ELSE 'old ' END || n_name AS value, {_OUTCOME} AS outcome FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def cached_answers(s, d):
+    """Requests served from a mart with expiry; stale answers serve once more while they are renewed."""
+    return _answers(s, d)[0].select("c_custkey", "value", "outcome")
+
+
+@query(
+    "STR09_coalesced_requests",
+    f"""SELECT n_nationkey::BIGINT AS key, CASE WHEN {_OUTCOME} = 'fresh' THEN 'old ' ELSE 'new ' END || n_name AS value, CASE WHEN {_OUTCOME} = 'fresh' THEN 2000 ELSE 1600 END::BIGINT AS expires_at, 1000::BIGINT AS used_at
+    FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)
+    UNION ALL SELECT n_nationkey, 'old ' || n_name, CASE WHEN n_nationkey % 3 = 0 THEN 950 ELSE 2000 END, n_nationkey FROM nation WHERE n_nationkey % 4 = 2 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer)""",
+)
+def coalesced_requests(s, d):
+    """The mart after the requests: each key was worked out once, however many asked for it."""
+    return _answers(s, d)[1]

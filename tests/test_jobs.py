@@ -243,3 +243,38 @@ def test_handlers_are_found_by_name():
     for name in ("curbside.plans.intake", "curbside.plans.intake:no_such"):
         with pytest.raises(ValueError):
             handler(name)
+
+
+def test_mart_stays_within_its_size(spark):
+    from curbside.operators import result_mart
+
+    mart = spark.createDataFrame([(k, "x" * k, 10**6, k // 2) for k in range(1, 9)], "key long, value string, expires_at long, used_at long")
+    kept = result_mart.within_size(mart, F.char_length("value"), 21)
+    assert sorted(r.key for r in kept.collect()) == [6, 7, 8]  # 8, then 6 and 7 of one second
+    assert kept.columns == ["used_at", "key", "value", "expires_at"] or set(kept.columns) == set(mart.columns)
+
+
+def test_key_that_cannot_be_worked_out(spark):
+    from curbside.operators import result_mart
+
+    calls = []
+
+    def compute(keys):
+        calls.append(1)
+        return keys.filter("key = 1").withColumn("value", F.lit("a"))
+
+    requests = spark.createDataFrame([(1,), (1,), (2,), (None,)], "key long")
+    none = spark.createDataFrame([], "key long, value string, expires_at long, used_at long")
+    served, mart = result_mart.answered(requests, none, compute, F.lit(5), 10, 3)
+    assert sorted(((r.key, r.value) for r in served.collect()), key=str) == sorted([(1, "a"), (1, "a"), (2, None), (None, None)], key=str)
+    assert [tuple(r) for r in mart.collect()] == [(1, "a", 15, 5)] and calls == [1]
+
+
+def test_database_table(spark):
+    """An embedded database, read by ranges of its key."""
+    url, driver = "jdbc:derby:memory:curbside;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(0, 1000).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    rows.repartition(1).write.format("jdbc").options(url=url, dbtable="tickets", driver=driver).mode("overwrite").save()
+    found = files.database_table(spark, url, "tickets", "id", 0, 1000, 4, 100)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 1000
+    assert found.agg(F.sum(found.columns[0])).first()[0] == 999 * 500
