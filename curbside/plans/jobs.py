@@ -319,6 +319,17 @@ def tumbling_stream(s, d):
     return s.read.parquet(f"{target}/out")
 
 
+@query("STR12_without_repeats", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def without_repeats(s, d):
+    """A stream in which every event comes twice; each passes once. State is held as long as events may be late."""
+    target = work_folder(s, "repeats")
+    stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ts", F.col("ts").cast("timestamp"))
+    once = windows.without_repeats(twice, ["event_id"])
+    once.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{target}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("STR01_tile_queue", PT + "SELECT CASE WHEN x % 3 <> 0 THEN 'done' ELSE 'dead' END AS outcome, CASE WHEN x % 3 <> 0 THEN 4 ELSE 5 END AS attempt, count(*) AS n FROM (SELECT DISTINCT CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096) AS BIGINT) AS y FROM points) GROUP BY 1, 2")
 def queue(s, d):
     """Requests for tiles, some of which fail until they are given up: outcomes after all tries. The second run comes before
