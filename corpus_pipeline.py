@@ -61,12 +61,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole of ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
+    """The stages in order over the whole of ``documents``. What a stage wrote is removed when the next one has read it; the
+    last one's table stays for the caller."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
