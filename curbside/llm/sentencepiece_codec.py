@@ -37,12 +37,25 @@ FAN_IN, LEVELS = 64, 3
 Maps = tuple[np.ndarray, np.ndarray]  # best scores and, by exit state, the rank of each entry among equals
 
 
-def _packed(words: Vocabulary):
-    return Memo(lambda segment: np.array(words.segment(segment)[1], "<i4").tobytes())
+class PackedMemo(Memo):
+    """Ids by segment. Every segment is decoded again when it is first met; ``odd`` tells whether one did not come back."""
+
+    def __init__(self, words: Vocabulary):
+        super().__init__(self._segment)
+        self.words, self.odd = words, False
+
+    def _segment(self, segment: str) -> bytes:
+        ids = np.array(self.words.segment(segment)[1], "<i4")
+        self.odd |= surface(self.words, ids) != segment.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        return ids.tobytes()
+
+
+def _packed(words: Vocabulary) -> PackedMemo:
+    return PackedMemo(words)
 
 
 @lru_cache(maxsize=2)
-def packed_memo(model_file: str) -> Memo:
+def packed_memo(model_file: str) -> PackedMemo:
     """Ids by segment, kept for all tasks of a Python worker."""
     return _packed(vocabulary(model_file))
 
@@ -239,8 +252,10 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CH
                 found = encode(words, memo, text) if parts is None else b"".join(p["ids"] for p in parts)
                 raw = text.encode("utf-8", "surrogatepass")
                 own = hashlib.sha256(raw).hexdigest()
-                # A giant whose chunks all decode to their texts is whole, unless it holds the space mark itself.
-                back = raw if parts is not None and faithful and SPACE not in text else decode(words, np.frombuffer(found, "<i4")).encode()
+                # Segments (or the chunks of a giant) that all decode to themselves make up the text, unless it holds the
+                # space mark itself. Else the whole is decoded.
+                whole = faithful if parts is not None else not memo.odd
+                back = raw if whole and SPACE not in text else decode(words, np.frombuffer(found, "<i4")).encode()
                 out.append((found, len(found) // 4, len(raw), own, own if back == raw else hashlib.sha256(back).hexdigest(), back == raw))
             made = pd.DataFrame(out, columns=["ids", "n_pieces", "n_bytes", "text_sha256", "decoded_sha256", "round_trip"])
             made.insert(0, "doc_id", frame["doc_id"].to_numpy())
