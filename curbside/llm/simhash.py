@@ -35,6 +35,7 @@ SPLIT_ROWS, SAMPLED, LEVELS = 1_000_000, 64, 3
 #: Shards up to _SMALL fingerprints are compared by shifting, those above _LARGE are split within the task.
 _SMALL, _LARGE = 24, 2048
 _COUNT_AT_ONCE = 1 << 17
+SALTS = 8
 
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -213,9 +214,14 @@ def _members(docs: DataFrame, with_text: bool, split_rows: int = SPLIT_ROWS, sam
     shards = nodes.select("fp").mapInPandas(_shards(_large_shards(nodes.select("fp"), split_rows, sampled)), "shard long, fp long")
     links = shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(_links, "src long, dst long")
     found = components(links)
-    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp")
+    linked = nodes.join(found, F.col("fp") == F.col("node")).select("fp", "least", "component")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    spread = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # members of a large component are spread
+    placed = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["component", "salt"])
+    named = nodes.join(placed.select("fp", "component", "component_id"), "fp", "left")
+    alone = F.col("component").isNull()
+    named = named.select("fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(named, "fp")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
