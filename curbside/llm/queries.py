@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.llm import decontamination, exact_dedup, html_text, minhash, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
+from curbside.llm import decontamination, exact_dedup, html_text, lexical, minhash, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -73,9 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_toxicity,
         op10_simhash_near_dedup,
         op12_minhash_near_dedup,
+        op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
