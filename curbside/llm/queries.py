@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.llm import decontamination, exact_dedup, html_text, lexical, minhash, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
+from curbside.llm import alignment, decontamination, exact_dedup, html_text, lexical, minhash, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_toxicity,
         op10_simhash_near_dedup,
+        op11_token_alignment,
         op12_minhash_near_dedup,
         op13_lexical_search,
     )
