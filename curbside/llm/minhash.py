@@ -11,9 +11,10 @@ A document is its set of word shingles. Documents with equal sets are one class,
 
 No bucket is ever written out as all its pairs. First every member meets one leader of each of its buckets, which is
 linear in the members. The links found that way join classes to components; a bucket whose members all lie in one
-component has nothing left to find. Only in the other buckets are members compared with each other, and only those
-of different components. Such a bucket is cut into blocks of bounded size, every pair of blocks is a task of its own, and
-only pairs that the sequential test lets pass leave it.
+component has nothing left to find. Only the other buckets are read whole: each is cut into blocks of bounded size, and every
+pair of blocks meets in a group of its own, with signatures and texts. There members of different components are
+compared, each pair in the first band that it shares only, the likeliest first; a link joins their components at once, so that
+what it makes needless is not compared. Only such links leave the task: fewer than there were components.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ SHINGLE_WORDS, PERCENT = 2, 80
 BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and how improbable it must be that a pair is similar for the test to drop it.
 BATCH, MISS = 16, 1e-9
-#: Members of a bucket that meet in one task, from each of two blocks.
-BLOCK_ROWS = 2048
+#: About so many members of a bucket, and shingles of theirs, make up a block; two blocks meet at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 SALTS = 8
 _SIZE = BANDS * ROWS
 _AT_ONCE = 512
@@ -210,45 +211,70 @@ def _tested(percent: int, miss: float):
     return run
 
 
-def _compared(percent: int, miss: float):
-    """Rows of a task (bucket, i, j), sorted by it and by ``side``: pairs between the blocks, or within one where i = j."""
+def _codes(numbers: dict[bytes, int], text: str, width: int) -> np.ndarray:
+    """The different shingles of ``text`` as sorted numbers that mean the same for all texts of one ``numbers``."""
+    found = words_of(text)
+    width = min(width, len(found))
+    known = np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int64)
+    codes = known[: len(known) - width + 1]
+    if width == 2:
+        return np.unique(codes << 32 | known[1:])
+    parts = [known[k : k + len(codes)].tolist() for k in range(width)]
+    return np.unique(np.array([numbers.setdefault(p, len(numbers)) for p in zip(*parts, strict=True)], np.int64))
+
+
+def _compared(width: int, percent: int, miss: float):
+    """Rows of groups (bucket, i, j), sorted by them and by ``side``: links between members of different components, of the two
+    blocks i and j or, where i = j, within one."""
     levels = prune_levels(percent, miss)
     key = ["bucket", "i", "j"]
 
-    def solve(group: pd.DataFrame) -> list[np.ndarray]:
-        sigs, nodes, labels = _matrix(group["signature"]), group["node"].to_numpy(), group["label"].to_numpy()
+    def solve(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        sigs, nodes, labels = _matrix(group["signature"]), group["node"].tolist(), group["label"].to_numpy(copy=True)
+        texts, own = group["text"].tolist(), buckets(sigs)
+        band = int((own[0] == group["bucket"].iloc[0]).argmax())
         within = group["i"].iloc[0] == group["j"].iloc[0]
         start = 0 if within else int((group["side"] == 0).sum())
-        out = []
+        numbers, sets = {}, {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _codes(numbers, texts[k], width)
+            return sets[k]
+
         for k in range(len(nodes) - 1 if within else start):
             lo = k + 1 if within else start
             other = np.flatnonzero(labels[lo:] != labels[k]) + lo
-            if len(other):
-                found = other[passing(sigs[k : k + 1], sigs[other], levels)]
-                out.append(np.stack([np.minimum(nodes[found], nodes[k]), np.maximum(nodes[found], nodes[k])]))
-        return out
+            other = other[passing(sigs[k : k + 1], sigs[other], levels)] if len(other) else other
+            other = other[(own[other] == own[k]).argmax(axis=1) == band] if len(other) else other
+            for c in other[np.argsort(-(sigs[other] == sigs[k]).sum(axis=1), kind="stable")].tolist():
+                if labels[c] != labels[k]:
+                    left, right = shingles(k), shingles(c)
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    if 100 * both >= percent * (len(left) + len(right) - both):
+                        yield nodes[k], nodes[c]
+                        labels[labels == labels[c]] = labels[k]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
-        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        def links(rows: pd.DataFrame) -> pd.DataFrame:
             found = [x for _, group in rows.groupby(key, sort=False) for x in solve(group)]
-            a, b = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
-            return pd.DataFrame({"a": a, "b": b})
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for frame in frames:
             if not len(frame):
                 continue
             ends = frame[key].iloc[-1]
-            whole = ~(frame[key] == ends).all(axis=1)  # the last task of a batch may go on in the next one
+            whole = ~(frame[key] == ends).all(axis=1)  # the last group of a batch may go on in the next one
             if held and whole.any() or held and not (held[-1][key].iloc[-1] == ends).all():
-                yield pairs(pd.concat([*held, frame[whole]]))
+                yield links(pd.concat([*held, frame[whole]]))
                 held = []
             elif whole.any():
-                yield pairs(frame[whole])
+                yield links(frame[whole])
             held.append(frame[~whole])
         if held:
-            yield pairs(pd.concat(held))
+            yield links(pd.concat(held))
 
     return run
 
@@ -270,7 +296,7 @@ def _linked(rows: DataFrame, classes: DataFrame, width: int, percent: int, miss:
     bands = stored(signed.mapInArrow(_banded, "bucket long, node long"), "minhash-bands")
     # The leader of a bucket is a member drawn by the bucket, so that members of several buckets meet several leaders.
     drawn = bands.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("drawn"), F.count("*").alias("members"))
-    leaders = drawn.filter("members > 1").select("bucket", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("leader"), "members")
+    leaders = drawn.filter("members > 1").select("bucket", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("leader"))
     shared = stored(bands.join(leaders, "bucket"), "minhash-shared")
 
     led = shared.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -279,14 +305,15 @@ def _linked(rows: DataFrame, classes: DataFrame, width: int, percent: int, miss:
     first = stored(_links(stored(likely, "minhash-likely"), rows, width, percent), "minhash-links")
     found = stored(_labels(first), "minhash-labels")
 
-    labelled = shared.join(found, "node", "left").select("bucket", "node", "members", F.coalesce("component", "node").alias("label"))
+    labelled = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    parts = F.ceil(F.col("members") / block_rows)
-    open_ = labelled.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
-    dealt = open_.join(rows.select(F.col("row").alias("node"), "signature"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    rest = dealt.mapInPandas(_compared(percent, miss), "a long, b long").distinct().join(led, ["a", "b"], "left_anti")
-    second = _links(stored(rest, "minhash-rest"), rows, width, percent)
+    members = labelled.join(mixed, "bucket").join(rows.select(F.col("row").alias("node"), "n_shingles", "signature", "text"), "node")
+    sizes = labelled.join(mixed, "bucket").join(rows.select(F.col("row").alias("node"), "n_shingles"), "node").groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("members") / block_rows, F.col("shingles") / BLOCK_SHINGLES))
+    dealt = members.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "signature", "text")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    second = dealt.mapInPandas(_compared(width, percent, miss), "a long, b long")
     return _labels(stored(first.unionAll(second), "minhash-all"))
 
 
