@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ STREET_TYPES = {
 DIRECTIONS = {"E": "EAST", "W": "WEST", "N": "NORTH", "S": "SOUTH", "NE": "NORTHEAST", "NW": "NORTHWEST", "SE": "SOUTHEAST", "SW": "SOUTHWEST"}
 # Words that only say where along a street a ticket was written.
 POSITION_WORDS = ["NR", "AT", "OPP", "N/S", "S/S", "E/S", "W/S", "IFO", "RO", "SO", "NO", "EO", "WO"]
-# What separates the two streets of an intersection, in order of trust.
-INTERSECTION_MARKS = [" & ", " AND ", " / ", " @ ", " AT "]
+# What separates the two streets of an intersection, in the order in which it is looked for.
+INTERSECTION_MARKS = [" / ", " & ", " AND ", " @ ", " AT ", " N/O ", " S/O ", " E/O ", " W/O ", " NORTH OF ", " SOUTH OF ", " EAST OF ", " WEST OF "]
 
 
 def clean_address(c: Column) -> Column:
@@ -51,9 +53,25 @@ def without_direction(key: Column) -> Column:
     return F.regexp_replace(key, f" ({'|'.join(DIRECTIONS.values())})$", "")
 
 
+def _leading_numbers(c: Column) -> Column:
+    """The number tokens that an address begins with, each with a space behind it; the first and the last may have a letter."""
+    return F.regexp_extract(F.concat(alnum_tokens(c), F.lit(" ")), r"^(\d+[A-Z]? (?:\d+ )*(?:\d+[A-Z] )?)", 1)
+
+
 def house_number(c: Column) -> Column:
-    """Leading house number, null without one; a letter behind it is allowed."""
-    return F.try_to_number(F.nullif(F.regexp_extract(alnum_tokens(c), r"^(\d{1,6})[A-Z]? ", 1), F.lit("")), F.lit("999999")).cast("int")
+    """House number of an address: the last of the numbers it begins with; null without one."""
+    return F.regexp_extract(_leading_numbers(c), r"(\d+)[A-Z]? $", 1).try_cast("int")
+
+
+def numbered_street(c: Column) -> Column:
+    """Street behind the house number. Its letter, which may belong to the name, goes before the street if several numbers
+    came first, else behind it, unless the street holds that letter anyway."""
+    numbers = _leading_numbers(c)
+    rest = F.trim(F.substring(F.concat(alnum_tokens(c), F.lit(" ")), F.char_length(numbers) + 1, F.char_length(c) + 1))
+    letter = F.regexp_extract(numbers, r"\d([A-Z]) $", 1)
+    several = F.size(F.split(F.trim(numbers), " ")) > 1
+    placed = F.when(several, F.concat(letter, F.lit(" "), rest)).when(F.contains(rest, letter), rest).otherwise(F.concat(rest, F.lit(" "), letter))
+    return F.trim(F.when(letter == "", rest).otherwise(placed))
 
 
 def without_house_number(c: Column) -> Column:
@@ -61,11 +79,13 @@ def without_house_number(c: Column) -> Column:
 
 
 def intersection_streets(c: Column) -> Column:
-    """The two street keys of an intersection, split at the first mark that is there; null if it is none."""
-    upper, out = F.upper(c), F.lit(None)
-    for mark in reversed(INTERSECTION_MARKS):
-        out = F.when(F.instr(upper, mark) > 0, F.array(F.substring_index(upper, mark, 1), F.regexp_replace(F.substring(upper, F.instr(upper, mark) + len(mark), F.length(upper)), "^ +", ""))).otherwise(out)
-    return F.transform(out, street_key)
+    """The two street keys of an intersection, split at the first mark that has a street on both sides; null if it is none."""
+
+    def sides(mark: str) -> Column:
+        parts = F.filter(F.transform(F.split(F.upper(c), re.escape(mark)), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(F.size(parts) >= 2, F.slice(parts, 1, 2))
+
+    return F.transform(F.coalesce(*[sides(m) for m in INTERSECTION_MARKS]), street_key)
 
 
 def without_position_words(c: Column) -> Column:
@@ -126,8 +146,6 @@ def masked_number(c: Column) -> Column:
 
 def template(text: str, columns: dict[str, Column]) -> Column:
     """``text`` with {name} replaced by columns; names that are unknown stay as written."""
-    import re
-
     parts, at = [], 0
     for m in re.finditer(r"\{(\w+)\}", text):
         if m[1] in columns:

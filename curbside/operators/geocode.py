@@ -8,36 +8,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.functions.text import house_number, intersection_streets, street_key, without_direction, without_house_number, without_position_words
+from curbside.functions.text import house_number, intersection_streets, numbered_street, street_key, without_direction, without_position_words
 from curbside.operators.joins import fallback_chain, nearest_pairs, range_matched
+from curbside.sources.paths import work_folder
+
+
+def streets_found(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """key, street_key, method: the street of ``names`` (street_key) that each different ``key`` means.
+
+    Streets are found by their key, then without a trailing direction, then without spaces, then by the most similar
+    name. Of several streets that are one without spaces the first in the alphabet is taken.
+    """
+    distinct = keys.select("key").filter("key <> ''").distinct()
+    lookup = names.select("street_key").distinct()
+    steps = [
+        ("exact", F.col("key"), F.col("street_key")),
+        ("no_direction", without_direction(F.col("key")), F.col("street_key")),
+        ("no_space", F.replace("key", F.lit(" ")), F.replace("street_key", F.lit(" "))),
+    ]
+    found = fallback_chain(distinct, lookup, steps, "key", (F.col("key"), "street_key"))
+    return found.groupBy("key").agg(F.min("street_key").alias("street_key"), F.min("method").alias("method"))
 
 
 def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
     """address, method, segment_id, lon, lat for each distinct address that can be placed.
 
-    Methods in turn: house number on a segment's range, crossing of two streets, middle of a street. Streets are found
-    by their key, then without a trailing direction, then without spaces. Keys have the long spelling on both sides, so
-    HWY and HIGHWAY, or W and WEST, are the same.
+    An address that begins with a number is placed on the segment of its street whose range holds the number (range), else on
+    the nearest one (nearest_range); one of two streets halfway between their nearest segments (intersection); one without any digit
+    in the middle of its street (street). Streets are those of :func:`streets_found`; keys have the long spelling on
+    both sides, so HWY and HIGHWAY, or W and WEST, are the same.
     """
     segments = segments.withColumn("street_key", street_key(F.col("street_key")))
     distinct = addresses.select("address").filter("address IS NOT NULL").distinct()
-    cleaned = without_position_words(F.col("address"))
-    parsed = distinct.select("address", house_number(cleaned).alias("number"), street_key(without_house_number(cleaned)).alias("key"), intersection_streets(cleaned).alias("pair"))
-    names = segments.select("street_key").distinct()
-    bare, bare_name = without_direction(F.col("key")), without_direction(F.col("street_key"))
-    steps = [
-        ("exact", F.col("key"), F.col("street_key")),
-        ("no_direction", bare, bare_name),
-        ("no_space", F.replace(bare, F.lit(" ")), F.replace(bare_name, F.lit(" "))),
-    ]
-    single = fallback_chain(parsed.filter("pair IS NULL AND key <> ''"), names, steps, "address")
+    # In steps, so that no expression is repeated within another; read once and kept, as several steps come back to it.
+    parsed = distinct.withColumn("cleaned", without_position_words(F.col("address")))
+    parsed = parsed.withColumns({"number": house_number(F.col("cleaned")), "street": numbered_street(F.col("cleaned")), "pair": intersection_streets(F.col("cleaned"))})
+    numbered = F.col("number").isNotNull()
+    plain = F.when(F.col("pair").isNull() & ~F.col("cleaned").rlike("[0-9]"), F.col("cleaned"))
+    parsed = parsed.select("address", "number", street_key(F.when(numbered, F.col("street")).otherwise(plain)).alias("key"), F.when(~numbered, F.col("pair")).alias("pair"))
+    work_folder(addresses.sparkSession, "geocoded")
+    parsed = parsed.checkpoint()
+    keys = parsed.select("key").unionAll(parsed.select(F.explode("pair").alias("key"))).filter("key <> ''")
+    streets = streets_found(keys, segments).select("key", "street_key").checkpoint()
+    single = parsed.filter("key <> ''").join(streets, "key")
     numbered = range_matched(single.filter("number IS NOT NULL").select("address", "street_key", "number"), segments, "address", "number")
-    by_number = numbered.select("address", F.when(F.col("inside"), "range").otherwise("nearest_range").alias("method"), "segment_id", "lon", "lat")
+    places = segments.groupBy("segment_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    by_number = numbered.join(places, "segment_id").select("address", F.when(F.col("inside"), "range").otherwise("nearest_range").alias("method"), "segment_id", "lon", "lat")
     middle = segments.groupBy("street_key").agg(F.min("segment_id").alias("segment_id"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    rest = single.join(by_number.select("address"), "address", "left_anti").dropDuplicates(["address"])
-    by_street = rest.join(middle, "street_key").select("address", F.lit("street").alias("method"), "segment_id", "lon", "lat")
-    pairs = parsed.filter("pair IS NOT NULL")
-    side = lambda k: pairs.select("address", F.col("pair")[k].alias("street_key")).join(segments, "street_key").select("address", "segment_id", "lon", "lat")
+    by_street = single.filter("number IS NULL").join(middle, "street_key").select("address", F.lit("street").alias("method"), "segment_id", "lon", "lat")
+    side = lambda k: parsed.filter("pair IS NOT NULL").select("address", F.col("pair")[k].alias("key")).join(streets, "key").join(segments, "street_key").select("address", "segment_id", "lon", "lat")
     crossing = nearest_pairs(side(0), side(1), "address").select("address", F.lit("intersection").alias("method"), F.col("id_a").alias("segment_id"), "lon", "lat")
     return by_number.unionByName(by_street).unionByName(crossing)
 

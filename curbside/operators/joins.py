@@ -47,34 +47,65 @@ def by_candidates(facts: DataFrame, id_column: str, candidates: Column, lookup:
     return top_per_group(tried.join(lookup, key), [id_column], ["priority"]).drop("rn")
 
 
-def fallback_chain(facts: DataFrame, lookup: DataFrame, steps: Sequence[tuple[str, Column, Column]], id_column: str) -> DataFrame:
-    """Joins what is still unmatched by each (name, fact key, lookup key) in turn; ``method`` says which one matched."""
-    done, left = None, facts
-    for name, fact_key, lookup_key in steps:
-        keyed = left.withColumn("_k", fact_key).join(lookup.withColumn("_k", lookup_key), "_k").drop("_k").withColumn("method", F.lit(name))
-        done = keyed if done is None else done.unionByName(keyed)
-        left = left.join(keyed.select(id_column).distinct(), id_column, "left_anti")
-    return done
+def fallback_chain(facts: DataFrame, lookup: DataFrame, steps: Sequence[tuple[str, Column, Column]], id_column: str, fuzzy: tuple[Column, str] | None = None, least: float = 0.82) -> DataFrame:
+    """Facts with their partners by the first of several (name, fact key, lookup key) that has one; ``method`` is its name.
+
+    All keys are looked up at once. With ``fuzzy`` (fact key, column of ``lookup``) what has no partner goes to the most
+    similar name, from a ratio of ``least`` on. ``id_column`` tells facts apart.
+    """
+    tries = F.array(*[F.struct(F.lit(k).alias("step"), fact_key.alias("k")) for k, (_, fact_key, _) in enumerate(steps)])
+    offers = F.array(*[F.struct(F.lit(k).alias("step"), lookup_key.alias("k")) for k, (_, _, lookup_key) in enumerate(steps)])
+    asked = facts.select(F.col(id_column).alias("_id"), F.explode(tries).alias("_try")).select("_id", "_try.step", "_try.k").filter("k IS NOT NULL")
+    offered = lookup.select(F.struct(*lookup.columns).alias("_found"), F.explode(offers).alias("_offer")).select("_found", "_offer.step", "_offer.k")
+    met = asked.join(offered, ["step", "k"]).select("_id", "step", "_found")
+    first = met.groupBy("_id").agg(F.min("step").alias("step"))
+    names = F.element_at(F.array(*[F.lit(name) for name, _, _ in steps]), F.col("step") + 1)
+    done = met.join(first, ["_id", "step"]).select("_id", "_found", names.alias("method"))
+    if fuzzy:
+        left = facts.select(F.col(id_column).alias("_id"), fuzzy[0].alias("typed")).join(first, "_id", "left_anti")
+        near = nearest_names(left, lookup.select(F.col(fuzzy[1]).alias("known")), least)
+        partners = lookup.select(F.struct(*lookup.columns).alias("_found"), F.col(fuzzy[1]).alias("known"))
+        done = done.unionByName(left.join(near.select("typed", "known"), "typed").join(partners, "known").select("_id", "_found", F.lit("fuzzy").alias("method")))
+    return facts.join(done.withColumnRenamed("_id", id_column), id_column).select(*[F.col(c) for c in facts.columns], "_found.*", "method")
+
+
+def _letter_pairs(c: Column) -> Column:
+    """The pairs of neighbouring letters, each with the number of times it came before, so that repeats differ."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
 
 
 def nearest_names(typed: DataFrame, known: DataFrame, least: float = 0.82) -> DataFrame:
     """typed, known, ratio: for every different ``typed`` name the ``known`` one most like it, by a ratio of ``least`` or more.
 
-    Names meet by the pairs of letters they share. With a ratio r of their summed length t at least r * t / 2 letters
-    match, in (1 - r) * t + 1 blocks at most, so at least (1.5 * r - 1) * t - 1 pairs of letters are shared; only names
-    that share so many are compared. Equal ratios go to the name that is last in the alphabet.
+    With a ratio r of their summed length t at least r * t / 2 letters match, in (1 - r) * t + 1 blocks at most, so at least
+    (1.5 * r - 1) * t - 1 pairs of letters are shared, and the shorter name has r / (2 - r) of the longer one's letters.
+    So of a name's pairs, put in the order of how rare they are, the last ones need not be indexed: two names that share
+    enough pairs share one among the rest. Frequent pairs (of STREET, say) thus bring no names together. Names that meet are
+    compared by length, then by the pairs they share, and only then by their ratio. Equal ratios go to the name that is
+    last in the alphabet.
     """
     from curbside.functions.slow import name_ratio
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        c = F.col(name)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))
-        counted = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-        return df.select(name).filter(c != "").distinct().select(name, F.explode(counted).alias("gram"))
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).alias("name")).filter("name <> ''").distinct().select("name", _letter_pairs(F.col("name")).alias("grams"))
+
+    def shared(total: Column) -> Column:
+        return F.ceil((1.5 * least - 1) * total - 1 - 1e-9)
+
+    sides = [named(typed, "typed"), named(known, "known")]
+    rarity = sides[0].unionAll(sides[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rare(side: DataFrame, name: str) -> DataFrame:
+        """(name, gram) for the rarest pairs of every name, as many as are needed."""
+        ranked = side.select("name", F.explode("grams").alias("gram")).join(rarity, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
+        needed = F.greatest(F.lit(1), shared(F.char_length("name") * (1 + least / (2 - least))))
+        kept = F.slice("order", F.lit(1), F.greatest(F.lit(1), F.size("order") - needed + 1).cast("int"))
+        return ranked.select(F.col("name").alias(name), F.explode(kept).alias("g")).select(name, "g.gram")
 
     total = F.char_length("typed") + F.char_length("known")
-    met = grams(typed, "typed").join(grams(known, "known"), "gram").groupBy("typed", "known").agg(F.count("*").alias("n"))
-    close = met.filter((F.col("n") >= (1.5 * least - 1) * total - 1) & (2 * F.least(F.char_length("typed"), F.char_length("known")) >= least * total))
+    met = rare(sides[0], "typed").join(rare(sides[1], "known"), "gram").filter(2 * F.least(F.char_length("typed"), F.char_length("known")) >= least * total - 1e-9)
+    close = met.select("typed", "known").distinct().filter(F.size(F.array_intersect(_letter_pairs(F.col("typed")), _letter_pairs(F.col("known")))) >= shared(total))
     rated = close.select("typed", "known", name_ratio("known", "typed").alias("ratio")).filter(F.col("ratio") >= least)
     return rated.groupBy("typed").agg(F.max(F.struct("ratio", "known")).alias("best")).select("typed", "best.known", "best.ratio")
 
@@ -115,16 +146,75 @@ def in_polygons(points: DataFrame, polygons: DataFrame, id_column: str, cell_met
     return points.join(first, id_column, "left")
 
 
+def _levels(highest: int) -> int:
+    return max(1, (highest + 2).bit_length())
+
+
+def _covered(low: Column, high: Column, levels: int) -> Column:
+    """The fewest dyadic cells (level, cell) that make up the positions from ``low`` to ``high``: at each level at most one at
+    either end."""
+    step = F.struct(low.alias("a"), (high + 1).alias("b"), F.expr("CAST(array() AS array<struct<level:int,cell:bigint>>)").alias("out"))
+
+    def next_level(at: Column, k: Column) -> Column:
+        cell = lambda x: F.array(F.struct(k.cast("int").alias("level"), x.cast("bigint").alias("cell")))
+        none = F.slice(at["out"], 1, 0)
+        left = F.when((at["a"] < at["b"]) & (at["a"] % 2 == 1), cell(at["a"])).otherwise(none)
+        a = F.when((at["a"] < at["b"]) & (at["a"] % 2 == 1), at["a"] + 1).otherwise(at["a"])
+        right = F.when((a < at["b"]) & (at["b"] % 2 == 1), cell(at["b"] - 1)).otherwise(none)
+        b = F.when((a < at["b"]) & (at["b"] % 2 == 1), at["b"] - 1).otherwise(at["b"])
+        return F.struct(F.floor(a / 2).alias("a"), F.floor(b / 2).alias("b"), F.concat(at["out"], left, right).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), step, next_level)["out"]
+
+
+def _above(position: Column, levels: int) -> Column:
+    """Every dyadic cell that holds ``position``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(position / F.pow(F.lit(2.0), k)).cast("bigint").alias("cell")))
+
+
 def range_matched(facts: DataFrame, segments: DataFrame, id_column: str, number: str) -> DataFrame:
-    """The segment of the fact's street whose range holds its number on the right side (parity): the narrowest one; if
-    none does, the one nearest to the number. ``segments``: street_key, segment_id, parity, low, high.
+    """The segment of the fact's street that holds its number: the narrowest one of the number's parity (``inside``), else the
+    one nearest to it, whatever the parity. Equal ones go by segment_id. Adds segment_id, inside and off (how far the number
+    is from the segment) to ``facts``; facts of streets without segments are left out.
+
+    ``segments``: street_key, segment_id, parity, low, high; those without numbers, or with low above high, are left out.
+
+    The number line of a street is cut into dyadic cells (one for each number, each two, each four, ...). A range is at most
+    two cells of each level, a number lies in one of each level, and the numbers below it are at most one cell of each level,
+    as are those above it. So ranges and their ends are reduced to one row for each cell first, and every different
+    number of a street then finds all it needs by equality joins with as many rows as there are levels, however many segments its street has.
     """
-    n, span = F.col(number), F.col("high") - F.col("low")
-    joined = facts.join(segments, "street_key").filter((F.col("parity") == n % 2))
-    inside = n.between(F.col("low"), F.col("high"))
-    off = F.when(inside, 0).otherwise(F.least(F.abs(n - F.col("low")), F.abs(n - F.col("high"))))
-    ranked = joined.withColumns({"off": off, "inside": inside, "span": span})
-    return top_per_group(ranked, [id_column], [F.desc("inside"), "off", "span", "segment_id"]).drop("rn", "span")
+    n = F.col(number)
+    ranges = segments.filter("low <= high AND high >= 0").select("street_key", "segment_id", "parity", F.greatest("low", F.lit(0)).cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"), (F.col("high") - F.col("low")).cast("bigint").alias("span"))
+    levels = _levels(ranges.agg(F.max("high")).first()[0] or 0)
+    least = F.min("segment_id").alias("segment_id")
+    # kind: 0 and 1 ranges by parity, 2 ranges of either, 3 ends below, 4 starts above; ``key`` is what the least of wins.
+    by_parity = ranges.groupBy("street_key", "parity", "low", "high", "span").agg(least)
+    inside = by_parity.select("street_key", F.col("parity").cast("int").alias("kind"), F.col("span").alias("key"), "segment_id", F.explode(_covered(F.col("low"), F.col("high"), levels)).alias("at"))
+    either = ranges.groupBy("street_key", "low", "high").agg(least).select("street_key", F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("key"), "segment_id", F.explode(_covered(F.col("low"), F.col("high"), levels)).alias("at"))
+    ends = ranges.groupBy("street_key", "high").agg(least).select("street_key", F.lit(3).alias("kind"), (-F.col("high")).alias("key"), "segment_id", F.explode(_above(F.col("high"), levels)).alias("at"))
+    starts = ranges.groupBy("street_key", "low").agg(least).select("street_key", F.lit(4).alias("kind"), F.col("low").alias("key"), "segment_id", F.explode(_above(F.col("low"), levels)).alias("at"))
+    cells_of = inside.unionByName(either).unionByName(ends).unionByName(starts).select("street_key", "kind", "at.level", "at.cell", "key", "segment_id")
+    best = cells_of.groupBy("street_key", "kind", "level", "cell").agg(F.min(F.struct("key", "segment_id")).alias("best"))
+
+    asked = facts.select("street_key", n.alias("_n")).filter("_n IS NOT NULL").distinct()
+    place = F.least(F.greatest(F.col("_n"), F.lit(-1)), F.lit((1 << levels) - 1)).cast("bigint")
+    own = F.explode(_above(place, levels)).alias("at")
+    cell = F.col("at.cell")
+    odd = cell % 2 == 1
+    wanted = F.array(
+        F.struct(F.pmod("_n", F.lit(2)).cast("int").alias("kind"), cell.alias("cell")),
+        F.struct(F.lit(2).alias("kind"), cell.alias("cell")),
+        F.struct(F.when(odd, 3).otherwise(4).alias("kind"), F.when(odd, cell - 1).otherwise(cell + 1).alias("cell")),
+    )
+    lookups = asked.select("street_key", "_n", own).select("street_key", "_n", "at.level", F.explode(wanted).alias("w")).select("street_key", "_n", "level", "w.kind", "w.cell")
+    met = lookups.join(best, ["street_key", "kind", "level", "cell"])
+    gap = F.when(F.col("kind") == 2, F.lit(0)).when(F.col("kind") == 3, F.col("_n") + F.col("best.key")).otherwise(F.col("best.key") - F.col("_n")).cast("bigint")
+    held = F.min(F.when(F.col("kind") < 2, F.col("best"))).alias("held")
+    near = F.min(F.when(F.col("kind") >= 2, F.struct(gap.alias("key"), F.col("best.segment_id").alias("segment_id")))).alias("near")
+    found = met.groupBy("street_key", "_n").agg(held, near)
+    found = found.select("street_key", F.col("_n").alias(number), F.coalesce("held.segment_id", "near.segment_id").alias("segment_id"), F.col("held").isNotNull().alias("inside"), F.when(F.col("held").isNotNull(), 0).otherwise(F.col("near.key")).cast("bigint").alias("off"))
+    return facts.join(found, ["street_key", number])
 
 
 def nearest_pairs(a: DataFrame, b: DataFrame, key: str, most: int = 12) -> DataFrame:

@@ -415,7 +415,7 @@ def pivot(s, d):
 
 @query(
     "AGG60_run_statistics",
-    """SELECT CASE WHEN c_custkey % 8 IN (4, 6) THEN 'empty' WHEN c_custkey % 8 = 3 THEN 'intersection' WHEN c_custkey % 8 = 2 AND c_custkey % 300 <= 98 THEN 'range' WHEN c_custkey % 8 = 2 THEN 'nearest_range' ELSE 'no_match' END AS outcome,
+    """SELECT CASE WHEN c_custkey % 8 IN (4, 6) THEN 'empty' WHEN c_custkey % 8 = 3 THEN 'intersection' WHEN c_custkey % 8 = 1 OR c_custkey % 8 = 2 AND c_custkey % 300 <= 98 OR c_custkey % 8 = 0 AND c_custkey <= 5000 THEN 'range' WHEN c_custkey % 8 IN (0, 2) THEN 'nearest_range' ELSE 'no_match' END AS outcome,
     count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM customer GROUP BY 1""",
 )
 def run_statistics(s, d):

@@ -260,8 +260,10 @@ def glow_lines(s, d, tolerance=0.01):
 
 @query(
     "UDF04_geocoded",
-    """SELECT DISTINCT concat('NR ', c_custkey % 300, 'B Queen St E') AS address, CASE WHEN c_custkey % 300 <= 98 THEN 'range' ELSE 'nearest_range' END AS method, 3 AS segment_id, -79.36::DOUBLE AS lon, 43.65::DOUBLE AS lat
-    FROM customer WHERE c_custkey % 8 = 2 UNION ALL SELECT 'Yonge St & Bloor Street West', 'intersection', 5, -79.385, 43.665""",
+    """SELECT DISTINCT concat('NR ', c_custkey % 300, 'B Queen St E') AS address, CASE WHEN c_custkey % 300 <= 98 THEN 'range' ELSE 'nearest_range' END AS method, CASE WHEN c_custkey % 300 <= 98 THEN 3 ELSE 4 END AS segment_id, -79.36::DOUBLE AS lon, 43.65::DOUBLE AS lat
+    FROM customer WHERE c_custkey % 8 = 2 UNION ALL SELECT DISTINCT concat(c_custkey % 90, '-12 king street w'), 'range', 7, -79.39, 43.64 FROM customer WHERE c_custkey % 8 = 1
+    UNION ALL SELECT concat(' ', c_custkey, ' Main  Street NB'), CASE WHEN c_custkey <= 5000 THEN 'range' ELSE 'nearest_range' END, CASE WHEN c_custkey <= 5000 THEN 1 ELSE 2 END, -79.4, 43.7 FROM customer WHERE c_custkey % 8 = 0
+    UNION ALL SELECT DISTINCT 'Yonge St & Bloor Street West', 'intersection', 5, -79.385, 43.665 FROM customer WHERE c_custkey % 8 = 3""",
 )
 def geocoded(s, d):
     """Addresses on a small street network; those that cannot be placed are left out."""

@@ -306,37 +306,42 @@ def _segments(s, d):
 
 @query(
     "JOI15_range_match",
-    TK + _SEG + """, g AS (SELECT DISTINCT order_key * 100000 + part_key AS id, street_key, number FROM f), j AS (SELECT id, segment_id, number BETWEEN low AND high AS inside, row_number() OVER (PARTITION BY id ORDER BY number BETWEEN low AND high DESC,
-      CASE WHEN number BETWEEN low AND high THEN 0 ELSE least(abs(number - low), abs(number - high)) END, high - low, segment_id) AS rn FROM g JOIN seg USING (street_key) WHERE parity = number % 2)
-    SELECT id, segment_id, inside FROM j WHERE rn = 1""",
+    TK + _SEG + """, g AS (SELECT DISTINCT street_key, number FROM f), j AS (SELECT g.*, segment_id, number BETWEEN low AND high AND parity = number % 2 AS inside, CASE WHEN number BETWEEN low AND high THEN 0 ELSE least(abs(number - low), abs(number - high)) END AS gap,
+      high - low AS span FROM g JOIN seg USING (street_key)),
+    r AS (SELECT street_key, number, segment_id, inside, CASE WHEN inside THEN 0 ELSE gap END AS off, row_number() OVER (PARTITION BY street_key, number ORDER BY inside DESC, CASE WHEN inside THEN span ELSE gap END, segment_id) AS rn FROM j)
+    SELECT DISTINCT order_key * 100000 + part_key AS id, segment_id, inside, CAST(off AS BIGINT) AS off FROM f JOIN r USING (street_key, number) WHERE rn = 1""",
 )
 def range_match(s, d):
     ident = F.col("order_key") * 100000 + F.col("part_key")
     facts = tickets(s, d).select(ident.alias("id"), F.col("street").alias("street_key"), (F.col("order_key") % 600).cast("int").alias("number")).distinct()
-    return joins.range_matched(facts, _segments(s, d), "id", "number").select("id", "segment_id", "inside")
+    return joins.range_matched(facts, _segments(s, d), "id", "number").select("id", "segment_id", "inside", "off")
 
 
 @query(
     "JOI16_fallback_chain",
-    """WITH k AS (SELECT 'QUEEN STREET' AS name, 1 AS sid UNION ALL SELECT 'KINGSTREET', 2 UNION ALL SELECT 'MAIN STREET NB', 3 UNION ALL SELECT 'OCONNOR DRIVE PARK ON AVENUE1', 4 UNION ALL SELECT 'YONGE STREET BLOOR STREET', 5)
-    SELECT c_custkey AS id, sid, method FROM customer JOIN (VALUES (0, 'MAIN STREET NB', 'exact'), (1, 'KINGSTREET', 'no_space'), (2, 'QUEEN STREET', 'no_direction'), (3, 'YONGE STREET BLOOR STREET', 'no_direction')) t(shape, name, method)
-      ON c_custkey % 8 = shape JOIN k USING (name) UNION ALL SELECT c_custkey, 4, 'no_space' FROM customer WHERE c_custkey % 8 = 7 AND c_custkey % 3 = 1""",
+    """WITH k AS (SELECT 'QUEEN STREET' AS name, 1 AS sid UNION ALL SELECT 'KINGSTREET', 2 UNION ALL SELECT 'MAIN STREET NB', 3 UNION ALL SELECT 'OCONNOR DRIVE PARK ON AVENUE1', 4 UNION ALL SELECT 'YONGE STREET BLOOR STREET', 5 UNION ALL SELECT 'ELM GROVE COURT', 6)
+    SELECT c_custkey AS id, sid, method FROM customer JOIN (VALUES (0, 'MAIN STREET NB', 'exact'), (1, 'KINGSTREET', 'no_space'), (2, 'QUEEN STREET', 'no_direction'), (3, 'YONGE STREET BLOOR STREET', 'no_direction'), (5, 'ELM GROVE COURT', 'fuzzy')) t(shape, name, method)
+      ON c_custkey % 8 = shape JOIN k USING (name) UNION ALL SELECT c_custkey, 4, CASE WHEN c_custkey % 3 = 1 THEN 'no_space' ELSE 'fuzzy' END FROM customer WHERE c_custkey % 8 = 7""",
 )
 def fallback_chain(s, d):
-    """All spellings of addresses by the key of their street; those of no known street are left out."""
+    """All spellings of addresses by the key of their street, the last step by likeness; those of no known street are left out."""
     from curbside.functions import text
 
-    streets = s.createDataFrame([("QUEEN STREET", 1), ("KINGSTREET", 2), ("MAIN STREET NB", 3), ("OCONNOR DRIVE PARK ON AVENUE1", 4), ("YONGE STREET BLOOR STREET", 5)], "name string, sid int")
+    names = ["QUEEN STREET", "KINGSTREET", "MAIN STREET NB", "OCONNOR DRIVE PARK ON AVENUE1", "YONGE STREET BLOOR STREET", "ELM GROVE COURT"]
+    streets = s.createDataFrame([(name, k + 1) for k, name in enumerate(names)], "name string, sid int")
     place = F.regexp_replace(text.without_position_words(F.col("address")), "^[0-9]+-", "")
     facts = addresses(s, d).select("id", text.street_key(text.without_house_number(place)).alias("key"))
     bare = text.without_direction(F.col("key"))
     steps = [("exact", F.col("key"), F.col("name")), ("no_direction", bare, F.col("name")), ("no_space", F.replace(bare, F.lit(" ")), F.replace(F.col("name"), F.lit(" ")))]
-    return joins.fallback_chain(facts, streets, steps, "id").select("id", "sid", "method")
+    return joins.fallback_chain(facts, streets, steps, "id", (F.col("key"), "name")).select("id", "sid", "method")
 
 
-@query("JOI17_fuzzy_match")
+@query(
+    "JOI17_fuzzy_match",
+    """SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN concat(p_type, 'X') WHEN 1 THEN substr(p_type, 2) WHEN 2 THEN replace(p_type, ' ', '') ELSE p_type END AS typed, p_type AS known FROM part""",
+)
 def fuzzy_match(s, d):
-    """Misspelt names meet the known ones by their ratio; only distinct names are compared. difflib has no SQL."""
+    """Misspelt names meet the known ones by their ratio; only distinct names are compared. The SQL knows which name each one was made from."""
     known = table(s, d, "part").select(F.col("p_type").alias("known")).distinct()
     k = F.col("p_partkey") % 4
     spoilt = F.when(k == 0, F.concat("p_type", F.lit("X"))).when(k == 1, F.regexp_replace("p_type", "^.", "")).when(k == 2, F.replace("p_type", F.lit(" "))).otherwise(F.col("p_type"))

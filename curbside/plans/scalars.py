@@ -29,12 +29,20 @@ _address(
 _address("STG03_street_label", r"coalesce(nullif(trim(regexp_replace(upper(trim(address)), '^[0-9]+\s*', '')), ''), 'Unknown')", text.street_label)
 _address("STG04_alnum_tokens", _ALNUM, text.alnum_tokens)
 _address("STG05_street_key", _KEY.format(_ALNUM), text.street_key)
-_address("STG06_house_number", rf"TRY_CAST(nullif(regexp_extract({_ALNUM}, '^(\d{{1,6}})[A-Z]? ', 1), '') AS INT)", text.house_number)
+_NUMBERS = rf"regexp_extract(concat({_ALNUM}, ' '), '^(\d+[A-Z]? (?:\d+ )*(?:\d+[A-Z] )?)', 1)"
+_address("STG06_house_number", rf"TRY_CAST(regexp_extract({_NUMBERS}, '(\d+)[A-Z]? $', 1) AS INT)", text.house_number)
+_address(
+    "STG06_numbered_street",
+    rf"""(SELECT trim(CASE WHEN letter = '' THEN rest WHEN len(string_split(trim(numbers), ' ')) > 1 THEN concat(letter, ' ', rest) WHEN contains(rest, letter) THEN rest ELSE concat(rest, ' ', letter) END)
+      FROM (SELECT numbers, regexp_extract(numbers, '\d([A-Z]) $', 1) AS letter, trim(substr(concat({_ALNUM}, ' '), length(numbers) + 1)) AS rest FROM (SELECT {_NUMBERS} AS numbers)))""",
+    text.numbered_street,
+)
+_SIDES = [f"list_filter(list_transform(string_split(upper(address), '{m}'), lambda x: trim(x)), lambda x: x <> '')" for m in text.INTERSECTION_MARKS]
+
+
 @query(
     "STG07_intersection_streets",
-    f"""WITH {ADDRESSES_SQL}, p AS (SELECT id, CASE WHEN contains(upper(address), ' & ') THEN string_split(upper(address), ' & ') WHEN contains(upper(address), ' AND ') THEN string_split(upper(address), ' AND ')
-      WHEN contains(upper(address), ' / ') THEN string_split(upper(address), ' / ') WHEN contains(upper(address), ' @ ') THEN string_split(upper(address), ' @ ')
-      WHEN contains(upper(address), ' AT ') THEN string_split(upper(address), ' AT ') END AS s FROM addresses)
+    f"""WITH {ADDRESSES_SQL}, p AS (SELECT id, coalesce({", ".join(f"CASE WHEN len({x}) >= 2 THEN {x} END" for x in _SIDES)}) AS s FROM addresses)
     SELECT id, {_KEY.format("trim(regexp_replace(s[1], '[^A-Z0-9]+', ' ', 'g'))")} AS a, {_KEY.format("trim(regexp_replace(s[2], '[^A-Z0-9]+', ' ', 'g'))")} AS b FROM p WHERE s IS NOT NULL""",
 )
 def intersection_streets(s, d):

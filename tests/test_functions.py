@@ -22,7 +22,9 @@ def test_streets(spark):
 
 def test_addresses(spark):
     assert applied(spark, text.house_number, ["123 MAIN ST", "12B KING ST", "MAIN ST", None]) == [123, 12, None, None]
-    assert applied(spark, text.intersection_streets, ["QUEEN ST W & YONGE ST", "QUEEN ST W"]) == [["QUEEN ST W", "YONGE ST"], None]
+    assert applied(spark, text.intersection_streets, ["QUEEN ST W & YONGE ST", "QUEEN ST W", "KING ST N/O FRONT ST", "A RD NORTH OF B AVE", " / KING ST & BAY ST"]) == [["QUEEN STREET WEST", "YONGE STREET"], None, ["KING STREET", "FRONT STREET"], ["A ROAD", "B AVENUE"], ["KING STREET", "BAY STREET"]]
+    assert applied(spark, text.house_number, ["12 34 KING ST", "12B 34C KING ST", "1 2 3 MAIN", "99999999999 X"]) == [34, 34, 3, None]
+    assert applied(spark, text.numbered_street, ["12 34 KING ST", "12B 34C KING ST", "12B KING ST", "12K KING ST", "7"]) == ["KING ST", "C KING ST", "KING ST B", "KING ST", ""]
     assert applied(spark, text.without_position_words, ["NR N/S 5 MAIN ST", "MAIN ST"]) == ["5 MAIN ST", "MAIN ST"]
 
 
