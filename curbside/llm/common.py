@@ -35,6 +35,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def with_long_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` with its text column ``name`` as a number again.
+
+    Pandas holds whole numbers beside nulls as doubles, which changes those beyond 2**53; so ids go through it as texts.
+    """
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder.
 

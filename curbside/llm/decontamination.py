@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbside.llm.common import with_long_id
+
 #: One edit for so many characters of an item.
 CHARS_PER_ERROR = 20
 #: The benchmark is a stated query set: it is sent to the tasks in blocks of at most so many characters.
@@ -187,13 +189,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
             if rows:
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([i for i, _ in rows], "Int64"),
+                        "doc_id": [i for i, _ in rows],
                         "item_ids": [[i for i, _ in m] for _, m in rows],
                         "distances": [[d for _, d in m] for _, m in rows],
                     }
                 )
 
-    found = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_ids array<long>, distances array<int>")
+    found = with_long_id(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(search, "doc_id string, item_ids array<long>, distances array<int>"))
     return found.select("doc_id", F.lit(True).alias("contaminated"), "item_ids", "distances", F.size("item_ids").cast("long").alias("n_items"))
 
 

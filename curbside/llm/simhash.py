@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import components, cut, named_rows
+from curbside.llm.common import components, cut, named_rows, with_long_id
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 _BLOCKS = RADIUS + 2
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         values = np.array([fingerprint(t) for t in frame["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": values.view(np.int64), "own": frame["own"]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": values.view(np.int64), "own": frame["own"]})
 
 
 def _subtrees(taken: int) -> list[int]:
@@ -209,7 +209,8 @@ def _large_shards(fps: DataFrame, split_rows: int, sampled: int) -> list[np.ndar
 def _members(docs: DataFrame, with_text: bool, split_rows: int = SPLIT_ROWS, sampled: int = SAMPLED) -> DataFrame:
     """doc_id, fp, own (SHA-256 of the text, if wanted), component (a fingerprint that names it) and component_id of every row."""
     own = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)) if with_text else F.lit(None).cast("binary")
-    rows = cut(docs.select("doc_id", F.col("text").cast("string"), own.alias("own")).mapInPandas(_fingerprints, "doc_id long, fp long, own binary"))
+    texts = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"), own.alias("own"))
+    rows = cut(with_long_id(texts.mapInPandas(_fingerprints, "doc_id string, fp long, own binary")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     shards = nodes.select("fp").mapInPandas(_shards(_large_shards(nodes.select("fp"), split_rows, sampled)), "shard long, fp long")
     links = shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(_links, "src long, dst long")
@@ -221,7 +222,8 @@ def _members(docs: DataFrame, with_text: bool, split_rows: int = SPLIT_ROWS, sam
     named = nodes.join(placed.select("fp", "component", "component_id"), "fp", "left")
     alone = F.col("component").isNull()
     named = named.select("fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(named, "fp")
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # so are the rows of one fingerprint
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(named, ["fp", "salt"]).drop("salt")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

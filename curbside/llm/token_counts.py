@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbside.llm.common import with_long_id
 from curbside.llm.pieces import NEVER, Memo, Vocabulary, vocabulary
 
 #: Where the public vocabulary lies on the cluster's machines, unless the session names another or a caller does.
@@ -88,4 +89,4 @@ def token_counts(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(count, "doc_id long, n_chars long, n_tokens long, score long")
+    return with_long_id(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(count, "doc_id string, n_chars long, n_tokens long, score long"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.common import cut, labelled_texts
+from curbside.llm.common import cut, labelled_texts, with_long_id
 from curbside.llm.linear import Logistic, fit_logistic
 
 #: Bounded sample of labelled rows: the first of each label by a hash of doc_id.
@@ -236,9 +236,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(stems)
         for frame in frames:
-            ids = frame["doc_id"].astype("Int64")
+            ids = frame["doc_id"]
             counts = np.array([voters.counts(t) for t in frame["text"]]).reshape(-1, voters.size + 1)
             p = np.round(model.probability(features(counts, levels)), 9)
-            yield pd.DataFrame({"doc_id": ids, "held_out": [held_out(None if i is pd.NA else i) for i in ids], "score": p, "predicted": (p >= TOXIC_AT).astype("int32")})
+            yield pd.DataFrame({"doc_id": ids, "held_out": [held_out(i) for i in ids], "score": p, "predicted": (p >= TOXIC_AT).astype("int32")})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    return with_long_id(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(score, "doc_id string, held_out boolean, score double, predicted int"))
