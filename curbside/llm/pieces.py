@@ -53,6 +53,18 @@ class Vocabulary:
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if spaced else r"(?s).+")
         self.cut = re.compile(f"(?<=[^{SPACE}])(?={SPACE})") if spaced else re.compile(r"(?!)")
 
+        #: Neighbouring characters within pieces: between any others every path is cut.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+
+    def parts(self, segment: str) -> list[str]:
+        """``segment`` cut wherever no piece holds both characters."""
+        joined, out, at = self.joined, [], 0
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in joined:
+                out.append(segment[at:k])
+                at = k
+        return [*out, segment[at:]]
+
     @staticmethod
     def escaped(text: str | None) -> str:
         """The text as the model sees it: a leading space mark, and marks for spaces."""

@@ -10,7 +10,7 @@ scan works on rows of Spark, one for each chunk, in groups of at most FAN_IN:
    matrices at most;
 3. going down, the states at both ends of a group give the states at the ends of its members, from those of the whole
    text (0 at both ends) to those of every chunk;
-4. every chunk is traced back and decoded on its own between its two states.
+4. every chunk is traced back on its own between its two states.
 
 Equal scores: of two paths into the same exit state the tokenizer keeps the one whose pieces, read from the right,
 start earlier. So a matrix carries, for each exit state, the order of the entries by that rule; the product of two
@@ -28,34 +28,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbside.llm.common import with_long_id
 from curbside.llm.pieces import NEVER, SPACE, Memo, Vocabulary, vocabulary
 from curbside.llm.token_counts import MODEL_FILE
 
 CHUNK_CHARS = 32_768
 #: Matrices of one group; with LEVELS levels of groups a text may have FAN_IN ** LEVELS chunks, more than a string can hold.
 FAN_IN, LEVELS = 64, 3
+#: Segments whose ids a worker remembers; at times twice as many.
+REMEMBERED = 400_000
 Maps = tuple[np.ndarray, np.ndarray]  # best scores and, by exit state, the rank of each entry among equals
 
 
-class PackedMemo(Memo):
-    """Ids by segment. Every segment is decoded again when it is first met; ``odd`` tells whether one did not come back."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__(self._segment)
-        self.words, self.odd = words, False
-
-    def _segment(self, segment: str) -> bytes:
-        ids = np.array(self.words.segment(segment)[1], "<i4")
-        self.odd |= surface(self.words, ids) != segment.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        return ids.tobytes()
-
-
-def _packed(words: Vocabulary) -> PackedMemo:
-    return PackedMemo(words)
+def _packed(words: Vocabulary) -> Memo:
+    """Ids by segment. A segment met for the first time is put together from the parts that no piece crosses."""
+    parts = Memo(lambda part: np.array(words.segment(part)[1], "<i4").tobytes(), REMEMBERED)
+    return Memo(lambda segment: b"".join(map(parts.__getitem__, words.parts(segment))), REMEMBERED)
 
 
 @lru_cache(maxsize=2)
-def packed_memo(model_file: str) -> PackedMemo:
+def packed_memo(model_file: str) -> Memo:
     """Ids by segment, kept for all tasks of a Python worker."""
     return _packed(vocabulary(model_file))
 
@@ -195,7 +187,7 @@ def _scan(maps: DataFrame, fan_in: int) -> DataFrame:
 
 
 def _encode_giants(giants: DataFrame, model_file: str, chunk: int, fan_in: int) -> DataFrame:
-    """key, parts (k and ids of each chunk) and faithful (whether every chunk decodes to its own text) of ``giants`` (key, text)."""
+    """key and parts (k and ids of each chunk) of ``giants`` (key, text)."""
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(model_file)
@@ -217,16 +209,24 @@ def _encode_giants(giants: DataFrame, model_file: str, chunk: int, fan_in: int)
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, memo = vocabulary(model_file), packed_memo(model_file)
         for frame in frames:
-            ids, faithful = [], []
-            for piece, size, enter, leave in zip(frame["piece"], frame["size"], frame["enter"], frame["leave"], strict=True):
-                ids.append(trace_chunk(words, memo, piece, size, enter, leave))
-                faithful.append(surface(words, np.frombuffer(ids[-1], "<i4")) == piece[enter : size + leave].replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": ids, "faithful": faithful})
+            columns = (frame[c] for c in ("piece", "size", "enter", "leave"))
+            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": [trace_chunk(words, memo, *row) for row in zip(*columns, strict=True)]})
 
     chunks = giants.select("key", "text").mapInPandas(cut_up, "key binary, k int, size int, piece string").repartition("key", "k")
     states = _scan(chunks.mapInPandas(matrices, _MAPS), fan_in)
-    traced = chunks.join(states, ["key", "k"]).mapInPandas(trace, "key binary, k int, ids binary, faithful boolean")
-    return traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.min("faithful").alias("faithful"))
+    traced = chunks.join(states, ["key", "k"]).mapInPandas(trace, "key binary, k int, ids binary")
+    return traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+
+
+def _checked(words: Vocabulary, text: str, ids: bytes) -> tuple:
+    """What :func:`encoded` tells of a text and its ids, which are decoded again."""
+    raw = text.encode("utf-8", "surrogatepass")
+    own = hashlib.sha256(raw).hexdigest()
+    joined = surface(words, np.frombuffer(ids, "<i4"))
+    back = joined[1:] if joined[:1] == b" " else joined
+    if back != raw:  # bytes that are no UTF-8 become the replacement character
+        back = back.decode("utf-8", "replace").encode()
+    return ids, len(ids) // 4, len(raw), own, own if back == raw else hashlib.sha256(back).hexdigest(), back == raw
 
 
 def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CHARS, fan_in: int = FAN_IN) -> DataFrame:
@@ -239,7 +239,7 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CH
     one pass, with the same result. Repeated rows appear again, an empty table gives no rows, other columns are ignored.
     """
     # Giants are known by the SHA-256 of their text; repeated giants are worked out once.
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.when(F.char_length("text") >= chunk, F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
     giants = texts.filter("key IS NOT NULL").groupBy("key").agg(F.max("text").alias("text"))
     ids = _encode_giants(giants, model_file, chunk, fan_in)
@@ -247,25 +247,16 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CH
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, memo = vocabulary(model_file), packed_memo(model_file)
         for frame in frames:
-            out = []
-            for text, parts, faithful in zip(frame["text"], frame["parts"], frame["faithful"], strict=True):
-                found = encode(words, memo, text) if parts is None else b"".join(p["ids"] for p in parts)
-                raw = text.encode("utf-8", "surrogatepass")
-                own = hashlib.sha256(raw).hexdigest()
-                # Segments (or the chunks of a giant) that all decode to themselves make up the text, unless it holds the
-                # space mark itself. Else the whole is decoded.
-                whole = faithful if parts is not None else not memo.odd
-                back = raw if whole and SPACE not in text else decode(words, np.frombuffer(found, "<i4")).encode()
-                out.append((found, len(found) // 4, len(raw), own, own if back == raw else hashlib.sha256(back).hexdigest(), back == raw))
+            found = [encode(words, memo, t) if parts is None else b"".join(p["ids"] for p in parts) for t, parts in zip(frame["text"], frame["parts"], strict=True)]
+            out = [_checked(words, text, ids) for text, ids in zip(frame["text"], found, strict=True)]
             made = pd.DataFrame(out, columns=["ids", "n_pieces", "n_bytes", "text_sha256", "decoded_sha256", "round_trip"])
-            made.insert(0, "doc_id", frame["doc_id"].to_numpy())
+            made.insert(0, "doc_id", frame["doc_id"])
             yield made
 
-    schema = "doc_id long, ids binary, n_pieces long, n_bytes long, text_sha256 string, decoded_sha256 string, round_trip boolean"
-    none = [F.lit(None).cast("array<struct<k:int,ids:binary>>").alias("parts"), F.lit(None).cast("boolean").alias("faithful")]
-    short = texts.filter("key IS NULL").select("doc_id", "text", *none)
-    long = texts.filter("key IS NOT NULL").join(ids, "key").select("doc_id", "text", "parts", "faithful")
-    return short.unionAll(long).mapInPandas(finish, schema)
+    schema = "doc_id string, ids binary, n_pieces long, n_bytes long, text_sha256 string, decoded_sha256 string, round_trip boolean"
+    short = texts.filter("key IS NULL").select("doc_id", "text", F.lit(None).cast("array<struct<k:int,ids:binary>>").alias("parts"))
+    long = texts.filter("key IS NOT NULL").join(ids, "key").select("doc_id", "text", "parts")
+    return with_long_id(short.unionAll(long).mapInPandas(finish, schema))
 
 
 def decoded(rows: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
@@ -278,6 +269,6 @@ def decoded(rows: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(model_file)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": [decode(words, np.frombuffer(x or b"", "<i4")) for x in frame["ids"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [decode(words, np.frombuffer(x or b"", "<i4")) for x in frame["ids"]]})
 
-    return rows.select("doc_id", "ids").mapInPandas(back, "doc_id long, text string")
+    return with_long_id(rows.select(F.col("doc_id").cast("string"), "ids").mapInPandas(back, "doc_id string, text string"))

@@ -134,6 +134,26 @@ def test_query_rows(make_docs):
     assert all((i, t or "") in back for i, t in pairs if "▁" not in (t or ""))
 
 
+def test_damage_shows():
+    """Every row is decoded from its own ids: one that is wrong, lost or doubled is seen."""
+    words = vocabulary(MODEL_FILE)
+    memo = codec._packed(words)
+    text = "the ab and naïve 日本"
+    ids = np.frombuffer(codec.encode(words, memo, text), "<i4")
+    assert codec._checked(words, text, ids.tobytes())[-1]
+    for wrong in (np.concatenate([ids[:3], [words.ids["x"]], ids[4:]]), np.delete(ids, 2), np.repeat(ids, [2, *[1] * (len(ids) - 1)])):
+        row = codec._checked(words, text, wrong.astype("<i4").tobytes())
+        assert not row[-1] and row[3] == hashlib.sha256(text.encode()).hexdigest() != row[4]
+
+
+def test_parts_are_where_paths_are_cut():
+    words = vocabulary(MODEL_FILE)
+    memo = codec._packed(words)
+    for segment in ("▁the.\nOther", "▁▁日本x", "\n\n", "▁qzxjw"):
+        assert "".join(words.parts(segment)) == segment
+        assert np.frombuffer(memo[segment], "<i4").tolist() == words.segment(segment)[1]
+
+
 def test_empty_table(make_docs):
     assert codec.encoded(make_docs([])).count() == 0
     assert token_counts(make_docs([])).count() == 0
