@@ -31,9 +31,9 @@ SALTS = 8
 _KEY = ["digest", "second", "size"]
 
 
-def _normalised(with_content: bool, with_own: bool = False):
-    """Batches (doc_id, text) as doc_id, the key of the normalised text, and, if wanted, its content with a digest of the
-    text itself."""
+def _normalised(more: str = ""):
+    """Batches (doc_id, text) as doc_id and the key of the normalised text, with its ``content`` or with a digest of the text
+    itself (``own``), if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,25 +46,24 @@ def _normalised(with_content: bool, with_own: bool = False):
                 pa.array(list(map(len, lower)), pa.int64()),
             ]
             names = ["doc_id", *_KEY]
-            if with_content:
-                columns += [pa.array([hashlib.sha256(b).digest() if with_own else None for b in raw], pa.binary()), pa.array(lower, pa.binary())]
-                names += ["own", "content"]
+            if more:
+                columns.append(pa.array(lower if more == "content" else [hashlib.sha256(b).digest() for b in raw], pa.binary()))
+                names.append(more)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def groups(docs: DataFrame, salts: int = SALTS, with_own: bool = False) -> DataFrame:
-    """One row per different text of ``docs``: digest, second, size (its key), keep_id, keep_own (if wanted, the SHA-256 of
-    the text of the row that stays, before lower-casing; the greatest of several rows under that id), group_size."""
-    schema = "doc_id long, digest binary, second long, size long, own binary, content binary"
-    tagged = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised(True, with_own), schema)
+_ROW = "doc_id long, digest binary, second long, size long"
+
+
+def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One row per different text of ``docs``: digest, second, size (its key), keep_id, group_size."""
+    tagged = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised("content"), f"{_ROW}, content binary")
     salted = tagged.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    # A struct with a null id is smaller than any with an id.
-    winner = F.max(F.struct("doc_id", "own")).alias("winner")
-    by_salt = salted.groupBy(*_KEY, "salt", "content").agg(winner, F.count("*").alias("n"))
-    merged = by_salt.groupBy(*_KEY, "content").agg(F.max("winner").alias("winner"), F.sum("n").alias("group_size"))
-    narrow = cut(merged.select(*_KEY, F.col("winner.doc_id").alias("keep_id"), F.col("winner.own").alias("keep_own"), "group_size"))
+    by_salt = salted.groupBy(*_KEY, "salt", "content").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    merged = by_salt.groupBy(*_KEY, "content").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    narrow = cut(merged.select(*_KEY, "keep_id", "group_size"))
     if narrow.groupBy(*_KEY).count().filter("count > 1").limit(1).count():
         raise ArithmeticError("two different texts share SHA-256, XXH64 and length")
     return narrow
@@ -80,7 +79,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     several = groups(docs, salts).filter("group_size > 1").select(*_KEY, "keep_id", "group_size")
     spread = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised(False), "doc_id long, digest binary, second long, size long")
+    members = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised(), _ROW)
     members = members.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int"))
     found = members.join(spread, [*_KEY, "salt"], "left")  # who finds none is alone
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -100,7 +99,11 @@ def kept(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     one of rows that repeat both. Equal texts, nulls, long texts and empty tables as in :func:`exact_dedup`; rows
     that share a doc_id are judged each by its own text.
     """
-    return named_rows(docs, groups(docs, salts, True).select(F.col("keep_id").alias("doc_id"), F.col("keep_own").alias("own")))
+    keepers = groups(docs, salts).select(*_KEY, F.col("keep_id").alias("doc_id"))
+    rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_normalised("own"), f"{_ROW}, own binary").distinct()
+    found = rows.alias("r").join(keepers.alias("k"), [F.col(f"r.{c}") == F.col(f"k.{c}") for c in _KEY] + [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))])
+    chosen = found.groupBy(*[F.col(f"r.{c}") for c in [*_KEY, "doc_id"]]).agg(F.max("own").alias("own"))
+    return named_rows(docs, chosen.select("doc_id", "own"))
 
 
 ORACLE_SQL = """

@@ -38,3 +38,17 @@ def test_kept_rows(make_docs):
     assert sorted((r for r in rows if r[1]), key=str) == sorted([(5, "alpha"), (9, beta), (9, "gamma"), (None, "x")], key=str)
     assert len(rows) == 5 and got.columns == make_docs([], extra=True).columns
     assert kept(make_docs([])).count() == 0
+
+
+def test_contents_are_combined_by_hash(spark, make_docs):
+    """No map task sorts its rows by their contents."""
+    from curbside.llm import exact_dedup as module
+
+    plans = []
+    real = module.cut
+    try:
+        module.cut = lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1]
+        module.groups(make_docs([(1, "a"), (2, "A")]))
+    finally:
+        module.cut = real
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
