@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbside.llm.common import with_long_id
 from curbside.llm.labelled_pages import labelled_pages
 
 # Element names of HTML.
@@ -46,7 +47,7 @@ _QUOTE_OR_END = re.compile(r">|=\s*[\"']")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|y)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _KEYWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TITLE_CHARS = 200
+_HEADING_TAG = re.compile(r"</?h[1-6](?=[\s/>])", re.I)
 
 
 class _TagEnds:
@@ -116,7 +117,7 @@ class Tree:
         self._build(page or "")
 
     def _build(self, page: str) -> None:
-        at, size, ends = 0, len(page), _TagEnds(page)
+        at, size, ends, next_heading = 0, len(page), _TagEnds(page), -1
         while at < size:
             lt = page.find("<", at)
             if lt < 0:
@@ -155,12 +156,10 @@ class Tree:
                     self._run.append((self._stack[-1][1], " "))
             else:
                 if name in _HEADINGS:
-                    title_end = page.find("</", at, at + _TITLE_CHARS)
-                    title = page[at:title_end] if title_end >= 0 else ""
-                    if title_end >= 0 and page[title_end + 2 : title_end + 3] not in "hH":  # an inline element ends first
-                        title_end = page.find("</h", title_end, at + _TITLE_CHARS)
-                        title = page[at:title_end] if title_end >= 0 else title
-                    self._start(name, rest, title)
+                    if next_heading < at:  # a title reaches up to the next heading's tag, so that titles never overlap
+                        found = _HEADING_TAG.search(page, at)
+                        next_heading = found.start() if found else size + 1
+                    self._start(name, rest, page[at:next_heading] if next_heading <= size else "")
                 else:
                     self._start(name, rest, "")
         self._flush()
@@ -410,6 +409,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [main_text(p) for p in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    texts = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return with_long_id(texts.mapInPandas(extract, "page_id string, url string, text string, n_chars long"), "page_id")

@@ -151,3 +151,13 @@ def test_every_page_of_the_tables():
         own = re.sub(r"(?s)<!--.*?-->|<(script|style).*?</\1>", "", own)
         lines = re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", "\n", re.sub(block, "\0", own))).split("\0")
         assert main_text(row["html"]) == "\n".join(line for line in (" ".join(html.unescape(x).split()) for x in lines) if line)
+
+
+@pytest.mark.parametrize("length", [10, 300, 5000])
+def test_long_links_in_headings(length):
+    """However long the markup within a heading is, what it names is what counts."""
+    article = "".join(f"<p>A sentence of the article, number {k}, that has enough words to be read as text.</p>" for k in range(6))
+    reply = "<div><p>I liked this one a lot, thank you.</p></div>"
+    page = f"<body><article><h1>Title of it</h1>{article}</article><h3><a href='/{'x' * length}'>3 Comments</a></h3>{reply}</body>"
+    found = main_text(page)
+    assert "number 5" in found and "Comments" not in found and "liked" not in found
