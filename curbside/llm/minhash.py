@@ -7,7 +7,7 @@ A document is its set of word shingles. Documents with equal sets are one class,
 * **Sequential test.** Hashes agree with the probability of the similarity s. With a uniform prior, after m agreements
   among n hashes s is at least t with probability P(Bin(n + 1, t) <= m). Candidates are compared batch by batch, and
   dropped as soon as this falls below MISS.
-* **Exact test.** The texts of the survivors are brought together and their sets compared whole.
+* **Exact test.** The texts of the survivors, packed, are brought together and their sets compared whole.
 
 No bucket is ever written out as all its pairs. First every member meets one leader of each of its buckets, which is
 linear in the members. The links found that way join classes to components; a bucket whose members all lie in one
@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,10 @@ class Words(dict):
         return k
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.lower().split()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_hashes(words: Words, text: str | None, width: int) -> np.ndarray:
+def shingle_hashes(words: Words, text: str | bytes | None, width: int) -> np.ndarray:
     """Two hashes (rows) of each different shingle of ``text`` in an order that depends on the set alone."""
     found = words_of(text)
     if not found:
@@ -151,22 +153,25 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _signed(width: int):
-    """Batches (row, doc_id, text) with the size of the set, its digest and its signature; null where there is no word."""
+    """Batches (row, doc_id, text) as row, doc_id, the text packed, the size of the set, its digest and its signature; null
+    where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, pack = Words(), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            sizes, digests, signatures = [], [], []
+            packed, sizes, digests, signatures = [], [], [], []
             for text in batch.column(2).to_pylist():
                 if len(words) > _MOST_WORDS:
                     words = Words()
-                hashes = shingle_hashes(words, text, width)
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                hashes = shingle_hashes(words, raw, width)
                 some = hashes.shape[1] > 0
+                packed.append(pack(raw) if some else None)
                 sizes.append(hashes.shape[1])
                 digests.append(hashlib.sha256(hashes.tobytes()).digest() if some else None)
                 signatures.append(signature(hashes[0]).tobytes() if some else None)
-            columns = [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text", "n_shingles", "digest", "signature"])
+            columns = [*batch.columns[:2], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "packed", "n_shingles", "digest", "signature"])
 
     return run
 
@@ -179,20 +184,20 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(width: int, percent: int):
-    """Pairs (a, b, text_a, text_b) whose full sets are similar. Rows come in the order of ``a``, whose set is kept."""
+    """Pairs (a, b, packed_a, packed_b) whose full sets are similar. Rows come in the order of ``a``, whose set is kept."""
 
-    def shingles(text: str) -> set:
-        found = words_of(text)
+    def shingles(packed: bytes) -> set:
+        found = words_of(zstandard.decompress(packed))
         return set(zip(*(found[k:] for k in range(min(width, len(found)))), strict=False))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, left = None, set()
         for frame in frames:
             keep = []
-            for a, text_a, text_b in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
+            for a, packed_a, packed_b in zip(frame["a"], frame["packed_a"], frame["packed_b"], strict=True):
                 if a != last:
-                    last, left = a, shingles(text_a)
-                right = shingles(text_b)
+                    last, left = a, shingles(packed_a)
+                right = shingles(packed_b)
                 both = len(left & right)
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield frame.loc[keep, ["a", "b"]]
@@ -211,7 +216,7 @@ def _tested(percent: int, miss: float):
     return run
 
 
-def _codes(numbers: dict[bytes, int], text: str, width: int) -> np.ndarray:
+def _codes(numbers: dict[bytes, int], text: str | bytes, width: int) -> np.ndarray:
     """The different shingles of ``text`` as sorted numbers that mean the same for all texts of one ``numbers``."""
     found = words_of(text)
     width = min(width, len(found))
@@ -231,7 +236,7 @@ def _compared(width: int, percent: int, miss: float):
 
     def solve(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
         sigs, nodes, labels = _matrix(group["signature"]), group["node"].tolist(), group["label"].to_numpy(copy=True)
-        texts, own = group["text"].tolist(), buckets(sigs)
+        texts, own = group["packed"].tolist(), buckets(sigs)
         band = int((own[0] == group["bucket"].iloc[0]).argmax())
         within = group["i"].iloc[0] == group["j"].iloc[0]
         start = 0 if within else int((group["side"] == 0).sum())
@@ -239,7 +244,7 @@ def _compared(width: int, percent: int, miss: float):
 
         def shingles(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = _codes(numbers, texts[k], width)
+                sets[k] = _codes(numbers, zstandard.decompress(texts[k]), width)
             return sets[k]
 
         for k in range(len(nodes) - 1 if within else start):
@@ -281,8 +286,8 @@ def _compared(width: int, percent: int, miss: float):
 
 def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar."""
-    left, right = (rows.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    texts = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    left, right = (rows.select(F.col("row").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
+    texts = pairs.join(right, "b").join(left, "a").select("a", "b", "packed_a", "packed_b").sortWithinPartitions("a")
     return texts.mapInPandas(_similar(width, percent), "a long, b long")
 
 
@@ -307,11 +312,11 @@ def _linked(rows: DataFrame, classes: DataFrame, width: int, percent: int, miss:
 
     labelled = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    members = labelled.join(mixed, "bucket").join(rows.select(F.col("row").alias("node"), "n_shingles", "signature", "text"), "node")
+    members = labelled.join(mixed, "bucket").join(rows.select(F.col("row").alias("node"), "signature", "packed"), "node")
     sizes = labelled.join(mixed, "bucket").join(rows.select(F.col("row").alias("node"), "n_shingles"), "node").groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("members") / block_rows, F.col("shingles") / BLOCK_SHINGLES))
     dealt = members.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "signature", "text")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "signature", "packed")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
     second = dealt.mapInPandas(_compared(width, percent, miss), "a long, b long")
     return _labels(stored(first.unionAll(second), "minhash-all"))
@@ -328,7 +333,7 @@ def minhash_components(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     the component has no id at all. An empty table gives no rows; other columns are ignored.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    schema = "row long, doc_id long, text string, n_shingles long, digest binary, signature binary"
+    schema = "row long, doc_id long, packed binary, n_shingles long, digest binary, signature binary"
     rows = stored(texts.mapInArrow(_signed(width), schema), "minhash-rows")
     # A class of equal sets is named by its first row.
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))

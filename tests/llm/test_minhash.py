@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from curbside.llm import minhash
 
@@ -102,7 +103,7 @@ def test_a_group_is_compared_without_all_pairs():
     keys = minhash.buckets(sigs)
     values, counts = np.unique(keys[:, 0], return_counts=True)
     own = np.flatnonzero(keys[:, 0] == values[counts.argmax()])
-    frame = pd.DataFrame({"bucket": values[counts.argmax()], "i": 0, "j": 0, "side": 0, "node": own, "label": own, "signature": [s.tobytes() for s in sigs[own]], "text": [texts[k] for k in own]})
+    frame = pd.DataFrame({"bucket": values[counts.argmax()], "i": 0, "j": 0, "side": 0, "node": own, "label": own, "signature": [s.tobytes() for s in sigs[own]], "packed": [zstandard.compress(texts[k].encode()) for k in own]})
     parts = [frame.iloc[:100], frame.iloc[100:]]
     links = pd.concat(minhash._compared(2, 80, minhash.MISS)(iter(parts)))
     assert len(own) > 200 and len(links) == len(own) - 1
