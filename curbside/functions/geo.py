@@ -97,15 +97,3 @@ def glow_segments(lon: Column, lat: Column, intensity: Column) -> Column:
 
 def snapped(c: Column, grid: float) -> Column:
     return F.round(c / grid) * grid
-
-
-def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a point lies inside a closed ring array<struct<lon,lat>>: an odd number of edges lies to its right."""
-    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        straddles = (a["lat"] > lat) != (b["lat"] > lat)
-        return F.when(straddles, lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]).otherwise(F.lit(False))
-
-    return F.size(F.filter(edges, crosses)) % 2 == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.text import house_number, intersection_streets, numbered_street, street_key, without_direction, without_position_words
 from curbside.operators.joins import fallback_chain, nearest_pairs, range_matched
-from curbside.sources.paths import work_folder
+from curbside.sources.paths import checkpointed
 
 
 def streets_found(keys: DataFrame, names: DataFrame) -> DataFrame:
@@ -46,10 +46,9 @@ def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
     numbered = F.col("number").isNotNull()
     plain = F.when(F.col("pair").isNull() & ~F.col("cleaned").rlike("[0-9]"), F.col("cleaned"))
     parsed = parsed.select("address", "number", street_key(F.when(numbered, F.col("street")).otherwise(plain)).alias("key"), F.when(~numbered, F.col("pair")).alias("pair"))
-    work_folder(addresses.sparkSession, "geocoded")
-    parsed = parsed.checkpoint()
+    parsed = checkpointed(parsed)
     keys = parsed.select("key").unionAll(parsed.select(F.explode("pair").alias("key"))).filter("key <> ''")
-    streets = streets_found(keys, segments).select("key", "street_key").checkpoint()
+    streets = checkpointed(streets_found(keys, segments).select("key", "street_key"))
     single = parsed.filter("key <> ''").join(streets, "key")
     numbered = range_matched(single.filter("number IS NOT NULL").select("address", "street_key", "number"), segments, "address", "number")
     places = segments.groupBy("segment_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.functions.geo import METRES_LAT, METRES_LON, haversine, inside_ring
+from curbside.functions.geo import METRES_LAT, METRES_LON, haversine
 from curbside.operators.windows import top_per_group
 
 
@@ -69,43 +69,43 @@ def fallback_chain(facts: DataFrame, lookup: DataFrame, steps: Sequence[tuple[st
     return facts.join(done.withColumnRenamed("_id", id_column), id_column).select(*[F.col(c) for c in facts.columns], "_found.*", "method")
 
 
-def _letter_pairs(c: Column) -> Column:
-    """The pairs of neighbouring letters, each with the number of times it came before, so that repeats differ."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+def _letter_pairs(df: DataFrame, column: str) -> DataFrame:
+    """name, gram for every different name: its pairs of neighbouring letters, those that repeat told apart by a number."""
+    names = df.select(F.col(column).alias("name")).filter("name <> ''").distinct()
+    pair = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("name") - 1)), lambda k: F.substring("name", k, F.lit(2)))
+    counted = names.select("name", F.explode(pair).alias("pair")).groupBy("name", "pair").agg(F.count("*").alias("n"))
+    return counted.select("name", "pair", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("name", F.concat("pair", F.col("k").cast("string")).alias("gram"))
 
 
-def nearest_names(typed: DataFrame, known: DataFrame, least: float = 0.82) -> DataFrame:
+def nearest_names(typed: DataFrame, known: DataFrame, least: float = 0.82, spare: int = 1) -> DataFrame:
     """typed, known, ratio: for every different ``typed`` name the ``known`` one most like it, by a ratio of ``least`` or more.
 
-    With a ratio r of their summed length t at least r * t / 2 letters match, in (1 - r) * t + 1 blocks at most, so at least
-    (1.5 * r - 1) * t - 1 pairs of letters are shared, and the shorter name has r / (2 - r) of the longer one's letters.
-    So of a name's pairs, put in the order of how rare they are, the last ones need not be indexed: two names that share
-    enough pairs share one among the rest. Frequent pairs (of STREET, say) thus bring no names together. Names that meet are
-    compared by length, then by the pairs they share, and only then by their ratio. Equal ratios go to the name that is
-    last in the alphabet.
+    Of two names of t letters together m = ceil(least * t / 2) letters match at least, in t - 2 * m + 1 blocks at most; so
+    they share k = 3 * m - t - 1 pairs of letters or more. With the pairs of a name put in the order of how rare they are, two names that share k
+    pairs share j + 1 among their first n - k + 1 + j at least, and only these are indexed, by both lengths, on which k depends; j is ``spare`` where
+    k allows. Frequent pairs (of STREET, say) thus bring no names together. Names that meet are compared by their ratio; equal ratios go to the
+    name that is last in the alphabet.
     """
     from curbside.functions.slow import name_ratio
 
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(name).alias("name")).filter("name <> ''").distinct().select("name", _letter_pairs(F.col("name")).alias("grams"))
-
-    def shared(total: Column) -> Column:
-        return F.ceil((1.5 * least - 1) * total - 1 - 1e-9)
-
-    sides = [named(typed, "typed"), named(known, "known")]
-    rarity = sides[0].unionAll(sides[1]).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-
-    def rare(side: DataFrame, name: str) -> DataFrame:
-        """(name, gram) for the rarest pairs of every name, as many as are needed."""
-        ranked = side.select("name", F.explode("grams").alias("gram")).join(rarity, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
-        needed = F.greatest(F.lit(1), shared(F.char_length("name") * (1 + least / (2 - least))))
-        kept = F.slice("order", F.lit(1), F.greatest(F.lit(1), F.size("order") - needed + 1).cast("int"))
-        return ranked.select(F.col("name").alias(name), F.explode(kept).alias("g")).select(name, "g.gram")
-
-    total = F.char_length("typed") + F.char_length("known")
-    met = rare(sides[0], "typed").join(rare(sides[1], "known"), "gram").filter(2 * F.least(F.char_length("typed"), F.char_length("known")) >= least * total - 1e-9)
-    close = met.select("typed", "known").distinct().filter(F.size(F.array_intersect(_letter_pairs(F.col("typed")), _letter_pairs(F.col("known")))) >= shared(total))
+    sides = [_letter_pairs(typed, "typed"), _letter_pairs(known, "known")]
+    rarity = sides[0].unionAll(sides[1]).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rare(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """(name, both lengths, spare, gram) for the rarest pairs of every name, as many as are needed for each length of the other name."""
+        ranked = side.join(rarity, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
+        share = least / (2 - least)
+        length = F.char_length("name")
+        sized = ranked.select("name", "order", length.alias(own), F.explode(F.sequence(F.floor(length * share).cast("int"), F.ceil(length / share).cast("int"))).alias(other))
+        matched = F.ceil(F.lit(least) * (F.col(own) + F.col(other)) / 2 - 1e-9).cast("int")
+        sized = sized.withColumn("matched", matched).filter(F.col("matched").between(1, F.least(own, other)))
+        sized = sized.withColumn("shared", F.greatest(F.lit(1), 3 * F.col("matched") - F.col(own) - F.col(other) - 1)).filter(F.size("order") >= F.col("shared"))
+        sized = sized.withColumn("spare", F.least(F.lit(spare), F.col("shared") - 1))
+        kept = F.slice("order", F.lit(1), F.size("order") - F.col("shared") + 1 + F.col("spare"))
+        return sized.select(F.col("name").alias(name), own, other, "spare", F.explode(kept).alias("g")).select(name, own, other, "spare", "g.gram")
+
+    met = rare(sides[0], "typed", "length_typed", "length_known").join(rare(sides[1], "known", "length_known", "length_typed").drop("spare"), ["gram", "length_typed", "length_known"])
+    close = met.groupBy("typed", "known").agg(F.count("*").alias("n"), F.min("spare").alias("spare")).filter(F.col("n") > F.col("spare"))
     rated = close.select("typed", "known", name_ratio("known", "typed").alias("ratio")).filter(F.col("ratio") >= least)
     return rated.groupBy("typed").agg(F.max(F.struct("ratio", "known")).alias("best")).select("typed", "best.known", "best.ratio")
 
@@ -130,22 +130,6 @@ def within_distance(points: DataFrame, places: DataFrame, metres: float) -> Data
     return own.join(near, close, "left_semi").drop("cx", "cy")
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, id_column: str, cell_metres: float = 2000.0) -> DataFrame:
-    """Points with the first (by ``position``) polygon that holds them; others get a null ``polygon``.
-
-    ``polygons`` (position, polygon, ring) are cut into the grid cells of their bounding boxes, so both sides meet by
-    equality before the exact test.
-    """
-    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    x0, y0 = cells(F.array_min(lon), F.array_min(lat), cell_metres)
-    x1, y1 = cells(F.array_max(lon), F.array_max(lat), cell_metres)
-    boxes = polygons.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
-    x, y = cells(F.col("lon"), F.col("lat"), cell_metres)
-    hits = points.withColumns({"cx": x, "cy": y}).join(boxes, ["cx", "cy"]).filter(inside_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    first = hits.groupBy(id_column).agg(F.min_by("polygon", "position").alias("polygon"))
-    return points.join(first, id_column, "left")
-
-
 def _levels(highest: int) -> int:
     return max(1, (highest + 2).bit_length())
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curbside.functions.shapes import area, clipped
 from curbside.operators import joins
 from curbside.operators.aggregates import totals
+from curbside.operators.polygons import in_polygons
 from curbside.operators.windows import top_per_group
 from curbside.plans.registry import query
 from curbside.sources.tables import ADDRESSES_SQL, LINE_TICKETS_SQL, POINTS_SQL, SITES_SQL, TAGS_SQL, TICKETS_SQL, addresses, line_tickets, points, sites, table, tags, tickets
@@ -268,21 +270,33 @@ def cached_when_wide(s, d):
     return p.join(joins.small(n), (F.col("n_nationkey") == F.col("p_partkey") % 25) & (F.col("p_size") <= 10), "left").select("p_partkey", F.col("n_name").alias("cached"))
 
 
+def _box(x, y, w, h):
+    """A closed ring around a rectangle, against the clock; with a negative width the other way round."""
+    corner = lambda a, b: F.struct((x + a * w).alias("lon"), (y + b * h).alias("lat"))
+    return F.array(*[corner(a, b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+
+
 def _boxes(s):
-    """Neighbourhood boxes that overlap, as shipped boxes do."""
-    rows = [(k, f"hood {k}", -79.6 + k * 0.05, 43.58 + (k % 3) * 0.07, 0.07, 0.12) for k in range(9)]
-    df = s.createDataFrame(rows, "position int, polygon string, x double, y double, w double, h double")
-    corner = lambda a, b: F.struct((F.col("x") + a * F.col("w")).alias("lon"), (F.col("y") + b * F.col("h")).alias("lat"))
-    return df.select("position", "polygon", F.array(*[corner(a, b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]).alias("ring"))
+    """Neighbourhoods that overlap, as shipped ones do; each has a hole, and every other one a second part within the hole."""
+    rows = [(k, f"hood {k}", -79.6 + k * 0.05, 43.58 + (k % 3) * 0.07) for k in range(9)]
+    df = s.createDataFrame(rows, "position int, polygon string, x double, y double")
+    x, y = F.col("x"), F.col("y")
+    hole = F.reverse(_box(x + 0.02, y + 0.03, F.lit(0.03), F.lit(0.05)))
+    island = _box(x + 0.03, y + 0.05, F.lit(0.01), F.lit(0.02))
+    rings = F.array(_box(x, y, F.lit(0.07), F.lit(0.12)), hole)
+    return df.select("position", "polygon", F.when(F.col("position") % 2 == 0, F.concat(rings, F.array(island))).otherwise(rings).alias("rings"))
 
 
-@query(
-    "JOI13_point_in_polygon",
-    PT + """, b AS (SELECT k, 'hood ' || k AS polygon, -79.6::DOUBLE + k * 0.05::DOUBLE AS x, 43.58::DOUBLE + (k % 3) * 0.07::DOUBLE AS y FROM range(9) r(k))
-    SELECT point_key, (SELECT arg_min(polygon, k) FROM b WHERE lon >= x AND lon < x + 0.07::DOUBLE AND lat >= y AND lat < y + 0.12::DOUBLE) AS polygon FROM points""",
-)
+_HOODS = """, b AS (SELECT k, 'hood ' || k AS polygon, -79.6::DOUBLE + k * 0.05::DOUBLE AS x, 43.58::DOUBLE + (k % 3) * 0.07::DOUBLE AS y FROM range(9) r(k)),
+    held AS (SELECT point_key, amount, k, polygon FROM points, b WHERE (lon >= x AND lon < x + 0.07::DOUBLE AND lat >= y AND lat < y + 0.12::DOUBLE)::INT
+      + (lon >= x + 0.02::DOUBLE AND lon < x + 0.02::DOUBLE + 0.03::DOUBLE AND lat >= y + 0.03::DOUBLE AND lat < y + 0.03::DOUBLE + 0.05::DOUBLE)::INT
+      + (k % 2 = 0 AND lon >= x + 0.03::DOUBLE AND lon < x + 0.03::DOUBLE + 0.01::DOUBLE AND lat >= y + 0.05::DOUBLE AND lat < y + 0.05::DOUBLE + 0.02::DOUBLE)::INT IN (1, 3)),
+    first AS (SELECT point_key, arg_min(polygon, k) AS polygon FROM held GROUP BY 1) """
+
+
+@query("JOI13_point_in_polygon", PT + _HOODS + "SELECT point_key, polygon FROM points LEFT JOIN first USING (point_key)")
 def point_in_polygon(s, d):
-    return joins.in_polygons(points(s, d), _boxes(s), "point_key").select("point_key", "polygon")
+    return in_polygons(points(s, d), _boxes(s)).select("point_key", "polygon")
 
 
 @query("JOI14_tile_features", PT + "SELECT CAST(floor((lon + 180) / 360 * 2048) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048) AS BIGINT) AS y, count(*) AS n FROM points GROUP BY ALL")
@@ -383,11 +397,12 @@ def template_keys(s, d):
     return joins.by_candidates(n, "n_nationkey", tries, lookup, "k").select("n_nationkey", "found")
 
 
-@query("JOI22_polygon_attributes", ST + ", w AS (SELECT ward_code, count(*) AS n FROM sites GROUP BY 1) SELECT n_nationkey AS ward_code, coalesce(n, 0) AS n, n_name AS name FROM nation LEFT JOIN w ON ward_code = n_nationkey")
+@query("JOI22_polygon_attributes", PT + _HOODS + ", n AS (SELECT polygon, count(*) AS n, sum(amount) AS total FROM first JOIN points USING (point_key) GROUP BY 1) SELECT polygon AS name, k AS position, coalesce(n, 0) AS n, CAST(coalesce(total, 0) AS DECIMAL(28,2)) AS total FROM b LEFT JOIN n USING (polygon)")
 def polygon_attributes(s, d):
-    wards = sites(s, d).groupBy("ward_code").agg(F.count("*").alias("n"))
-    shapes = table(s, d, "nation").select(F.col("n_nationkey").alias("ward_code"), F.col("n_name").alias("name"))
-    return joins.enriched(shapes, wards, "ward_code", {"n": 0})
+    """What lies in each shape, put onto the shapes; those without anything get zeros."""
+    shapes = _boxes(s)
+    held = in_polygons(points(s, d), shapes).filter("polygon IS NOT NULL").groupBy("polygon").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    return joins.enriched(shapes, held, "polygon", {"n": 0, "total": 0}).select(F.col("polygon").alias("name"), "position", "n", F.col("total").cast("decimal(28,2)").alias("total"))
 
 
 @query("JOI23_compared", LT + _OUTER + "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) - coalesce(b.n, 0) AS difference FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
@@ -406,10 +421,25 @@ def one_row_parameters(s, d):
     return table(s, d, "part").crossJoin(F.broadcast(bounds)).filter("p_size BETWEEN low AND high").agg(F.count("*").alias("n"))
 
 
-@query("JOI26_ward_export", ST + ", t AS (SELECT ward_code, count(*) AS n FROM sites WHERE lon BETWEEN -79.5 AND -79.2 GROUP BY 1) SELECT n_nationkey AS ward_code, coalesce(n, 0) AS ticket_count FROM nation LEFT JOIN t ON ward_code = n_nationkey")
+_OVERLAP = "greatest(0, least({0} + {2}, -79.23) - greatest({0}, -79.53)) * greatest(0, least({1} + {3}, 43.76) - greatest({1}, 43.61))"
+
+
+@query(
+    "JOI26_ward_export",
+    ST + """, t AS (SELECT ward_code, count(*) AS n, CAST(sum(balance) AS DECIMAL(28,2)) AS total FROM sites GROUP BY 1), w AS (SELECT n_nationkey AS ward_code, n_name AS name, -79.6::DOUBLE + (n_nationkey % 5) * 0.1::DOUBLE AS x, 43.58::DOUBLE + (n_nationkey // 5) * 0.05::DOUBLE AS y FROM nation),
+    """ + f"""c AS (SELECT *, {_OVERLAP.format("x", "y", "0.1", "0.05")} AS whole, {_OVERLAP.format("(x + 0.03)", "(y + 0.01)", "0.03", "0.02")} AS hole FROM w)
+    SELECT ward_code, name, coalesce(n, 0) AS ticket_count, coalesce(total, 0) AS total_revenue, CASE WHEN hole > 1e-12 THEN 2 ELSE 1 END AS n_rings, round(CAST(whole - hole AS DOUBLE), 8) AS area FROM c LEFT JOIN t USING (ward_code) WHERE whole > 1e-12""",
+)
 def ward_export(s, d):
-    clipped = sites(s, d).filter(F.col("lon").between(-79.5, -79.2)).groupBy("ward_code").agg(F.count("*").alias("ticket_count"))
-    return joins.enriched(table(s, d, "nation").select(F.col("n_nationkey").alias("ward_code")), clipped, "ward_code", {"ticket_count": 0})
+    """Wards, each with a hole, cut to the area of interest, with the totals of all wards; those outside of it are left out."""
+    k = F.col("n_nationkey")
+    placed = table(s, d, "nation").select(k.alias("ward_code"), F.col("n_name").alias("name"), (F.lit(-79.6) + (k % 5) * 0.1).alias("x"), (F.lit(43.58) + F.floor(k / 5) * 0.05).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    wards = placed.withColumn("rings", F.array(_box(x, y, F.lit(0.1), F.lit(0.05)), F.reverse(_box(x + 0.03, y + 0.01, F.lit(0.03), F.lit(0.02)))))
+    cut = clipped(wards, "rings", -79.53, 43.61, -79.23, 43.76).filter(F.size("rings") > 0)
+    totals = sites(s, d).groupBy("ward_code").agg(F.count("*").alias("ticket_count"), F.sum("balance").cast("decimal(28,2)").alias("total_revenue"))
+    rows = joins.enriched(cut, totals, "ward_code", {"ticket_count": 0, "total_revenue": 0})
+    return rows.select("ward_code", "name", "ticket_count", F.col("total_revenue").cast("decimal(28,2)").alias("total_revenue"), F.size("rings").alias("n_rings"), F.round(area(F.col("rings")), 8).alias("area"))
 
 
 # Sets.

@@ -69,17 +69,6 @@ def test_window_over_buckets_equals_one_window(spark):
         assert row.rolling_mean == pytest.approx(sum(part) / len(part))
 
 
-def test_polygon_ties_go_to_the_first(spark):
-    def box(west, south, east, north):
-        return [(west, south), (east, south), (east, north), (west, north), (west, south)]
-
-    rings = [(0, "first", box(0.0, 0.0, 0.02, 0.02)), (1, "second", box(0.01, 0.0, 0.03, 0.02))]
-    polygons = spark.createDataFrame(rings, "position int, polygon string, ring array<struct<lon: double, lat: double>>")
-    points = spark.createDataFrame([(1, 0.015, 0.01), (2, 0.025, 0.01), (3, 0.5, 0.5)], "id int, lon double, lat double")
-    found = {r["id"]: r["polygon"] for r in joins.in_polygons(points, polygons, "id").collect()}
-    assert found == {1: "first", 2: "second", 3: None}
-
-
 def test_corpus_splits_and_first_examples(spark):
     rows = spark.createDataFrame([(0, 3, "a"), (1, 5, "a"), (2, 10, "b"), (3, 10, "b")], "pos int, month int, code string")
     made = corpus.records(rows.withColumn("split", corpus.split_of(F.col("month"))), "Code {code}?", "{code}~", required=["code"])
