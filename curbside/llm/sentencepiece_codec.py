@@ -35,14 +35,14 @@ from curbside.llm.token_counts import MODEL_FILE
 CHUNK_CHARS = 32_768
 #: Matrices of one group; with LEVELS levels of groups a text may have FAN_IN ** LEVELS chunks, more than a string can hold.
 FAN_IN, LEVELS = 64, 3
-#: Segments whose ids a worker remembers; at times twice as many.
-REMEMBERED = 400_000
+#: Segments, and parts of them, whose ids a worker remembers; at times twice as many.
+REMEMBERED, REMEMBERED_PARTS = 250_000, 100_000
 Maps = tuple[np.ndarray, np.ndarray]  # best scores and, by exit state, the rank of each entry among equals
 
 
 def _packed(words: Vocabulary) -> Memo:
     """Ids by segment. A segment met for the first time is put together from the parts that no piece crosses."""
-    parts = Memo(lambda part: np.array(words.segment(part)[1], "<i4").tobytes(), REMEMBERED)
+    parts = Memo(lambda part: np.array(words.segment(part)[1], "<i4").tobytes(), REMEMBERED_PARTS)
     return Memo(lambda segment: b"".join(map(parts.__getitem__, words.parts(segment))), REMEMBERED)
 
 
