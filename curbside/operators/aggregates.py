@@ -111,3 +111,26 @@ def grid_clusters(df: DataFrame, sizes: Sequence[float]) -> DataFrame:
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys and their difference."""
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys")).select("n_rows", "n_keys", (F.col("n_rows") - F.col("n_keys")).alias("n_duplicates"))
+
+
+def pivoted(df: DataFrame, row: str, column: str, most: int = 15) -> DataFrame:
+    """Counts of the ``most`` frequent values of ``row`` by those of ``column``: ``row`` and one column for each, 0 where none.
+
+    The names of the columns come from a first aggregate, of which only the first ``most`` rows reach the driver; equal counts go by name.
+    Nulls are no value.
+    """
+
+    def frequent(name: str) -> DataFrame:
+        return df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), name).limit(most)
+
+    names = [r[0] for r in frequent(column).collect()]
+    kept = df.join(F.broadcast(frequent(row).select(row)), row).filter(F.col(column).isin(names))
+    rows = frequent(row).select(row).join(kept.groupBy(row).pivot(column, names).agg(F.count(F.lit(1))), row, "left")
+    return rows.na.fill(0)
+
+
+def long_form(wide: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """A pivoted table as rows again, of any set of columns."""
+    names = [c for c in wide.columns if c != row]
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(f"`{c}`") for c in names]))
+    return wide.select(row, F.explode(pairs).alias(column, value))

@@ -16,10 +16,14 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def latest_with_totals(df: DataFrame, key: str, order: Sequence[Column], amount: str) -> DataFrame:
-    """The latest row of each key, with the count and sum of all its rows."""
-    whole = Window.partitionBy(key)
-    out = df.withColumns({"row_count": F.count("*").over(whole), "amount_sum": F.sum(amount).over(whole), "rn": F.row_number().over(whole.orderBy(*order))})
-    return out.filter("rn = 1").drop("rn")
+    """The latest row of each key, with the count and sum of all its rows.
+
+    Both are combined before anything is shuffled: sums as partial aggregates, the latest row by the limit of a row number,
+    which Spark applies in the map tasks. So a key with very many rows moves as one row from each task. Rows without a key are one group.
+    """
+    totals = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("row_count"), F.sum(amount).alias("amount_sum"))
+    latest = top_per_group(df, [key], order).drop("rn")
+    return latest.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def numbered_first(df: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:

@@ -407,10 +407,14 @@ query("WIN11_top_k_hotspots", _HOT + _HOT_TOP)(_hot)
 
 
 
-@query("AGG59_pivot", TK + "SELECT street, " + ", ".join(f"count(*) FILTER (WHERE description = '{c}') AS {c.lower()}" for c in ("AF", "NF", "NO", "RF")) + " FROM tickets GROUP BY street")
+@query(
+    "AGG59_pivot",
+    TK + """, a AS (SELECT street FROM tickets GROUP BY 1 ORDER BY count(*) DESC, street LIMIT 15), b AS (SELECT description FROM tickets GROUP BY 1 ORDER BY count(*) DESC, description LIMIT 15), n AS (SELECT street, description, count(*) AS n FROM tickets GROUP BY ALL)
+    SELECT street, description, coalesce(n, 0) AS n FROM a CROSS JOIN b LEFT JOIN n USING (street, description)""",
+)
 def pivot(s, d):
-    p = tickets(s, d).groupBy("street").pivot("description", ["AF", "NF", "NO", "RF"]).agg(F.count(F.lit(1)))
-    return p.select("street", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("AF", "NF", "NO", "RF")])
+    """The fifteen busiest streets by the fifteen most frequent descriptions, wide, and here in rows again."""
+    return agg.long_form(agg.pivoted(tickets(s, d), "street", "description"), "street", "description", "n")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions import geo
 from curbside.operators import result_mart, writers
+from curbside.operators.line_tiles import LINE, POLYGON, shape_tiles
 from curbside.operators.vector_tiles import encoded_tiles
 from curbside.plans.registry import query
 from curbside.plans.relational import LT, PT, ST, TG
@@ -248,14 +249,18 @@ def camera_tiles(s, d):
     return encoded_tiles(p, covering(p, [13]), 13, "cameras").select("x", "y", "n_features")
 
 
-@query("UDF03_glow_lines")
-def glow_lines(s, d, tolerance=0.01):
-    """Lines thinned for a zoom (Douglas-Peucker); tested on fixtures."""
-    from curbside.functions.slow import simplified
+def glow_lines(s, d):
+    """A winding line of nine corners through each site: layer, kind, id, n, parts."""
+    k, key = F.sequence(F.lit(0), F.lit(8)), F.col("site_key")
+    corner = lambda i: F.struct((F.col("lon") + i * 0.0015 * (1 + key % 3)).alias("lon"), (F.col("lat") + (key * i * 7 % 5) * 0.0004).alias("lat"))
+    return sites(s, d).select(F.lit("glow_lines").alias("layer"), F.lit(LINE).alias("kind"), key.alias("id"), (key % 50).alias("n"), F.array(F.transform(k, corner)).alias("parts"))
+
 
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lon", "lat"))), lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ",")
-    lines = points(s, d).groupBy("area").agg(text.alias("line"))
-    return lines.select("area", simplified(F.col("line"), F.lit(tolerance)).alias("line"))
+@query("UDF03_glow_lines")
+def glow_tiles(s, d, zoom=12):
+    """The tiles that sites lie in, with all lines that reach them, thinned for the zoom; compared with a plain version in the tests."""
+    asked = sites(s, d).select(geo.tile_x(F.col("lon"), zoom).alias("x"), geo.tile_y(F.col("lat"), zoom).alias("y"))
+    return shape_tiles(glow_lines(s, d), zoom, 32, True, asked).select("x", "y", "n_features", F.sha2("mvt", 256).alias("mvt_sha256"))
 
 
 @query(
@@ -449,14 +454,39 @@ def merged_chunks(s, d):
     return files.json_lines(s, path, "c_custkey bigint")
 
 
-@query("SNK19_tile_pyramid", PT + "SELECT z, count(DISTINCT (CAST(floor((lon + 180) / 360 * (1 << z)) AS BIGINT), CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * (1 << z)) AS BIGINT))) AS tiles FROM points, (VALUES (9), (11)) v(z) GROUP BY z")
-def tile_pyramid(s, d):
-    from curbside.operators.tiles import covering
+_WARDS = "w AS (SELECT n_nationkey AS k, -79.6::DOUBLE + (n_nationkey % 5) * 0.1::DOUBLE AS x0, 43.58::DOUBLE + (n_nationkey // 5) * 0.05::DOUBLE AS y0 FROM nation)"
+_ROW = "(1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * (1 << z)"
+_REACHED = f"""t AS (SELECT z, k, unnest(range(CAST(floor((x0 + 180) / 360 * (1 << z) - 1 / 64) AS BIGINT), CAST(floor((x0 + 0.1 + 180) / 360 * (1 << z) + 1 / 64) AS BIGINT) + 1)) AS x,
+      CAST(floor({_ROW.format("(y0 + 0.05)")} - 1 / 64) AS BIGINT) AS low, CAST(floor({_ROW.format("y0")} + 1 / 64) AS BIGINT) AS high FROM w, (VALUES (9), (11), (12)) v(z)), r AS (SELECT z, k, x, unnest(range(low, high + 1)) AS y FROM t)"""
+
+
+def ward_shapes(s, d):
+    """A ward for each nation, with a hole, and its tickets: layer, kind, id, n, parts."""
+    k = F.col("n_nationkey")
+    placed = table(s, d, "nation").select(k.alias("id"), (F.lit(-79.6) + (k % 5) * 0.1).alias("x"), (F.lit(43.58) + F.floor(k / 5) * 0.05).alias("y"))
+
+    def ring(x, y, w, h, back=False):
+        corners = [F.struct((F.col("x") + a).alias("lon"), (F.col("y") + b).alias("lat")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]
+        return F.array(*(corners[::-1] if back else corners))
+
+    counted = sites(s, d).groupBy(F.col("ward_code").alias("id")).agg(F.count("*").alias("n"))
+    shapes = placed.select(F.lit("wards").alias("layer"), F.lit(POLYGON).alias("kind"), "id", F.array(ring(0.0, 0.0, 0.1, 0.05), ring(0.03, 0.01, 0.03, 0.02, True)).alias("parts"))
+    return shapes.join(counted, "id", "left").na.fill({"n": 0})
+
 
+@query("MTH15_tile_shapes", f"WITH {_WARDS}, {_REACHED} SELECT x, y, CAST(count(*) AS INT) AS n_features FROM r WHERE z = 12 GROUP BY ALL")
+def tile_shapes(s, d):
+    """Polygons with holes in vector tiles, clipped with a margin of 64; what the tiles hold is compared in the tests."""
+    return shape_tiles(ward_shapes(s, d), 12).select("x", "y", "n_features")
+
+
+@query("SNK19_tile_pyramid", f"WITH {_WARDS}, {_REACHED} SELECT CAST(z AS INT) AS z, count(DISTINCT (x, y)) AS tiles, count(*) AS features FROM r WHERE z IN (9, 11) GROUP BY z")
+def tile_pyramid(s, d):
+    """Ward polygons at two zooms, written by z and read again."""
     path = work_folder(s, "pyramid")
     for zoom in (9, 11):
-        encoded_tiles(points(s, d), covering(points(s, d), [zoom]), zoom).write.mode("append").partitionBy("z").parquet(path)
-    return s.read.parquet(path).groupBy("z").agg(F.count("*").alias("tiles"))
+        shape_tiles(ward_shapes(s, d), zoom).write.mode("append").partitionBy("z").parquet(path)
+    return s.read.parquet(path).groupBy("z").agg(F.count("*").alias("tiles"), F.sum("n_features").alias("features"))
 
 
 @query("SNK20_tile_groups", PT + "SELECT array_to_string([(CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) >> 11) % 2 + 2 * ((CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096) AS BIGINT) >> 11) % 2)], '') AS g, count(*) AS n FROM points GROUP BY 1")

@@ -305,15 +305,10 @@ def flat_distance(s, d):
     return sites(s, d).select("site_key", F.round(geo.flat_distance(F.col("lat"), F.col("lon"), F.lit(43.65), F.lit(-79.38)), 3).alias("m"))
 
 
-def _lines(s, d):
-    p = F.struct("lon", "lat")
-    return points(s, d).groupBy("area").agg(F.array_sort(F.collect_list(p)).alias("line"))
-
-
 @query("MTH11_line_centroid", f"WITH {POINTS_SQL} SELECT area, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM points GROUP BY area")
 def line_centroid(s, d):
-    c = _lines(s, d).select("area", geo.line_centroid(F.col("line")).alias("c"))
-    return c.select("area", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+    """Means of all vertices as partial sums; no line is gathered."""
+    return points(s, d).groupBy("area").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
 @query(
@@ -328,7 +323,8 @@ def glow_segments(s, d):
 
 @query("MTH13_bounding_box", f"WITH {POINTS_SQL} SELECT area, min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat FROM points GROUP BY area")
 def bounding_box(s, d):
-    return _lines(s, d).select("area", geo.bounding_box(F.col("line")).alias("b")).select("area", "b.*")
+    box = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("lon", "lat")]
+    return points(s, d).groupBy("area").agg(*box)
 
 
 @query("MTH14_snapped", f"WITH {POINTS_SQL} SELECT point_key, round(round(lon / 0.005) * 0.005, 6) AS lon, round(round(lat / 0.005) * 0.005, 6) AS lat FROM points")
