@@ -139,6 +139,15 @@ def cluster_reduce(s, d):
     return coarse.agg(F.sum("cluster_size").alias("cluster_size"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
 
 
+@query("UDAF01_radius_clusters")
+def radius_clusters(s, d):
+    """Clusters of all points within 2,000 m, and of those within 4,000 m; compared with a plain version in the tests."""
+    from curbside.operators.radius_clusters import zoomed
+
+    p = points(s, d).select(F.col("point_key").alias("key"), mercator_x(F.col("lon")).alias("x"), mercator_y(F.col("lat")).alias("y"), F.lit(1).cast("long").alias("n"), F.col("amount").cast("decimal(28,2)").alias("amount"))
+    return zoomed(p, [0, 1], 4000.0).select("zoom", "key", "n", F.col("amount").cast("decimal(28,2)").alias("amount"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("MTH15_tile_points", PT + "SELECT CAST(floor((lon + 180) / 360 * 8192) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192) AS BIGINT) AS y, count(*) AS n FROM points GROUP BY ALL")
 def tile_points(s, d):
     """Points in each vector tile, counted after reading its bytes back."""
