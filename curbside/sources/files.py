@@ -173,6 +173,14 @@ def geojson_features(spark: SparkSession, paths: str | list[str], properties: st
     return raw.select(F.posexplode(F.from_json("value", schema)["features"]).alias("position", "f")).select("position", "f.properties.*", "f.geometry")
 
 
+def geojson_lines(spark: SparkSession, paths: str | list[str], properties: str) -> DataFrame:
+    """Features of GeoJSON collections that have one feature in each line: the properties asked for, and the geometry as JSON
+    text. Files are split as Spark likes; lines that hold no feature are left out."""
+    line = F.regexp_replace(F.trim("value"), "^,|,$", "")
+    parsed = F.from_json(line, f"struct<type: string, properties: struct<{properties}>, geometry: string>")
+    return spark.read.text(paths).select(parsed.alias("f")).filter("f.type = 'Feature'").select("f.properties.*", "f.geometry")
+
+
 def wide_to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """One row for each cell of ``columns`` that holds a number."""
     long = df.select(*ids, *[F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in columns]).unpivot(ids, columns, name, value)

@@ -267,3 +267,17 @@ def test_database_table(spark):
     found = files.database_table(spark, url, "tickets", "id", 0, 1000, 4, 100)
     assert found.rdd.getNumPartitions() == 4 and found.count() == 1000
     assert found.agg(F.sum(found.columns[0])).first()[0] == 999 * 500
+
+
+def test_features_are_one_document(spark, tmp_path):
+    """The parts in the order of their names are valid GeoJSON with the features in order."""
+    rows = spark.createDataFrame([(k * 7 % 50, f"w{k}", k / 10, 43.0) for k in range(50)], "site_key int, ward string, lon double, lat double")
+    path = str(tmp_path / "features")
+    writers.write_features(rows.repartition(3), "site_key", path)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "features").glob("part-*")))
+    document = json.loads(text)
+    assert document["type"] == "FeatureCollection" and [f["properties"]["site_key"] for f in document["features"]] == list(range(50))
+    assert files.geojson_lines(spark, path, "site_key: int, ward: string").count() == 50
+    whole = tmp_path / "whole.json"
+    whole.write_text(text)
+    assert files.geojson_features(spark, str(whole), "site_key: int").count() == 50
