@@ -14,20 +14,20 @@ from curbside.sources.paths import checkpointed
 
 
 def streets_found(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """key, street_key, method: the street of ``names`` (street_key) that each different ``key`` means.
+    """key, street_key, method: the streets of ``names`` (street_key) that each different ``key`` may mean.
 
-    Streets are found by their key, then without a trailing direction, then without spaces, then by the most similar
-    name. Of several streets that are one without spaces the first in the alphabet is taken.
+    Streets are found by their key, then without a trailing direction on either side, then without spaces, then by the most similar
+    name. A key without a direction may mean several streets.
     """
     distinct = keys.select("key").filter("key <> ''").distinct()
     lookup = names.select("street_key").distinct()
+    bare, bare_name = without_direction(F.col("key")), without_direction(F.col("street_key"))
     steps = [
         ("exact", F.col("key"), F.col("street_key")),
-        ("no_direction", without_direction(F.col("key")), F.col("street_key")),
-        ("no_space", F.replace("key", F.lit(" ")), F.replace("street_key", F.lit(" "))),
+        ("no_direction", bare, bare_name),
+        ("no_space", F.replace(bare, F.lit(" ")), F.replace(bare_name, F.lit(" "))),
     ]
-    found = fallback_chain(distinct, lookup, steps, "key", (F.col("key"), "street_key"))
-    return found.groupBy("key").agg(F.min("street_key").alias("street_key"), F.min("method").alias("method"))
+    return fallback_chain(distinct, lookup, steps, "key", (F.col("key"), "street_key")).distinct()
 
 
 def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
@@ -52,9 +52,12 @@ def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
     single = parsed.filter("key <> ''").join(streets, "key")
     numbered = range_matched(single.filter("number IS NOT NULL").select("address", "street_key", "number"), segments, "address", "number")
     places = segments.groupBy("segment_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    best = numbered.groupBy("address").agg(F.min(F.struct((~F.col("inside")).alias("outside"), "off", "segment_id")).alias("best"))
+    numbered = best.select("address", (~F.col("best.outside")).alias("inside"), "best.segment_id")
     by_number = numbered.join(places, "segment_id").select("address", F.when(F.col("inside"), "range").otherwise("nearest_range").alias("method"), "segment_id", "lon", "lat")
     middle = segments.groupBy("street_key").agg(F.min("segment_id").alias("segment_id"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    by_street = single.filter("number IS NULL").join(middle, "street_key").select("address", F.lit("street").alias("method"), "segment_id", "lon", "lat")
+    by_street = single.filter("number IS NULL").join(middle, "street_key").groupBy("address").agg(F.min(F.struct("segment_id", "lon", "lat")).alias("best"))
+    by_street = by_street.select("address", F.lit("street").alias("method"), "best.*")
     side = lambda k: parsed.filter("pair IS NOT NULL").select("address", F.col("pair")[k].alias("key")).join(streets, "key").join(segments, "street_key").select("address", "segment_id", "lon", "lat")
     crossing = nearest_pairs(side(0), side(1), "address").select("address", F.lit("intersection").alias("method"), F.col("id_a").alias("segment_id"), "lon", "lat")
     return by_number.unionByName(by_street).unionByName(crossing)
