@@ -87,6 +87,7 @@ def bounding_box(points: Column) -> Column:
 
 def glow_segments(lon: Column, lat: Column, intensity: Column) -> Column:
     """Four crossing lines through a point; the brighter the point, the longer."""
+    # Shortest line in metres, the intensity beyond which it grows no longer, metres for each unit, and the angles.
     length = 90 + F.least(intensity, F.lit(2500)) * 0.012
     lines = []
     for angle in (0, 45, 90, 135):
