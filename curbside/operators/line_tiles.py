@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +22,7 @@ from curbside.operators.joins import small
 from curbside.operators.vector_tiles import EXTENT, field, varint, zigzag
 
 Points = list[tuple[float, float]]
-LINE, POLYGON = 2, 3
+POINT, LINE, POLYGON = 1, 2, 3
 # By the highest zoom, the part of a tile's width whose square is the least area that a corner must span.
 TOLERANCES = ((9, 6.0), (11, 12.0), (13, 24.0), (15, 48.0))
 
@@ -160,13 +161,16 @@ class Tile:
     def __init__(self):
         self.done, self.name, self.n = b"", None, 0
 
-    def add(self, name: str, kind: int, geometry: bytes, properties: dict[str, int | str]) -> None:
+    def add(self, name: str, kind: int, geometry: bytes, properties: dict[str, int | float | str]) -> None:
         if name != self.name:
             self.close()
             self.name, self.keys, self.values, self.features = name, {}, {}, bytearray()
         tags = []
         for key, value in properties.items():
-            coded = field(1, value.encode()) if isinstance(value, str) else varint(6 << 3) + varint(zigzag(value))
+            if isinstance(value, str):
+                coded = field(1, value.encode())
+            else:
+                coded = varint(6 << 3) + varint(zigzag(value)) if isinstance(value, int) else varint(3 << 3 | 1) + struct.pack("<d", value)
             tags += [self.keys.setdefault(key, len(self.keys)), self.values.setdefault(coded, len(self.values))]
         self.features += field(2, field(2, b"".join(map(varint, tags))) + varint(3 << 3) + varint(kind) + field(4, geometry))
         self.n += 1
@@ -215,6 +219,25 @@ def _dealt(zoom: int, margin: int, thin: bool):
     return run
 
 
+def written(zoom: int, features: Callable[[pd.DataFrame], Iterator[tuple]]):
+    """Frames whose rows come tile by tile as tiles; ``features`` gives (x, y) and what :meth:`Tile.add` takes for each row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tile = None, Tile()
+        row = lambda: pd.DataFrame({"z": [zoom], "x": [at[0]], "y": [at[1]], "n_features": [tile.n], "mvt": [tile.close()]})
+        for frame in frames:
+            for place, feature in features(frame):
+                if at != place:
+                    if at:
+                        yield row()
+                    at, tile = place, Tile()
+                tile.add(*feature)
+        if at:
+            yield row()
+
+    return run
+
+
 def shape_tiles(features: DataFrame, zoom: int, margin: int = 64, thin: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """z, x, y, n_features, mvt of every tile that ``features`` reach; with ``asked`` (x, y) of those tiles only.
 
@@ -227,20 +250,11 @@ def shape_tiles(features: DataFrame, zoom: int, margin: int = 64, thin: bool = F
     if asked is not None:
         dealt = dealt.join(small(asked.select("x", "y").distinct()), ["x", "y"], "left_semi")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, tile = None, Tile()
-        row = lambda: pd.DataFrame({"z": [zoom], "x": [at[0]], "y": [at[1]], "n_features": [tile.n], "mvt": [tile.close()]})
-        for frame in frames:
-            for x, y, layer, ident, n, kind, geometry in zip(*[frame[c].tolist() for c in ("x", "y", "layer", "id", "n", "kind", "geometry")], strict=True):
-                if at != (x, y):
-                    if at:
-                        yield row()
-                    at, tile = (x, y), Tile()
-                tile.add(layer, kind, geometry, {"id": ident, "count": n})
-        if at:
-            yield row()
+    def rows(frame: pd.DataFrame) -> Iterator[tuple]:
+        for x, y, layer, ident, n, kind, geometry in zip(*[frame[c].tolist() for c in ("x", "y", "layer", "id", "n", "kind", "geometry")], strict=True):
+            yield (x, y), (layer, kind, geometry, {"id": ident, "count": n})
 
-    return dealt.repartition("x", "y").sortWithinPartitions("x", "y", "layer", "id").mapInPandas(write, "z int, x long, y long, n_features int, mvt binary")
+    return dealt.repartition("x", "y").sortWithinPartitions("x", "y", "layer", "id").mapInPandas(written(zoom, rows), "z int, x long, y long, n_features int, mvt binary")
 
 
 def read_tile(tile: bytes) -> list[dict]:

@@ -1,7 +1,7 @@
 """Vector tiles: features of a tile encoded in the Mapbox Vector Tile format.
 
-The wire format is a few tagged fields, so a small writer is enough; Spark deals tiles to tasks and gathers each tile's
-features, of which there are few by construction (clusters or a bounded sample).
+The wire format is a few tagged fields, so a small writer is enough; Spark deals tiles to tasks and brings each tile's
+features there in order.
 """
 
 from __future__ import annotations
@@ -98,13 +98,18 @@ def decoded_points(tile: bytes) -> list[tuple[int, int]]:
 
 
 def encoded_tiles(points: DataFrame, tiles: DataFrame, zoom: int, name: str = "parking", limit: int = 500) -> DataFrame:
-    """z, x, y, n_features, mvt of each asked tile that has features."""
+    """z, x, y, n_features, mvt of each asked tile that has features.
+
+    The features of a tile come to one task in order and are written as they come, so that none is gathered before.
+    """
+    from curbside.operators.line_tiles import POINT, written
+
     placed = pixels(tile_features(points, tiles, zoom, limit), zoom, EXTENT)
-    rows = placed.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("px", "py", "n", F.col("amount").cast("double").alias("amount")))).alias("features"))
+    rows = placed.select("x", "y", "px", "py", "n", F.col("amount").cast("double").alias("amount")).repartition("x", "y").sortWithinPartitions("x", "y", "px", "py", "n", "amount")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            blobs = [layer(name, [(int(f["px"]), int(f["py"]), {"count": int(f["n"]), "amount": f["amount"]}) for f in fs]) for fs in frame["features"]]
-            yield pd.DataFrame({"z": zoom, "x": frame["x"], "y": frame["y"], "n_features": [len(f) for f in frame["features"]], "mvt": blobs})
+    def features(frame: pd.DataFrame) -> Iterator[tuple]:
+        for x, y, px, py, n, amount in zip(*[frame[c].tolist() for c in ("x", "y", "px", "py", "n", "amount")], strict=True):
+            geometry = b"".join(map(varint, (1 << 3 | 1, zigzag(px), zigzag(py))))  # one MoveTo
+            yield (x, y), (name, POINT, geometry, {"count": n} if amount is None or amount != amount else {"count": n, "amount": amount})
 
-    return rows.mapInPandas(encode, "z int, x long, y long, n_features int, mvt binary")
+    return rows.mapInPandas(written(zoom, features), "z int, x long, y long, n_features int, mvt binary")

@@ -106,3 +106,20 @@ def test_lines_are_in_every_tile_that_they_cross(spark):
     asked = spark.createDataFrame([(x, y) for x, y, _ in sorted(crossed)[:1]], "x long, y long")
     only = lt.shape_tiles(spark.createDataFrame(rows, FEATURES), 13, 32, asked=asked).collect()
     assert len(only) == 1 and lt.read_tile(bytes(only[0].mvt)) == tiles[only[0].x, only[0].y]
+
+
+def test_points_are_written_as_they_come():
+    """The same bytes as a layer made of all its points at once, from rows in two frames; a tile ends where the next one begins."""
+    import pandas as pd
+
+    from curbside.operators.vector_tiles import layer, varint, zigzag
+
+    rows = [((0, 0), 5, 6, 2, 1.5), ((0, 0), 7, 8, 1, None), ((0, 1), 9, 9, 4, 2.0), ((0, 1), 10, 9, 4, 2.0)]
+
+    def features(frame):
+        for place, px, py, n, amount in frame["row"]:
+            yield place, ("parking", lt.POINT, b"".join(map(varint, (9, zigzag(px), zigzag(py)))), {"count": n} if amount is None else {"count": n, "amount": amount})
+
+    tiles = list(lt.written(14, features)(iter([pd.DataFrame({"row": rows[:3]}), pd.DataFrame({"row": rows[3:]})])))
+    want = [layer("parking", [(px, py, {"count": n, "amount": amount}) for place, px, py, n, amount in rows if place == at]) for at in ((0, 0), (0, 1))]
+    assert [t["mvt"].iloc[0] for t in tiles] == want and [int(t["n_features"].iloc[0]) for t in tiles] == [2, 2]
