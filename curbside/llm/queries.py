@@ -39,7 +39,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.encoded(_table(spark, sf_dir, "documents"), token_counts.model_path(spark))
+    coded = sentencepiece_codec.encoded(_table(spark, sf_dir, "documents"), token_counts.model_path(spark), remembered=(400_000, 400_000))
     digest = F.sha2("ids", 256).alias("ids_sha256")
     return coded.select("doc_id", "n_pieces", "n_bytes", digest, "text_sha256", "decoded_sha256", "round_trip")
 

@@ -35,21 +35,21 @@ from curbside.llm.token_counts import MODEL_FILE
 CHUNK_CHARS = 32_768
 #: Matrices of one group; with LEVELS levels of groups a text may have FAN_IN ** LEVELS chunks, more than a string can hold.
 FAN_IN, LEVELS = 64, 3
-#: Segments, and parts of them, whose ids a worker remembers; at times twice as many.
-REMEMBERED, REMEMBERED_PARTS = 250_000, 100_000
+#: Segments, and parts of them, whose ids a worker remembers; at times twice as many. More save time and take memory.
+REMEMBERED = (250_000, 100_000)
 Maps = tuple[np.ndarray, np.ndarray]  # best scores and, by exit state, the rank of each entry among equals
 
 
-def _packed(words: Vocabulary) -> Memo:
+def _packed(words: Vocabulary, remembered: tuple[int, int] = REMEMBERED) -> Memo:
     """Ids by segment. A segment met for the first time is put together from the parts that no piece crosses."""
-    parts = Memo(lambda part: np.array(words.segment(part)[1], "<i4").tobytes(), REMEMBERED_PARTS)
-    return Memo(lambda segment: b"".join(map(parts.__getitem__, words.parts(segment))), REMEMBERED)
+    parts = Memo(lambda part: np.array(words.segment(part)[1], "<i4").tobytes(), remembered[1])
+    return Memo(lambda segment: b"".join(map(parts.__getitem__, words.parts(segment))), remembered[0])
 
 
 @lru_cache(maxsize=2)
-def packed_memo(model_file: str) -> Memo:
+def packed_memo(model_file: str, remembered: tuple[int, int] = REMEMBERED) -> Memo:
     """Ids by segment, kept for all tasks of a Python worker."""
-    return _packed(vocabulary(model_file))
+    return _packed(vocabulary(model_file), remembered)
 
 
 def encode(words: Vocabulary, memo: Memo, text: str | None) -> bytes:
@@ -186,7 +186,7 @@ def _scan(maps: DataFrame, fan_in: int) -> DataFrame:
     return states
 
 
-def _encode_giants(giants: DataFrame, model_file: str, chunk: int, fan_in: int) -> DataFrame:
+def _encode_giants(giants: DataFrame, model_file: str, chunk: int, fan_in: int, remembered: tuple[int, int]) -> DataFrame:
     """key and parts (k and ids of each chunk) of ``giants`` (key, text)."""
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +207,7 @@ def _encode_giants(giants: DataFrame, model_file: str, chunk: int, fan_in: int)
             yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "scores": [m.tobytes() for m, _ in made], "ranks": [r.tobytes() for _, r in made]})
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, memo = vocabulary(model_file), packed_memo(model_file)
+        words, memo = vocabulary(model_file), packed_memo(model_file, remembered)
         for frame in frames:
             columns = (frame[c] for c in ("piece", "size", "enter", "leave"))
             yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": [trace_chunk(words, memo, *row) for row in zip(*columns, strict=True)]})
@@ -229,7 +229,7 @@ def _checked(words: Vocabulary, text: str, ids: bytes) -> tuple:
     return ids, len(ids) // 4, len(raw), own, own if back == raw else hashlib.sha256(back).hexdigest(), back == raw
 
 
-def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CHARS, fan_in: int = FAN_IN) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CHARS, fan_in: int = FAN_IN, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, ids (little-endian 32-bit integers), n_pieces, n_bytes,
     text_sha256, decoded_sha256, round_trip.
 
@@ -242,10 +242,10 @@ def encoded(docs: DataFrame, model_file: str = MODEL_FILE, chunk: int = CHUNK_CH
     texts = docs.select(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.when(F.char_length("text") >= chunk, F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
     giants = texts.filter("key IS NOT NULL").groupBy("key").agg(F.max("text").alias("text"))
-    ids = _encode_giants(giants, model_file, chunk, fan_in)
+    ids = _encode_giants(giants, model_file, chunk, fan_in, remembered)
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, memo = vocabulary(model_file), packed_memo(model_file)
+        words, memo = vocabulary(model_file), packed_memo(model_file, remembered)
         for frame in frames:
             found = [encode(words, memo, t) if parts is None else b"".join(p["ids"] for p in parts) for t, parts in zip(frame["text"], frame["parts"], strict=True)]
             out = [_checked(words, text, ids) for text, ids in zip(frame["text"], found, strict=True)]
