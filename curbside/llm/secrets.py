@@ -19,17 +19,26 @@ TREES, DEPTH, SEED, SECRET_AT = 24, 7, 42, 0.5
 #: Characters beside a candidate that count as its neighbourhood.
 NEAR_CHARS = 40
 # Names that secrets are assigned to, words near secrets, words near false positives, common words in names.
-_ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential"
+_ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|(?<![A-Za-z])pass(?![A-Za-z])"
 # The key may be quoted, in brackets, of a stated type, or itself the value of an attribute whose neighbour is "value".
 _KEY = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,64}}+)(?:\\?[\"'`])?\]?"
 _SIGN = r"(?:\s*+(?::=|<-|=>|={1,3}|:(?:\s{0,3}[&\w.<>\[\]?]{1,24}\s{0,3}=)?|(?i:value)\s{0,3}=)\s*+|\s++(?i:is|was)\s++)"
 _OPTION = rf"(?<![\w-])--?{_KEY}[ ]++(?!-)"
-_QUOTED = "|".join([r"(\\[\"'])([^\"'\s\\]{4,})", r"([A-Za-z]{0,2}\")([^\"\s]{4,})", r"([A-Za-z]{0,2}')([^'\s]{4,})", r"(`)([^`\s]{4,})"])
+# A quoted value runs to the closing quote of its line, escaped quotes included; without one, to the first white space.
+_QUOTED = "|".join(
+    [
+        r"(\\[\"'])([^\"'\\\r\n]{4,}+(?=\\[\"'])|[^\"'\s\\]{4,})",
+        r"([A-Za-z]{0,2}\")((?:[^\"\\\r\n]|\\.){4,}+(?=\")|[^\"\s]{4,})",
+        r"([A-Za-z]{0,2}')((?:[^'\\\r\n]|\\.){4,}+(?=')|[^'\s]{4,})",
+        r"(`)([^`\r\n]{4,}+(?=`)|[^`\s]{4,})",
+    ]
+)
 _ELEMENT = rf"(>(?<=<[\w:.-]{{0,32}}(?i:{_ASSIGNED})[\w:.-]{{0,12}}(?:\s[^<>]{{0,200}})?>)(?<!/>)\s{{0,20}})(?:(<!\[CDATA\[)([^\s<>\]]{{4,}})|([^\s<>]{{4,}}))"
 _URL = r"(://[^\s/:@\"'<>]{0,256}:)([^\s/?#\"'<>]+)(?=@)"
 _PRIVATE_KEY = r"(-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----)([^-]*+(?:-(?!----)[^-]*+)*+)"
 _KEY_LIKE = r"(?<![\w+/=-])(?=[_+/=-]*+[A-Za-z0-9])([\w+/=-]{20,}+)"
-CANDIDATE = rf"({_KEY}{_SIGN}|{_OPTION})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_PRIVATE_KEY}|{_KEY_LIKE}"
+_BEFORE_QUOTE = rf"{_KEY}[ \t]++(?=[A-Za-z]{{0,2}}[\"'`])"
+CANDIDATE = rf"({_KEY}{_SIGN}|{_OPTION}|{_BEFORE_QUOTE})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_PRIVATE_KEY}|{_KEY_LIKE}"
 #: Its groups that belong to the name and to the value; of each the ones that took no part are empty.
 _NAME_GROUPS, _VALUE_GROUPS = (1, 2, 4, 6, 8, 11, 12, 15, 17), (3, 5, 7, 9, 10, 13, 14, 16, 18, 19)
 _MARKED = "\x01" + "".join(f"${k}" for k in _NAME_GROUPS) + "\x03" + "".join(f"${k}" for k in _VALUE_GROUPS) + "\x02"
@@ -46,20 +55,37 @@ _DICTIONARY = "|".join(
         key=lambda w: (-len(w), w),
     )
 )
-FEATURES = ["length", "transitions", "class_mix", "digits", "uppers", "others", "distinct", "repeats", "hexes", "dictionary", "assigned", "near_secret", "near_false", "test_path", "slashes", "vowels", "issued", "key_block"]
+FEATURES = ["length", "transitions", "class_mix", "digits", "uppers", "others", "distinct", "repeats", "hexes", "dictionary", "assigned", "near_secret", "near_false", "test_path", "slashes", "spaces", "vowels", "issued", "key_block"]
+
+
+#: The marks that a text holds itself, and the escape character, and what stands for each while the text is searched.
+_ESCAPES = [("\x04", "\x04\x08"), ("\x01", "\x04\x05"), ("\x02", "\x04\x06"), ("\x03", "\x04\x07")]
+
+
+def _escaped(text: Column) -> Column:
+    """``text`` without marks of its own; texts that hold none are left as they are."""
+    other = text
+    for char, pair in _ESCAPES:
+        other = F.replace(other, F.lit(char), F.lit(pair))
+    return F.when(text.rlike("[\x01-\x04]"), other).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    other = text
+    for char, pair in reversed(_ESCAPES):
+        other = F.replace(other, F.lit(pair), F.lit(char))
+    return F.when(F.instr(text, "\x04") > 0, other).otherwise(text)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Every candidate of every text: doc_id, nth (from 1), value, name, before, after, path."""
-    # Three control characters mark the matches; where a text holds them itself they count as spaces.
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    text = F.when(F.instr(text, "\x01") + F.instr(text, "\x02") + F.instr(text, "\x03") > 0, F.translate(text, "\x01\x02\x03", "   ")).otherwise(text)
+    text = _escaped(F.coalesce(F.col("text").cast("string"), F.lit("")))
     parts = F.split(F.regexp_replace(text, CANDIDATE, _MARKED), "\x01", -1)
     marked = docs.select("doc_id", F.col("source").cast("string").alias("path"), parts.alias("parts")).filter(F.size("parts") > 1)
     each = F.transform(
         F.sequence(F.lit(1), F.size("parts") - 1),
         lambda k: F.struct(
-            F.right(F.substring_index(F.element_at("parts", k), "\x02", -1), F.lit(NEAR_CHARS)).alias("before"),
+            F.right(_unescaped(F.substring_index(F.element_at("parts", k), "\x02", -1)), F.lit(NEAR_CHARS)).alias("before"),
             F.element_at("parts", k + 1).alias("part"),
         ),
     )
@@ -69,10 +95,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         (F.col("at") + 1).alias("nth"),
-        F.substring_index(match, "\x03", -1).alias("value"),
-        name.alias("name"),
+        _unescaped(F.substring_index(match, "\x03", -1)).alias("value"),
+        _unescaped(name).alias("name"),
         F.col("found.before").alias("before"),
-        F.left(F.substring_index("found.part", "\x02", -1), F.lit(NEAR_CHARS)).alias("after"),
+        F.left(_unescaped(F.substring_index("found.part", "\x02", -1)), F.lit(NEAR_CHARS)).alias("after"),
         F.coalesce("path", F.lit("")).alias("path"),
     )
 
@@ -104,6 +130,7 @@ def described(found: DataFrame) -> DataFrame:
         "near_false": F.concat_ws(" ", around, "after").rlike(_NEAR_FALSE).cast("double"),
         "test_path": F.col("path").rlike(_TEST_PATH).cast("double"),
         "slashes": _share(value, "/"),
+        "spaces": _share(value, r"\s"),
         "vowels": _share(value, "(?i)[aeiou]"),
         "issued": value.rlike(_ISSUED).cast("double"),
         "key_block": F.col("name").startswith("-----BEGIN").cast("double"),
@@ -141,6 +168,15 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (1, f"substr({hexes}, 1, 40)", "token is ", "my "),
         (1, f"concat(substr({sixty}, 1, 5), '!', substr({sixty}, 7, 4))", "--password ", "run with "),
         (1, f"concat(substr({sixty}, 1, 64), '\n', {sixty}, '\n')", "-----BEGIN RSA PRIVATE KEY-----", ""),
+        (1, f"concat(substr({plain}, 1, 7), ' ', substr({plain}, 8, 5), ' ', substr({plain}, 13, 6), ' ', 10 + id % 89)", "password = \"", ""),
+        (1, f"concat(substr({sixty}, 3, 8), '\\\\\"', substr({sixty}, 12, 6))", "secret: \"", ""),
+        (1, f"concat(substr({plain}, 1, 7), 1 + id % 9, substr({plain}, 9, 1), id % 10)", "pass: ", "db_"),
+        (1, f"substr({sixty}, 1, 20)", "apikey \"", "set "),
+        (0, f"concat('Please enter your ', substr({plain}, 1, 6), ' and ', substr({plain}, 9, 7))", "password\": \"", "{\""),
+        (0, f"concat('The ', substr({plain}, 2, 8), ' that you use is not valid for ', substr({plain}, 12, 5))", "token = \"", ""),
+        (0, f"concat(substr({plain}, 1, 6), ' ', substr({plain}, 7, 8))", "password = \"", "label of "),
+        (0, f"substr({plain}, 1, 8)", "pass: ", "mountain "),
+        (0, f"substr({plain}, 1, 8)", "token \"", "expected "),
         (0, f"initcap(substr({plain}, 1, 22))", "", ""),
         (0, f"concat(substr({plain}, 1, 9), '-', substr({plain}, 11, 8), '-', substr({plain}, 2, 7))", "", "the "),
         (0, f"concat(substr({plain}, 1, 7), initcap(substr({plain}, 8, 6)), initcap(substr({plain}, 14, 8)))", "", "call "),
@@ -214,7 +250,8 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel | None =
     n_chars, value_sha256, probability, is_secret.
 
     ``is_secret`` is false for what the forest takes for a false positive; a probability of exactly SECRET_AT is a
-    secret. Null and empty texts have no candidates, texts and values are read whole, however long; repeated rows and
+    secret. A quoted value runs to the closing quote of its line and keeps spaces, escapes and control characters; an
+    unquoted one ends at white space. Null and empty texts have no candidates, texts and values are read whole, however long; repeated rows and
     repeated values appear again; an empty table gives no rows; other columns are ignored. A null source is an empty path.
     """
     model = model or forest(docs.sparkSession)
