@@ -19,7 +19,7 @@ TREES, DEPTH, SEED, SECRET_AT = 24, 7, 42, 0.5
 #: Characters beside a candidate that count as its neighbourhood.
 NEAR_CHARS = 40
 # Names that secrets are assigned to, words near secrets, words near false positives, common words in names.
-_ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|(?<![A-Za-z])pass(?![A-Za-z])"
+_ASSIGNED = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|pass(?<![A-Za-z]pass)(?![A-Za-z])"
 # The key may be quoted, in brackets, of a stated type, or itself the value of an attribute whose neighbour is "value".
 _KEY = rf"(?i:(?:{_ASSIGNED})[\w-]{{0,64}}+)(?:\\?[\"'`])?\]?"
 _SIGN = r"(?:\s*+(?::=|<-|=>|={1,3}|:(?:\s{0,3}[&\w.<>\[\]?]{1,24}\s{0,3}=)?|(?i:value)\s{0,3}=)\s*+|\s++(?i:is|was)\s++)"
@@ -37,8 +37,8 @@ _ELEMENT = rf"(>(?<=<[\w:.-]{{0,32}}(?i:{_ASSIGNED})[\w:.-]{{0,12}}(?:\s[^<>]{{0
 _URL = r"(://[^\s/:@\"'<>]{0,256}:)([^\s/?#\"'<>]+)(?=@)"
 _PRIVATE_KEY = r"(-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----)([^-]*+(?:-(?!----)[^-]*+)*+)"
 _KEY_LIKE = r"(?<![\w+/=-])(?=[_+/=-]*+[A-Za-z0-9])([\w+/=-]{20,}+)"
-_BEFORE_QUOTE = rf"{_KEY}[ \t]++(?=[A-Za-z]{{0,2}}[\"'`])"
-CANDIDATE = rf"({_KEY}{_SIGN}|{_OPTION}|{_BEFORE_QUOTE})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_PRIVATE_KEY}|{_KEY_LIKE}"
+_BEFORE_QUOTE = r"[ \t]++(?=[A-Za-z]{0,2}[\"'`])"
+CANDIDATE = rf"({_KEY}(?:{_SIGN}|{_BEFORE_QUOTE})|{_OPTION})(?:{_QUOTED}|([^\s\"'<>|]{{6,}}))|{_ELEMENT}|{_URL}|{_PRIVATE_KEY}|{_KEY_LIKE}"
 #: Its groups that belong to the name and to the value; of each the ones that took no part are empty.
 _NAME_GROUPS, _VALUE_GROUPS = (1, 2, 4, 6, 8, 11, 12, 15, 17), (3, 5, 7, 9, 10, 13, 14, 16, 18, 19)
 _MARKED = "\x01" + "".join(f"${k}" for k in _NAME_GROUPS) + "\x03" + "".join(f"${k}" for k in _VALUE_GROUPS) + "\x02"
@@ -67,7 +67,8 @@ def _escaped(text: Column) -> Column:
     other = text
     for char, pair in _ESCAPES:
         other = F.replace(other, F.lit(char), F.lit(pair))
-    return F.when(text.rlike("[\x01-\x04]"), other).otherwise(text)
+    held = F.instr(text, "\x01") + F.instr(text, "\x02") + F.instr(text, "\x03") + F.instr(text, "\x04")
+    return F.when(held > 0, other).otherwise(text)
 
 
 def _unescaped(text: Column) -> Column:
