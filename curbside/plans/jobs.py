@@ -234,7 +234,10 @@ def tile_envelope(s, d):
     return grid.select("x", "y", F.round(box["xmin"], 3).alias("xmin"), F.round(box["ymax"], 3).alias("ymax"))
 
 
-@query("UDTF01_parking_tiles", PT + "SELECT CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y, CAST(count(*) AS INT) AS n_features FROM points GROUP BY ALL")
+_TILES_14 = PT + "SELECT CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS y, CAST(count(*) AS INT) AS n_features FROM points GROUP BY ALL"
+
+
+@query("UDTF01_parking_tiles", _TILES_14)
 def parking_tiles(s, d):
     """Tiles of points as vector tiles; the bytes themselves are checked by decoding in the tests."""
     from curbside.operators.tiles import covering
@@ -242,6 +245,17 @@ def parking_tiles(s, d):
     return encoded_tiles(points(s, d), covering(points(s, d), [14]), 14).select("x", "y", "n_features")
 
 
+@query("UDTF01_tiles_from_sql", _TILES_14)
+def tiles_from_sql(s, d):
+    """The same tiles by the table function, called from SQL."""
+    from curbside.operators.tile_functions import placed_features, register
+    from curbside.operators.tiles import covering
+
+    register(s)
+    features = placed_features(points(s, d), covering(points(s, d), [14]), 14)
+    return s.sql("SELECT x, y, n_features FROM vector_tile(TABLE({features}) PARTITION BY (z, x, y) ORDER BY (px, py, n, amount))", features=features)
+
+
 @query("UDTF02_camera_tiles", ST + "SELECT CAST(floor((lon + 180) / 360 * 8192) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 8192) AS BIGINT) AS y, CAST(count(*) AS INT) AS n_features FROM sites GROUP BY ALL")
 def camera_tiles(s, d):
     from curbside.operators.tiles import covering
