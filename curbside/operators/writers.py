@@ -97,3 +97,8 @@ def payload_manifest(df: DataFrame, chunk: str, part_rows: int = 10_000) -> Data
     rows = F.to_json(F.array_sort(F.collect_list(F.struct(*own))))
     out = dealt.groupBy(chunk, "part").agg(F.count("*").alias("n"), rows.alias("raw"))
     return out.select(chunk, "part", "n", slug(F.col(chunk)).alias("slug"), F.sha2("raw", 256).alias("etag"), packed(F.col("raw")).alias("payload"))
+
+
+def chunk_manifest(payloads: DataFrame, chunk: str) -> DataFrame:
+    """One entry for each chunk of ``payload_manifest``: its slug, and the rows and number of all its parts."""
+    return payloads.groupBy(chunk, "slug").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))

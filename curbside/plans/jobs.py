@@ -208,7 +208,7 @@ def report(s, d):
 @query("SNK16_chunk_manifest", "SELECT c_mktsegment AS segment, count(*) AS n, lower(c_mktsegment) AS slug FROM customer GROUP BY 1")
 def chunk_manifest(s, d):
     rows = table(s, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
-    return writers.payload_manifest(rows, "segment").select("segment", "n", "slug")
+    return writers.chunk_manifest(writers.payload_manifest(rows, "segment"), "segment").select("segment", "n", "slug")
 
 
 @query("SNK18_tile_archive", PT + "SELECT count(*) AS n, count(DISTINCT (CAST(floor((lon + 180) / 360 * 4096) AS BIGINT), CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096) AS BIGINT))) AS tiles FROM points")
