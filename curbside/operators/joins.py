@@ -204,12 +204,13 @@ def range_matched(facts: DataFrame, segments: DataFrame, id_column: str, number:
 def nearest_pairs(a: DataFrame, b: DataFrame, key: str, most: int = 12) -> DataFrame:
     """For each key the nearest pair of its first ``most`` points on either side, and the point halfway.
 
-    ``a`` and ``b``: key, segment_id, lon, lat. At most ``most`` squared pairs a key.
+    ``a`` and ``b``: key, segment_id, lon, lat. At most ``most`` squared pairs a key. Distances count to the micrometre, below
+    which they are noise of the coordinates' last digits; of equal ones the smaller ids win.
     """
     left = top_per_group(a, [key], ["segment_id"], most).select(key, F.col("segment_id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
     right = top_per_group(b, [key], ["segment_id"], most).select(key, F.col("segment_id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     far = F.hypot((F.col("lat_a") - F.col("lat_b")) * METRES_LAT, (F.col("lon_a") - F.col("lon_b")) * METRES_LON)
-    pairs = left.join(right, key).withColumn("metres", far)
+    pairs = left.join(right, key).withColumn("metres", F.round(far, 6))
     best = top_per_group(pairs, [key], ["metres", "id_a", "id_b"]).drop("rn")
     return best.withColumns({"lon": (F.col("lon_a") + F.col("lon_b")) / 2, "lat": (F.col("lat_a") + F.col("lat_b")) / 2})
 

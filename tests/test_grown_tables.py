@@ -30,3 +30,10 @@ def test_chunk_of_several_parts_is_one_entry(spark, differing):
     segment = F.when(F.col("id") < 25_000, "BUILDING").when(F.col("id") < 25_010, "MACHINERY")
     customer = spark.range(25_015).select(F.col("id").alias("c_custkey"), segment.alias("c_mktsegment"))
     assert differing("SNK16_chunk_manifest", customer=customer) is None
+
+
+def test_equally_near_pairs_go_by_ids(spark, differing):
+    """Both pairs are 137 keys apart and so equally far, but for the last digits of their coordinates."""
+    rows = [(1070, "BUILDING"), (933, "MACHINERY"), (1067, "BUILDING"), (1204, "MACHINERY")]
+    customer = spark.createDataFrame([(k, f"c{k}", 16, 0.0, segment) for k, segment in rows], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    assert differing("JOI18_nearest_pair", customer=customer) is None
