@@ -65,11 +65,16 @@ def fine_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def allocated(counts: DataFrame, group: Sequence[str], count: str, total: str) -> DataFrame:
-    """``revenue``: the group's ``total`` shared out by ``count``, rounded half up."""
+def allocated(counts: DataFrame, group: Sequence[str], count: str, total: str, in_doubles: bool = False) -> DataFrame:
+    """``revenue``: the group's ``total`` shared out by ``count``, rounded half up to the cent.
+
+    Shares are exact decimals. ``in_doubles``: as in engines whose decimals divide to doubles, where a half cent can fall short and be dropped.
+    """
     whole = F.sum(count).over(Window.partitionBy(*group))
-    share = F.col(total).cast("decimal(18,2)") * F.col(count).cast("decimal(12,0)") / whole.cast("decimal(14,0)")
-    return counts.withColumn("revenue", F.when(whole > 0, F.round(share, 2)).otherwise(F.lit(0)).cast("decimal(18,2)"))
+    amount = F.col(total).cast("decimal(18,2)") * F.col(count).cast("decimal(12,0)")
+    # Spark rounds a double by its shortest spelling (1.005 to 1.01); of 100 times it only true halves go up.
+    share = F.round(amount.cast("double") / whole.cast("double") * 100) / 100 if in_doubles else F.round(amount / whole.cast("decimal(14,0)"), 2)
+    return counts.withColumn("revenue", F.when(whole > 0, share).otherwise(F.lit(0)).cast("decimal(18,2)"))
 
 
 def year_totals(df: DataFrame, key: str, months: str) -> DataFrame:

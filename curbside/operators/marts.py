@@ -30,9 +30,9 @@ def parking_marts(tickets: DataFrame, street: str, neighbourhood: str) -> dict[s
     }
 
 
-def camera_years(counts: DataFrame, sites: DataFrame) -> DataFrame:
-    """Yearly counts of sites with their share of the site's whole revenue. ``sites``: site_key, total; others pass."""
-    return allocated(counts.join(sites, "site_key"), ["site_key"], "n", "total")
+def camera_years(counts: DataFrame, sites: DataFrame, in_doubles: bool = False) -> DataFrame:
+    """Yearly counts of sites with their share of the site's whole revenue, see ``allocated``. ``sites``: site_key, total; others pass."""
+    return allocated(counts.join(sites, "site_key"), ["site_key"], "n", "total", in_doubles)
 
 
 def historical_sites(charges: DataFrame, sites: DataFrame) -> DataFrame:
