@@ -58,8 +58,10 @@ def geocoded(addresses: DataFrame, segments: DataFrame) -> DataFrame:
     middle = segments.groupBy("street_key").agg(F.min("segment_id").alias("segment_id"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
     by_street = single.filter("number IS NULL").join(middle, "street_key").groupBy("address").agg(F.min(F.struct("segment_id", "lon", "lat")).alias("best"))
     by_street = by_street.select("address", F.lit("street").alias("method"), "best.*")
-    side = lambda k: parsed.filter("pair IS NOT NULL").select("address", F.col("pair")[k].alias("key")).join(streets, "key").join(segments, "street_key").select("address", "segment_id", "lon", "lat")
-    crossing = nearest_pairs(side(0), side(1), "address").select("address", F.lit("intersection").alias("method"), F.col("id_a").alias("segment_id"), "lon", "lat")
+    # Streets meet with all their segments, so once for each two streets and not for each address.
+    crossed = parsed.filter("pair IS NOT NULL").select("pair").distinct()
+    side = lambda k: crossed.select("pair", F.col("pair")[k].alias("key")).join(streets, "key").join(segments, "street_key").select("pair", "segment_id", "lon", "lat")
+    crossing = parsed.join(nearest_pairs(side(0), side(1), "pair"), "pair").select("address", F.lit("intersection").alias("method"), F.col("id_a").alias("segment_id"), "lon", "lat")
     return by_number.unionByName(by_street).unionByName(crossing)
 
 

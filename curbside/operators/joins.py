@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.geo import METRES_LAT, METRES_LON, haversine
 from curbside.operators.windows import top_per_group
+from curbside.sources.paths import checkpointed
 
 
 def small(df: DataFrame, limit_rows: int = 200_000) -> DataFrame:
@@ -201,18 +202,72 @@ def range_matched(facts: DataFrame, segments: DataFrame, id_column: str, number:
     return facts.join(found, ["street_key", number])
 
 
-def nearest_pairs(a: DataFrame, b: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """For each key the nearest pair of its first ``most`` points on either side, and the point halfway.
+#: Metres that bounds of distances are let off; distances are rounded to a tenth of it.
+_SLACK = 1e-5
 
-    ``a`` and ``b``: key, segment_id, lon, lat. At most ``most`` squared pairs a key. Distances count to the micrometre, below
-    which they are noise of the coordinates' last digits; of equal ones the smaller ids win.
+
+def _in_cells(places: DataFrame, side: str, corner: tuple[float, float], size: float) -> DataFrame:
+    x, y = (F.floor((F.col(c) - low) / size) for c, low in zip("xy", corner, strict=True))
+    return places.filter(F.col("side") == side).withColumns({f"{side}x": x, f"{side}y": y})
+
+
+def _boxes(places: DataFrame, key: str, side: str, corner: tuple[float, float], size: float) -> DataFrame:
+    """Cells of one side: how many places they hold, their box, the y of the westmost place, and the cell of four times the size around."""
+    ends = [F.min("x").alias(f"west_{side}"), F.max("x").alias(f"east_{side}"), F.min("y").alias(f"south_{side}"), F.max("y").alias(f"north_{side}")]
+    boxes = _in_cells(places, side, corner, size).groupBy(key, f"{side}x", f"{side}y").agg(F.count("*").alias(f"n_{side}"), *ends, F.min_by("y", "x").alias(f"y_{side}"))
+    return boxes.withColumns({f"in_{side}x": F.shiftright(f"{side}x", 2), f"in_{side}y": F.shiftright(f"{side}y", 2)})
+
+
+def _cut(pairs: DataFrame, places: DataFrame, key: str, corner: tuple[float, float], size: float) -> DataFrame:
+    """Pairs of cells of ``size`` within ``pairs`` of cells four times as large, without those farther apart than two places that the key has."""
+    around = pairs.select(key, "bound", *[F.col(c).alias(f"in_{c}") for c in ("ax", "ay", "bx", "by")])
+    met = around.join(_boxes(places, key, "a", corner, size), [key, "in_ax", "in_ay"]).join(_boxes(places, key, "b", corner, size), [key, "in_bx", "in_by"])
+    gap = lambda low, high: F.greatest(F.lit(0.0), F.col(f"{low}_a") - F.col(f"{high}_b"), F.col(f"{low}_b") - F.col(f"{high}_a"))
+    seen = F.hypot(F.col("west_a") - F.col("west_b"), F.col("y_a") - F.col("y_b"))
+    met = met.withColumns({"least": F.hypot(gap("west", "east"), gap("south", "north")), "seen": seen}).filter(F.col("least") <= F.col("bound") + _SLACK)
+    met = checkpointed(met.select(key, "n_a", "n_b", "ax", "ay", "bx", "by", "least", "seen"))
+    return met.join(met.groupBy(key).agg(F.min("seen").alias("bound")), key).filter(F.col("least") <= F.col("bound") + _SLACK).drop("least", "seen")
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, key: str, at_once: int = 1_000_000, levels: int = 20) -> DataFrame:
+    """For each key the nearest pair of all its points on either side, and the point halfway.
+
+    ``a`` and ``b``: key, segment_id, lon, lat in degrees. Distances count to the micrometre, below which they are noise of the
+    coordinates' last digits; of equal ones the smaller ids win. Points without coordinates come last.
+
+    Points of one place are one. As long as more than ``at_once`` pairs of places are left, pairs of cells meet in their stead: each
+    level cuts cells in sixteen and leaves out pairs that are too far apart to hold the nearest places. The places of the cells
+    that remain are compared, each with each. ``at_once`` and ``levels`` bear on the time alone.
     """
-    left = top_per_group(a, [key], ["segment_id"], most).select(key, F.col("segment_id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    right = top_per_group(b, [key], ["segment_id"], most).select(key, F.col("segment_id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    sides = [df.select(key, F.lit(side).alias("side"), "segment_id", "lon", "lat") for side, df in (("a", a), ("b", b))]
+    every = sides[0].unionAll(sides[1]).filter(F.col(key).isNotNull()).groupBy(key, "side", "lon", "lat").agg(F.min("segment_id").alias("id"))
+    every = checkpointed(every.withColumns({"x": F.col("lon") * METRES_LON, "y": F.col("lat") * METRES_LAT}))
+    places = every.filter(F.abs("x") + F.abs("y") < float("inf"))
+    sizes = [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in "ab"]
+    extent = [F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north")]
+    pairs = places.groupBy(key).agg(*sizes, *extent).filter("n_a > 0 AND n_b > 0")
+    work = [F.coalesce(F.sum(F.col("n_a").cast("double") * F.col("n_b")), F.lit(0.0)), F.count("*")]
+    left, cells, *ends = pairs.agg(*work, F.min("west"), F.min("south"), F.max("east"), F.max("north")).first()
+    west, south, east, north = (end or 0.0 for end in ends)
+    # At first a key is one cell; sizes go down by powers of two, so that cells lie in one of the level before.
+    corner, size = (west, south), max(east - west, north - south) * 1.001 + 0.001
+    pairs = pairs.select(key, "n_a", "n_b", *[F.lit(0).cast("bigint").alias(c) for c in ("ax", "ay", "bx", "by")], F.lit(float("inf")).alias("bound"))
+    for _ in range(levels):
+        if left <= max(at_once, 4 * cells):
+            break
+        size /= 4
+        pairs = _cut(pairs, places, key, corner, size)
+        left, cells = pairs.agg(*work).first()
+    for side in "ab":
+        own = _in_cells(places, side, corner, size).select(key, f"{side}x", f"{side}y", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "lon", "lat")])
+        pairs = pairs.join(own, [key, f"{side}x", f"{side}y"])
     far = F.hypot((F.col("lat_a") - F.col("lat_b")) * METRES_LAT, (F.col("lon_a") - F.col("lon_b")) * METRES_LON)
-    pairs = left.join(right, key).withColumn("metres", F.round(far, 6))
-    best = top_per_group(pairs, [key], ["metres", "id_a", "id_b"]).drop("rn")
-    return best.withColumns({"lon": (F.col("lon_a") + F.col("lon_b")) / 2, "lat": (F.col("lat_a") + F.col("lat_b")) / 2})
+    pairs = pairs.withColumn("metres", F.round(far, 6)).filter(F.col("metres") <= F.col("bound") + _SLACK)
+    best = top_per_group(pairs, [key], ["metres", "id_a", "id_b"]).select(key, "id_a", "lon_a", "lat_a", "id_b", "lon_b", "lat_b", "metres")
+    least = [F.min(F.when(F.col("side") == side, F.col("id"))).alias(f"least_{side}") for side in "ab"]
+    found = every.groupBy(key).agg(*sizes, *least).filter("n_a > 0 AND n_b > 0").drop("n_a", "n_b").join(best, key, "left")
+    ids = {f"id_{side}": F.when(F.col("metres").isNull(), F.col(f"least_{side}")).otherwise(F.col(f"id_{side}")) for side in "ab"}
+    return found.withColumns(ids | {"lon": (F.col("lon_a") + F.col("lon_b")) / 2, "lat": (F.col("lat_a") + F.col("lat_b")) / 2}).drop("least_a", "least_b")
 
 
 def near_in_time(df: DataFrame, keys: Sequence[str], id_column: str, time: str, seconds: int) -> DataFrame:

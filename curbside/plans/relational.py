@@ -364,8 +364,8 @@ def fuzzy_match(s, d):
 
 @query(
     "JOI18_nearest_pair",
-    PT + """, a AS (SELECT area, point_key, lon, lat, row_number() OVER (PARTITION BY area ORDER BY point_key) AS rn FROM points WHERE segment = 'BUILDING'), b AS (SELECT area, point_key, lon, lat, row_number() OVER (PARTITION BY area ORDER BY point_key) AS rn FROM points WHERE segment = 'MACHINERY'),
-    j AS (SELECT a.area, a.point_key AS id_a, b.point_key AS id_b, row_number() OVER (PARTITION BY a.area ORDER BY round(sqrt(((a.lat - b.lat) * 111320) ** 2 + ((a.lon - b.lon) * 78850) ** 2), 6), a.point_key, b.point_key) AS rn FROM a JOIN b ON a.area = b.area AND a.rn <= 12 AND b.rn <= 12)
+    PT + """, a AS (SELECT area, point_key, lon, lat FROM points WHERE segment = 'BUILDING'), b AS (SELECT area, point_key, lon, lat FROM points WHERE segment = 'MACHINERY'),
+    j AS (SELECT a.area, a.point_key AS id_a, b.point_key AS id_b, row_number() OVER (PARTITION BY a.area ORDER BY round(sqrt(((a.lat - b.lat) * 111320) ** 2 + ((a.lon - b.lon) * 78850) ** 2), 6), a.point_key, b.point_key) AS rn FROM a JOIN b ON a.area = b.area)
     SELECT area, id_a, id_b FROM j WHERE rn = 1""",
 )
 def nearest_pair(s, d):

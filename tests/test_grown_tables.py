@@ -42,6 +42,15 @@ def test_equally_near_pairs_go_by_ids(spark, differing):
     assert differing("JOI18_nearest_pair", customer=customer) is None
 
 
+def test_nearest_pairs_are_found_among_all_points(spark, differing):
+    """Some fifty points of each side in an area; one side's alone; rows without a key or an area."""
+    segment = lambda k: "FURNITURE" if k % 9 == 8 else ("BUILDING", "MACHINERY")[k // 8 % 2]
+    rows = [(k, segment(k), k % 8) for k in range(1, 1_000)]
+    odd = [(None, "BUILDING", 1), (None, "MACHINERY", 1), (None, "BUILDING", 9), (7, "MACHINERY", 9), (8, "MACHINERY", None), (9, "BUILDING", None), (10, "BUILDING", 10)]
+    customer = spark.createDataFrame([(k, f"c{k}", area, 0.0, s) for k, s, area in rows + odd], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    assert differing("JOI18_nearest_pair", customer=customer) is None
+
+
 def test_half_cents_of_shares_are_those_of_the_sql(spark, differing):
     """In doubles half of 0.29 is just under 14.5 cents and half of 0.25 is 12.5; the tenth is rounded after the cent."""
     lines = [(k, 1, k, 1, 10.0, "A", "F", f"{year}-05-01") for k in range(4) for year in (1995, 1996)]

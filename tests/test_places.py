@@ -114,6 +114,47 @@ def test_misspelt_streets_are_placed(spark):
     }
 
 
+def plain_nearest_pairs(a, b):
+    import math
+
+    best = {}
+    for key, p, lon, lat in a:
+        for _, q, lon2, lat2 in (r for r in b if r[0] == key):
+            metres = round(math.hypot((lat - lat2) * 111_320.0, (lon - lon2) * 78_850.0), 6)
+            best[key] = min(best.get(key, (math.inf,)), (metres, p, q))
+    return {key: (p, q) for key, (_, p, q) in best.items()}
+
+
+def test_nearest_pairs_equal_all_pairs(spark):
+    """Shapes that cells tell apart late or never: separate crowds, parallel lines, a lattice of equal distances, a ring around a crowd."""
+    import math
+
+    rng = random.Random(4)
+    crowd = lambda x, y, size, n: [(x + rng.uniform(0, size), y + rng.uniform(0, size)) for _ in range(n)]
+    shapes = {
+        "crowds": (crowd(-79.5, 43.6, 0.01, 80), crowd(-79.4, 43.7, 0.01, 80)),
+        "mixed": (crowd(-79.5, 43.6, 0.2, 80), crowd(-79.5, 43.6, 0.2, 80)),
+        "lines": ([(-79.5 + k / 1000, 43.6) for k in range(80)], [(-79.5 + k / 1000, 43.61) for k in range(80)]),
+        "lattice": ([(-79.5 + k / 1000, 43.6 + j / 1000) for k in range(9) for j in range(9) if (k + j) % 2], [(-79.5 + k / 1000, 43.6 + j / 1000) for k in range(9) for j in range(9) if (k + j) % 2 == 0]),
+        "ring": ([(-79.5 + math.cos(k / 12) / 788.5, 43.6 + math.sin(k / 12) / 1113.2) for k in range(75)], crowd(-79.5, 43.6, 0.00001, 60)),
+        "same places": ([(-79.5, 43.6)] * 20 + [(-79.4, 43.6)] * 20, [(-79.4, 43.6)] * 30 + [(-79.5, 43.6)] * 30),
+        "outlier": ([(0.0, 0.0), *crowd(-79.5, 43.6, 0.00001, 40)], [(120.0, -30.0), *crowd(-79.50002, 43.6, 0.00001, 40)]),
+        "one": ([(-79.5, 43.6)], crowd(-79.6, 43.5, 0.2, 90)),
+    }
+    ids = iter(rng.sample(range(10_000), 2_000))
+    a, b = ([(key, next(ids), *p) for key, both in shapes.items() for p in both[k]] for k in (0, 1))
+    a.append(("alone", -1, -79.5, 43.6))
+    odd = [("no place", 5, None, 43.6), ("no place", 3, float("nan"), 43.6), ("crowds", -9, None, None)], [("no place", 6, -79.5, 43.6), ("no place", 7, -79.4, 43.6)]
+    schema = "key string, segment_id int, lon double, lat double"
+    sides = [spark.createDataFrame(rows + more, schema) for rows, more in zip((a, b), odd, strict=True)]
+    wanted = plain_nearest_pairs(a, b) | {"no place": (3, 6)}
+    for at_once in (0, 20_000, 1_000_000):
+        found = joins.nearest_pairs(*sides, "key", at_once).collect()
+        assert {r.key: (r.id_a, r.id_b) for r in found} == wanted and len(found) == len(wanted)
+    half = next(r for r in found if r.key == "lines")
+    assert (half.lat, half.metres) == (pytest.approx(43.605), pytest.approx(1113.2))
+
+
 def star(rng, x, y, size, corners):
     import math
 
